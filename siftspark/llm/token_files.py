@@ -37,8 +37,8 @@ from siftspark.llm import storage, textscan
 
 SHARD_TOKENS = 1 << 20
 END_ID = 1
-#: Words whose ids a task keeps; a full store becomes the older of two.
-WORDS = 250_000
+#: Words whose ids a worker keeps; a full store becomes the older of two.
+WORDS = 400_000
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 5, 1024, 12
 _ODD = [np.uint32(0x9E3779B1 + 2 * k * 0x01000193) for k in range(24)]
 _MAGIC = b"RPS1"
@@ -49,6 +49,17 @@ _STOP = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=\s|\Z)")
 SHARD_SCHEMA = "shard long, first_doc long, n_docs long, n_tokens long, bytes binary"
 
 
+_stores: dict[str, WordStore] = {}
+
+
+def word_store(path: str) -> WordStore:
+    """The worker's store for this tokenizer, which later tasks of the worker find filled."""
+    if path not in _stores:
+        _stores.clear()
+        _stores[path] = WordStore(path)
+    return _stores[path]
+
+
 class WordStore:
     """Ids of texts from stored ids of their words.
 
@@ -259,7 +270,7 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, id_col: str = "d
     base = _vocabulary(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, pack_ids = WordStore(tokenizer_path), zstandard.ZstdCompressor(level=1)
+        store, pack_ids = word_store(tokenizer_path), zstandard.ZstdCompressor(level=1)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import bpe_chunks, decontaminate, html_extract, token_files
+from siftspark.llm import bpe_chunks, decontaminate, html_extract, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
 HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -27,6 +27,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.sample(documents, table(spark, sf_dir, "labels")))
+    return toxicity.scored(documents, model)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -40,7 +46,7 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op4_token_files, op8_decontaminate, op10_bpe_chunks)}
+    return {f.__name__: f for f in (op1_html_extract, op3_toxicity, op4_token_files, op8_decontaminate, op10_bpe_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:

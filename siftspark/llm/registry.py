@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import bpe_chunks, decontaminate, html_extract, token_files, toxicity
+from siftspark.llm import bpe_chunks, decontaminate, html_extract, minhash_docs, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
 HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -37,6 +37,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_minhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_docs.grouped(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(HIT_COLUMNS)
 
@@ -46,7 +50,7 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op3_toxicity, op4_token_files, op8_decontaminate, op10_bpe_chunks)}
+    return {f.__name__: f for f in (op1_html_extract, op3_toxicity, op4_token_files, op5_minhash_docs, op8_decontaminate, op10_bpe_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import bpe_chunks, decontaminate, html_extract, minhash_docs, substring_dedup, token_files, toxicity
+from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, minhash_docs, substring_dedup, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
 HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -41,6 +41,10 @@ def op5_minhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_docs.grouped(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.scanned(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op3_toxicity, op4_token_files, op5_minhash_docs, op7_substring_dedup, op8_decontaminate, op10_bpe_chunks)}
+    return {f.__name__: f for f in (op1_html_extract, op3_toxicity, op4_token_files, op5_minhash_docs, op6_embedding_dedup, op7_substring_dedup, op8_decontaminate, op10_bpe_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:

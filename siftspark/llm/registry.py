@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, minhash_docs, substring_dedup, token_files, toxicity
+from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_docs, substring_dedup, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
 HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -27,6 +27,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.sample(documents, table(spark, sf_dir, "labels")))
@@ -53,12 +57,21 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(HIT_COLUMNS)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 with all its evidence: markup, address and host of web pages."""
+    return language_id.identified_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op3_toxicity, op4_token_files, op5_minhash_docs, op6_embedding_dedup, op7_substring_dedup, op8_decontaminate, op10_bpe_chunks)}
+    return {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op3_toxicity, op4_token_files, op5_minhash_docs, op6_embedding_dedup, op7_substring_dedup, op8_decontaminate, op9_language_id, pages_language_id, op10_bpe_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siftspark.plans.queries import oracle_sql, queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tokens, terms and phrases that results depend on.
 TOKEN = r"[a-z0-9]+(?:[-/][a-z0-9]+)*"
@@ -27,12 +29,12 @@ def line_feeds(x: Column) -> Column:
     return F.translate(F.regexp_replace(F.coalesce(x, F.lit("")), "\r\n?", "\n"), "\x00", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else s.casefold())
 
@@ -69,44 +71,49 @@ def formula_aliases(x: Column) -> Column:
 def tokens(x: Column) -> Column:
     """Lower-case words with inner hyphens and slashes, each CJK character alone, domain terms merged."""
     found = F.regexp_extract_all(F.lower(x), F.lit(f"{TOKEN}|[{CJK}]"), F.lit(0))
-    return merge_terms(found)
+    return bound(found, lambda t: merge_terms(t))
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once: a lambda variable stands for it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _splits(term: str) -> list[str]:
+    """The ways in which two or three tokens make a term, the tokens joined by spaces."""
+    n = len(term)
+    ways = [(i,) for i in range(1, n)] + [(i, j) for i in range(1, n) for j in range(i + 1, n)]
+    cut = [[term[a:b] for a, b in zip((0, *w), (*w, n), strict=True)] for w in ways]
+    return [" ".join(parts) for parts in cut if all(re.fullmatch(TOKEN, p) for p in parts)]
 
 
 def merge_terms(found: Column, terms: tuple[str, ...] = DOMAIN_TERMS) -> Column:
     """Greedy from the left: three tokens, then two, whose concatenation is a term become one.
 
-    A fold keeps (tokens so far, tokens to skip); it runs only where some pair or triple matches.
+    The scan is a fold of (tokens so far, tokens to skip). It runs only for texts in which some
+    neighbours make a term, which one pattern over the joined tokens tells.
     """
+    some = F.array_join(found, " ").rlike("(?:^| )(?:" + "|".join(re.escape(s) for t in terms for s in _splits(t)) + ")(?: |$)")
     n = F.size(found)
     at = lambda i: F.coalesce(F.get(found, i), F.lit(""))
     two = lambda i: F.concat(at(i), at(i + 1))
     three = lambda i: F.concat(two(i), at(i + 2))
-    is2 = lambda i: (i + 1 < n) & two(i).isin(*terms)
-    is3 = lambda i: (i + 2 < n) & three(i).isin(*terms)
-    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
 
     def step(s: Column, i: Column) -> Column:
         put = lambda word, skip: F.struct(F.concat(s["out"], F.array(word)).alias("out"), F.lit(skip).alias("skip"))
         skipping = F.struct(s["out"].alias("out"), (s["skip"] - 1).alias("skip"))
-        return F.when(s["skip"] > 0, skipping).when(is3(i), put(three(i), 2)).when(is2(i), put(two(i), 1)).otherwise(put(at(i), 0))
-
-    # a term can only arise where a token begins one; others are passed through as they are
-    begins = F.exists(found, lambda t: F.lit(False) if not terms else _any_prefix(t, terms))
-    return F.when(begins & F.exists(places, lambda i: is2(i) | is3(i)), F.aggregate(places, start, step, lambda s: s["out"])).otherwise(found)
-
+        three_fit, two_fit = (i + 2 < n) & three(i).isin(*terms), (i + 1 < n) & two(i).isin(*terms)
+        return F.when(s["skip"] > 0, skipping).when(three_fit, put(three(i), 2)).when(two_fit, put(two(i), 1)).otherwise(put(at(i), 0))
 
-def _any_prefix(token: Column, terms: tuple[str, ...]) -> Column:
-    parts = sorted({t[:k] for t in terms for k in range(1, len(t))})
-    return token.isin(*parts)
+    return F.when(some, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])).otherwise(found)
 
 
 def sentences(x: Column) -> Column:
     """Sentences with their end marks, trimmed, empty ones dropped; new lines end sentences too."""
     end = f"((?:(?<![0-9])\\.|\\.(?![0-9])|[!?。！？])[{CLOSERS}]*)"
     marked = F.regexp_replace(F.coalesce(x, F.lit("")), end, f"$1{_MARK}")
-    parts = F.split(marked, f"[{_MARK}\n]")
-    return F.filter(F.transform(parts, trim_space), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, f"[{_MARK}\n]"), trim_space), lambda s: s != "")
 
 
 def hard_cut(x: Column, size: int) -> Column:

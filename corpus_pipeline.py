@@ -33,10 +33,12 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    storage.bounded_batches(spark)
     return decontaminate.decontaminated(docs, registry.table(spark, sf_dir, "benchmark"), remove="documents")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    storage.bounded_batches(spark)
     return bpe_chunks.round_trip(docs, registry.tokenizer("byte_bpe_50k.json"))
 
 

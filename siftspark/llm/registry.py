@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_docs, substring_dedup, token_files, toxicity
+from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_docs, storage, substring_dedup, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
 HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    storage.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

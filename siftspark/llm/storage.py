@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,8 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of rows that one Arrow batch holds at most; a longer row stands alone.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sees to it that Arrow batches are bounded by bytes, as 10,000 long texts would not fit a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    # a plain number of bytes, or with a unit
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", (spark.conf.get(key, None) or "-1").strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".find(unit.replace("b", " ") or " ") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here and lost executors lose nothing."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ bounded number of bytes (one document at least), so memory does not follow the b
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,6 +86,15 @@ class Words:
         return b" ".join(d[a:b].tobytes() for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True))
 
 
+def release() -> None:
+    """Gives memory that is free but kept back to the system; workers live for many tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,6 +122,7 @@ def scan(column: pa.Array, is_word: np.ndarray, lower: bool, second: bool = Fals
     for i, j in slices(offsets):
         o = offsets[i : j + 1] - offsets[i]
         yield i, j, words(data[offsets[i] : offsets[j]], o, is_word, lower, second)
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool, second: bool = False) -> Words:

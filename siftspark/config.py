@@ -18,7 +18,7 @@ class ChunkConfig:
 
 @dataclass(frozen=True)
 class RetrievalConfig:
-    k1: float = 1.2
+    k1: float = 1.5
     b: float = 0.75
     rrf_k: int = 60
     dense_top_k: int = 30

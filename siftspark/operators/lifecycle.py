@@ -66,7 +66,7 @@ def accepted_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 def lock_key(document_id: Column) -> Column:
     """The upper 64 bits of a UUID without the sign, as a number."""
     high = F.substring(F.translate(document_id, "-", ""), 1, 16)
-    return F.conv(high, 16, 10).cast("decimal(20,0)") % F.lit(2**63).cast("decimal(20,0)")
+    return F.conv(high, 16, 10).cast("decimal(20,0)") % F.lit(str(2**63)).cast("decimal(20,0)")
 
 
 def deleted(documents: DataFrame, chunks: DataFrame, jobs: DataFrame, memberships: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:

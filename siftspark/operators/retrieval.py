@@ -77,7 +77,7 @@ def sparse_query(original: Column, rewritten: Column) -> Column:
     return F.when(rewritten.isNull() | (rewritten == original), original).otherwise(F.concat_ws("\n", original, rewritten))
 
 
-def bm25(queries: DataFrame, index: SparseIndex, k: int | None = 30, k1: float = 1.2, b: float = 0.75, minimum: int = 1, scope: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, index: SparseIndex, k: int | None = 30, k1: float = 1.5, b: float = 0.75, minimum: int = 1, scope: DataFrame | None = None) -> DataFrame:
     """Documents by BM25; a candidate holds at least min(minimum, distinct query terms) of the terms.
 
     A scope (id) filters postings before scoring; N, df and average length stay those of the corpus.

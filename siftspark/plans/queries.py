@@ -70,7 +70,7 @@ ASKED = f"asked as (select qid, unnest(ts) as term, len(ts) as n_terms from (sel
 
 def _bm25_sql(name: str, k: int | None, minimum: int = 1, scope: str = "") -> str:
     top = f"where rank <= {k}" if k else ""
-    return f"{name} as (select * from (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from (select a.qid, p.id, sum(t.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / c.avgdl))) as score, count(*) as hits, max(a.n_terms) as n_terms from posted p join asked a using (term) join terms t using (term) join lengths l using (id) cross join corpus c {scope} group by 1, 2) where hits >= least({minimum}, n_terms)) {top})"
+    return f"{name} as (select * from (select qid, id, score, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from (select a.qid, p.id, sum(t.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.dl / c.avgdl))) as score, count(*) as hits, max(a.n_terms) as n_terms from posted p join asked a using (term) join terms t using (term) join lengths l using (id) cross join corpus c {scope} group by 1, 2) where hits >= least({minimum}, n_terms)) {top})"
 
 
 EMBED = "emb as (select tab, id, bucket, n / sqrt(sum(n * n) over (partition by tab, id)) as weight from (select tab, id, (('0x' || right(md5(w), 2))::int & 63) as bucket, count(*) as n from (select tab, id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as w from (select 'd' as tab, doc_id as id, text from documents union all select 'q', item_id, text from benchmark)) group by 1, 2, 3))"

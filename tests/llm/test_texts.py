@@ -1,0 +1,247 @@
+"""Operators on one document at a time, against plain versions."""
+
+import hashlib
+import html
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from siftspark.llm import bpe_chunks, decontaminate, html_extract, language_id, registry, textscan, token_files, toxicity
+
+from .conftest import DATA
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+PIECES = ["a", " ", "  ", "\n", "\t", "'s", "é", "1", "23", "<|endoftext|>", "!", "\x1c", "　", "x", "'re", "中文", "\r\n", "\xa0", "😀", "Word", "İ"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=60))
+def test_chunk_reuse_is_exact(parts):
+    text = "".join(parts)
+    own = test_chunk_reuse_is_exact.__dict__.setdefault("own", bpe_chunks.Reuse(BYTES, chunks=40, bits=3, pieces=50))
+    want = own.tok.encode(text, add_special_tokens=False).ids
+    got = own.encode([text.encode()])[0]
+    assert got.tolist() == want and own.decode(got) == own.tok.decode(want, skip_special_tokens=False)
+    assert own.digest(got) == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+
+
+def test_op10(spark, documents, none):
+    tok = Tokenizer.from_file(BYTES)
+    got = sorted(map(tuple, bpe_chunks.round_trip(documents, BYTES).collect()), key=repr)
+    want = []
+    for r in documents.collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
+    assert got == sorted(want, key=repr)
+    enc = bpe_chunks.encoded(documents, BYTES)
+    assert {(r.doc_id, r.text) for r in bpe_chunks.decoded(enc, BYTES).collect()} == {(r.doc_id, r.text or "") for r in documents.collect()}
+    assert bpe_chunks.round_trip(none, BYTES).count() == 0
+
+
+def test_chunks_are_shared():
+    rng = random.Random(1)
+    passage = " ".join(str(rng.random()) for _ in range(900)).encode()
+    a, b = (set(np.diff(bpe_chunks.cuts(np.frombuffer(x, np.uint8))).tolist()) for x in (b"front " + passage, passage))
+    assert len(a & b) >= min(len(a), len(b)) - 1
+    own = bpe_chunks.Reuse(BYTES)
+    own.encode([passage])
+    before = own.encoded_chars
+    own.encode([b"something before " + passage])
+    assert own.encoded_chars - before < len(passage) / 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "the,", "end.", "...", "A.B", "don't"]), max_size=40))
+def test_word_store_is_exact(parts):
+    text = "".join(parts)
+    store = test_word_store_is_exact.__dict__.setdefault("store", token_files.WordStore(WORDS, most=30))
+    import pyarrow as pa
+
+    got = list(store.encode_column(pa.array([text, None]), 1))
+    assert np.frombuffer(got[0], store.kind).tolist() == [*store.tok.encode(text, add_special_tokens=False).ids, 1] and np.frombuffer(got[1], store.kind).tolist() == [1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=60), min_size=1, max_size=6), st.sampled_from([6, 70_000]))
+def test_repair_round_trip(docs, base):
+    ids = [np.array(d * 9, np.uint32) for d in docs]
+    shard = token_files.Shard(token_files.pack([None, *range(1, len(ids))], ids, base))
+    assert shard.doc_ids == [None, *range(1, len(ids))]
+    for k, d in enumerate(ids):
+        assert shard.expand(k, k + 1).tolist() == d.tolist()
+    assert shard.expand(0, len(ids)).tolist() == np.concatenate(ids).tolist()
+    assert all(n == len(_expansion(shard, base + k)) for k, n in enumerate(shard.lengths.tolist()))
+
+
+def _expansion(shard, x):
+    return [x] if x < shard.base else [y for part in shard.rules[x - shard.base].tolist() for y in _expansion(shard, part)]
+
+
+def test_op4(spark, documents, none, tmp_path):
+    tok = Tokenizer.from_file(WORDS)
+    rows = [(r.doc_id, [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in documents.collect()]
+    rows.sort(key=lambda x: x[0])
+    got = token_files.token_index(documents, WORDS, shards=3, shard_tokens=500).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [d for d, _ in rows] and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((d, len(i), crc(i)) for d, i in rows)
+    path = f"file://{tmp_path}/shards"
+    token_files.write(documents, WORDS, path)
+    assert sorted((r.doc_id, r.ids) for r in token_files.read_ids(spark.read.parquet(path)).collect()) == sorted(rows)
+    assert token_files.token_index(none, WORDS).count() == 0
+
+
+def words8(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def plain8(docs, items, n=10):
+    grams = []
+    for item, text in items:
+        w = words8(text)
+        if w and item is not None:
+            k = min(n, len(w))
+            grams += [(str(item), tuple(w[i : i + k])) for i in range(len(w) - k + 1)]
+    out = []
+    for d, text in docs:
+        w, hit, found = words8(text), set(), set()
+        for item, g in grams:
+            for i in range(len(w) - len(g) + 1):
+                if tuple(w[i : i + len(g)]) == g:
+                    hit.update(range(i, i + len(g)))
+                    found.add(item)
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_op8(spark, documents, none):
+    texts = [r.text for r in documents.filter("length(text) > 300").orderBy("doc_id").limit(4).collect()]
+    items = [(1, texts[0][50:200]), (2, texts[1].upper()[20:150]), (3, "one two"), (4, None), (None, texts[2]), (5, ""), (10, texts[0][50:200]), (6, "No such words here at all in any of these texts")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
+    want = plain8(docs, items)
+    assert sum(r[5] for r in want) > 1
+    for block in (1 << 25, 200):
+        got = decontaminate.scan_documents(documents, bench, block_chars=block).select(registry.HIT_COLUMNS).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+    assert decontaminate.scan_documents(none, bench).count() == 0
+    assert decontaminate.scan_documents(documents, bench.filter("false")).filter("contaminated").count() == 0
+    clean = decontaminate.decontaminated(documents, bench)
+    assert clean.columns == documents.columns and clean.count() == documents.count()
+    assert decontaminate.scan_documents(clean, spark.createDataFrame(items[:1], bench.schema)).filter("contaminated").count() == 0
+    assert decontaminate.decontaminated(documents, bench, remove="documents").count() == sum(not r[5] for r in want)
+    with pytest.raises(ValueError):
+        decontaminate.decontaminated(documents, bench, remove="x")
+
+
+def test_op8_on_documents(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {r.doc_id for r in decontaminate.scan_documents(docs, bench).filter("contaminated").collect()}
+    holds = {d.doc_id for d in docs.collect() for b in bench.collect() if b.text in d.text}
+    assert holds and holds <= got
+
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header>Head</header><nav><a>Menu</a></nav>
+<div class="cookie-notice">Cookies</div><article><h1>Title &amp; more</h1><p>First  para
+graph with <b>bold</b> words.<p>Short.<aside>Side</aside><form>Sign</form><div class="comments"><p>Nice post</p></div><p>Last one, long enough to count as text.</p></article>
+<script>var t="</p>";</script><div class="ad">Buy</div><footer>&copy; x</footer></body></html>"""
+
+
+def test_op1(spark):
+    assert html_extract.main_text(PAGE) == "Title & more First para graph with bold words. Short. Last one, long enough to count as text."
+    for page in (None, "", "<", "<p", "<script>x"):
+        assert html_extract.main_text(page) == ""
+    assert html_extract.main_text("plain text &eacute;") == "plain text é"
+    body = "<div id=main>" + "<p>Some long paragraph of running text without any links in it at all.</p>" * 3 + "</div>"
+    assert html_extract.main_text(f"<body><ul>{'<li><a>x</a></li>' * 20}</ul>{body}</body>").startswith("Some long") and "x" not in html_extract.main_text(f"<ul>{'<li><a>x</a></li>' * 20}</ul>{body}").split()
+    rows = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, None)], "page_id long, url string, html string, text string")
+    got = html_extract.extracted(rows).collect()
+    assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_op1_on_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extract.extracted(pages).collect()}
+    for r in pages.collect():
+        inner = re.sub(r"<[/a-zA-Z!?]?[^<>]*\Z", "", re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1])
+        parts = (" ".join(html.unescape(re.sub(r"</?[a-zA-Z][^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner))
+        assert got[r.page_id] == " ".join(p for p in parts if p)
+
+
+def test_smoothing():
+    x = np.array([0.0, 0, 9, 0, 0])
+    y = html_extract.smoothed(x, 1.0)
+    assert y.argmax() == 2 and y[1] == pytest.approx(y[3]) and (html_extract.smoothed(np.ones(7)) == pytest.approx(np.ones(7)))
+
+
+def test_op3(spark, documents, none):
+    """At sf0.1: smaller tables have too few held-out toxic documents to measure."""
+    large = DATA.replace("sf0.01", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    got = registry.op3_toxicity(spark, large)
+    both = got.join(labels, "doc_id").filter("held_out").collect()
+    hit = [[s.score > c.score for s in both if s.toxic == 1] for c in both if c.toxic == 0]
+    assert sum(map(sum, hit)) / sum(map(len, hit)) > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.collect())
+    assert got.count() == docs.count()
+    model = toxicity.fit([("fine words here", 0), ("fine words there", 0), ("you scum", 1), ("scum again", 1)] * 5)
+    assert toxicity.scored(documents, model).count() == documents.count() and toxicity.scored(none, model).count() == 0
+    assert toxicity.fit([]).score("x") == 0.0 and toxicity.sample(docs, labels.filter("false")) == []
+
+
+def test_op3_learns_nothing_from_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    kept = toxicity.sample(docs, labels)
+    held = {r.text for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    free = {r.text for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert kept and all(t in free for t, _ in kept) and held
+
+
+def test_op9(spark, documents, none):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = language_id.identified(docs).join(docs.select("doc_id", docs.lang.alias("said")), "doc_id").collect()
+    assert sum(r.lang == r.said for r in got) > 0.98 * len(got) and sum(r.accepted for r in got) > 0.98 * len(got)
+    odd = docs.unionByName(spark.createDataFrame([(10**6, "12 34 !!", None, None, 0), (10**6 + 1, None, "en", "src0", 0), (10**6 + 2, "", "xx", "src1", 0)], docs.schema))
+    bad = language_id.identified(odd).filter("doc_id >= 1000000").collect()
+    assert len(bad) == 3 and not any(r.accepted for r in bad) and {r.lang for r in bad} == {"und"}
+    assert language_id.accepted(odd).count() == sum(r.accepted for r in got) and language_id.accepted(odd).columns == docs.columns
+    assert language_id.identified(documents).count() == documents.count() and language_id.identified(none).count() == 0
+
+
+def test_op9_pages(spark):
+    got = registry.pages_language_id(spark, DATA)
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    said = {r.page_id: re.search(r'lang="(..)"', r.html)[1] for r in pages.collect()}
+    rows = got.collect()
+    assert len(rows) == len(said) and sum(r.lang == said[r.page_id] for r in rows) > 0.97 * len(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\n\t\x0bZ1.", max_size=30), max_size=8), st.integers(1, 4))
+def test_word_scan(texts, n):
+    import pyarrow as pa
+
+    column = pa.array(texts + [None], pa.string())
+    for flags, lower, pattern in ((textscan.SPACED, False, rb"[^\x20\x09-\x0D]+"), (textscan.ALNUM, True, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        seen: dict[bytes, int] = {}
+        for i, j, w in textscan.scan(column, flags, lower):
+            for d in range(j - i):
+                want = re.findall(pattern, (column[i + d].as_py() or "").encode().lower() if lower else (column[i + d].as_py() or "").encode())
+                a, b = int(w.offsets[d]), int(w.offsets[d + 1])
+                assert [w.text(k, k + 1) for k in range(a, b)] == want
+                for word, h in zip(want, w.hash[a:b].tolist(), strict=True):
+                    assert seen.setdefault(word, h) == h
+            hashes, at = textscan.windows(w, n)
+            doc = np.searchsorted(w.offsets, at, "right") - 1
+            assert len(at) == sum(max(0, int(k) - n + 1) for k in np.diff(w.offsets)) and all(a + n <= w.offsets[d + 1] for a, d in zip(at, doc, strict=True))
+            by: dict[bytes, int] = {}
+            assert all(by.setdefault(w.text(int(a), int(a) + n), int(h)) == int(h) for a, h in zip(at, hashes, strict=True))
+        assert len(set(seen.values())) == len(seen)

@@ -15,6 +15,7 @@ ordinary document in the sample every score is the share of toxic labels (0 with
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -140,7 +141,8 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """A model of (text, label) rows. Half of each kind, by order, trains the dictionaries, all calibrate."""
+    """A model of (text, label) rows, whatever their order. All of them train the dictionaries and calibrate."""
+    rows = sorted(rows, key=lambda r: (zlib.crc32((r[0] or "").encode()), r[0] or "", r[1]))
     toxic = list(dict.fromkeys(_prepared(t) for t, y in rows if y == 1))
     ordinary = list(dict.fromkeys(_prepared(t) for t, y in rows if y == 0))
     if not toxic or not ordinary:

@@ -45,7 +45,7 @@ ROLL_BYTES = 16
 #: A cut follows every 2**CUT_BITS-th byte on average.
 CUT_BITS = 10
 #: Bodies and pieces that a worker stores; a full store of pieces becomes the older of two.
-CHUNKS, PIECES = 16_384, 400_000
+CHUNKS, PIECES = 8192, 220_000
 SLICE_BYTES = 1 << 17
 
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -69,13 +69,14 @@ def cuts(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
 
 
 _stores: dict[tuple, Reuse] = {}
+textscan.kept.append(_stores)
 
 
 def reuse(path: str, chunks: int, bits: int) -> Reuse:
     """The worker's store for this tokenizer, which later tasks of the worker find filled."""
     key = (path, chunks, bits)
     if key not in _stores:
-        _stores.clear()
+        textscan.forget()
         _stores[key] = Reuse(path, chunks, bits)
     return _stores[key]
 

@@ -31,6 +31,8 @@ from siftspark.llm import storage, textscan
 
 #: Documents of each language that the text models are fitted on, and characters of all.
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 24 << 20
+#: A declared language of less than one in so many documents gets no model; that bounds their number.
+RAREST = 10_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
 TEMPER, MOST_TRIGRAMS = 0.3, 2000
@@ -97,7 +99,9 @@ def sample(documents: DataFrame, lang: Column, id_col: str = "doc_id", text_col:
     """At most ``most`` documents of each declared language, those of the smallest id hashes; in all at most ``chars`` characters, the longest left out whole."""
     marked = documents.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("y")).filter("doc_id is not null and y is not null")
     chosen = None
-    for r in marked.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").toLocalIterator():
+    counts = marked.groupBy("y").agg(F.count("*").alias("n"))
+    total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
+    for r in counts.join(total).filter(F.col("n") * RAREST >= F.col("total")).orderBy("y").toLocalIterator():
         part = marked.filter(F.col("y") == r.y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
@@ -141,6 +145,7 @@ def _scored(rows: DataFrame, model: TextModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for b in batches:
+            textscan.forget()
             data, offsets = textscan.spans(b.column("text"))
             for i, j in textscan.slices(offsets, 1 << 19):
                 part = b.slice(i, j - i)
@@ -242,4 +247,4 @@ def accepted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents, all columns kept, without those that the identification rejects. Rows with the same id stay if one of them is accepted."""
     found = identified(documents, id_col, text_col, lang_col, source_col)
     gone = found.groupBy("doc_id").agg(F.max("accepted").alias("ok")).filter("not ok").select(F.col("doc_id").alias("__gone"))
-    return documents.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return documents.join(storage.small(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")

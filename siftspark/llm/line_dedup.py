@@ -31,8 +31,8 @@ from siftspark.llm import storage, textscan
 from siftspark.llm.components import components, contract
 from siftspark.llm.minhash_docs import _runs, linked_pairs
 
-SHINGLE, LEAST_CHARS, PERCENT = 5, 20, 80
-BANDS, BAND_ROWS = 6, 2
+SHINGLE, LEAST_CHARS, PERCENT = 10, 20, 80
+BANDS, BAND_ROWS = 7, 3
 BLOCK = 1024
 _ODD = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 30, 64, dtype=np.uint32) * np.uint32(4) + np.uint32(3)
 
@@ -81,6 +81,7 @@ def _signed(rows: DataFrame, count: int, band_rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            textscan.forget()
             data, offsets = textscan.spans(b.column("text"))
             for i, j in textscan.slices(offsets, 1 << 19):
                 texts, doc, no, key = [], [], [], []
@@ -149,8 +150,11 @@ def _links(lists: DataFrame, texts: DataFrame, percent: int, block: int) -> Data
         for cell in _runs(batches, "cell"):
             line = cell.column("line").to_numpy()
             _, one = np.unique(line, return_index=True)  # a repeated document gives its lines again
-            cell, line = cell.take(pa.array(one)), line[one]
-            left, right = (np.flatnonzero(cell.column(k).to_numpy()) for k in ("left", "right"))
+            if len(one) < len(line):
+                cell, line = cell.take(pa.array(one)), line[one]
+            if len(line) < 2:
+                continue
+            left, right = (np.flatnonzero(cell.column(k).to_numpy(zero_copy_only=False)) for k in ("left", "right"))
             if len(left) and len(right):
                 i, j = linked_pairs([shingles(unpack.decompress(x.as_py()).decode()) for x in cell.column("packed")], left, right, percent)
                 hi, lo = contract(line[i], line[j])
@@ -176,7 +180,7 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "d
     own = lines.select("line", "doc_id", "text_key", "line_no")
     wanted = own.join(members.select("line").distinct(), "line").groupBy("line").agg(F.min(at).alias("at"))
     texts = _line_texts(rows, wanted)
-    groups = components(_links(members.join(lists, "key"), texts, percent, block))
+    groups = components(storage.stored(_links(members.join(lists, "key"), texts, percent, block), "forest"))
     placed = own.join(groups, F.col("line") == F.col("node"), "left").select(F.coalesce("component", "line").alias("group"), "doc_id", "text_key", "line_no")
     firsts = storage.stored(placed.groupBy("group").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").select("group", "first"), "firsts")
     again = placed.join(firsts, "group").filter(~at.eqNullSafe(F.col("first")))

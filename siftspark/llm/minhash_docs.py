@@ -351,7 +351,8 @@ def grouped(documents: DataFrame, shingle_words: int, percent: int = 80, id_col:
     texts = storage.stored(_packed_texts(docs).join(wanted, "doc_id", "left_semi"), "texts")
     first = storage.stored(_confirmed(likely, texts, shingle_words, percent).select(F.col("rep").alias("u"), F.col("hub").alias("v")), "confirmed")
     placed = members.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    links = first.unionByName(_links(_open(placed, lists, coordinates, least, percent, block), texts, shingle_words, percent))
+    open_members = storage.stored(_open(placed, lists, coordinates, least, percent, block), "open")
+    links = first.unionByName(storage.stored(_links(open_members, texts, shingle_words, percent), "forest"))
     # rows with equal sets are linked to the smallest id of their class
     same = some.select("doc_id", *key).join(classes.filter("many > 1").select("rep", *key), key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     all_links = links.unionByName(same)
@@ -363,5 +364,5 @@ def grouped(documents: DataFrame, shingle_words: int, percent: int = 80, id_col:
 
 def deduplicated(documents: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, of which one row per group stays: that of the smallest id. Rows that repeat a kept id stay."""
-    kept = grouped(documents, shingle_words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(kept, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = grouped(documents, shingle_words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(storage.small(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

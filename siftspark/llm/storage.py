@@ -41,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(ids: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table of single ids, written; if it has at most ``most`` rows (a few MB) it is marked for a broadcast, else it is joined by a shuffle."""
+    from pyspark.sql import functions as F
+
+    kept = stored(ids, "ids")
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def drop(df: DataFrame) -> None:
     """Removes a table made by stored() that no later result reads."""
     spark = df.sparkSession

@@ -86,6 +86,18 @@ class Words:
         return b" ".join(d[a:b].tobytes() for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist(), strict=True))
 
 
+#: Stores that a worker keeps for later tasks of the same operator.
+kept: list[dict] = []
+
+
+def forget() -> None:
+    """Empties the stores of other operators: a worker holds those of one at a time."""
+    if any(kept):
+        for store in kept:
+            store.clear()
+        release()
+
+
 def release() -> None:
     """Gives memory that is free but kept back to the system; workers live for many tasks."""
     pa.default_memory_pool().release_unused()
@@ -118,6 +130,7 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def scan(column: pa.Array, is_word: np.ndarray, lower: bool, second: bool = False) -> Iterator[tuple[int, int, Words]]:
     """(first row, last row + 1, Words) of each slice of a string column."""
+    forget()
     data, offsets = spans(column)
     for i, j in slices(offsets):
         o = offsets[i : j + 1] - offsets[i]

@@ -35,6 +35,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 800, 24 << 20
 RAREST = 10_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
+#: The share of the uniform model in each language's: a key or a number in a text doesn't make it no language.
+UNIFORM = 0.05
 TEMPER, MOST_TRIGRAMS = 0.3, 2000
 LEAST = 0.5
 #: Pseudo-counts of the upper level in a host's and a domain's prior, and in the tables of declarations.
@@ -92,6 +94,7 @@ def fit(rows: list[tuple[str | None, str]]) -> TextModel:
                 b = _buckets(np.frombuffer((text or "").encode(), np.uint8))
                 counts[k] += np.bincount(b[b >= 0], minlength=BUCKETS)
     p = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
+    p = (1 - UNIFORM) * p + UNIFORM * 4 / BUCKETS
     return TextModel(languages, np.concatenate((np.log(p), np.zeros((len(languages), 1))), axis=1), -math.log(BUCKETS / 4))
 
 

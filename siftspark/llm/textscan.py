@@ -142,6 +142,16 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: boo
     """second: hashes of the second family, for a key of 128 bits."""
     if lower:
         data = _LOWER[data]
+    start, end = word_spans(data, offsets, is_word)
+    return Words(data, start, end, np.searchsorted(start, offsets), hashes(data, start, end, second))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words start and end; none reaches over a document's end."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = is_word[data]
     step = np.diff(inside)
@@ -153,11 +163,15 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: boo
         cut = cut[(inside[cut] == 1) & (inside[cut + 1] == 1)]
         if len(cut):
             start, end = np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
+    return start, end
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hashes of the spans of bytes."""
     up, down = _BYTE_POWERS.upto(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_TABLE_2 if second else _TABLE)[data] * up[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return Words(data, start, end, np.searchsorted(start, offsets), mix(h + (end - start).astype(np.uint64)))
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

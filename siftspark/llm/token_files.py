@@ -42,20 +42,21 @@ WORDS = 400_000
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 5, 1024, 12
 _ODD = [np.uint32(0x9E3779B1 + 2 * k * 0x01000193) for k in range(24)]
 _MAGIC = b"RPS1"
-_SLICE = 1 << 20
+_SLICE = 1 << 22
 _PLAIN = re.compile(rb"[a-z]+").fullmatch
-_STOP = re.compile(rb"(?<=[a-z])([.,!?;:]+)(?=\s|\Z)")
+_MARK = np.isin(np.arange(256), list(b".,!?;:"))
 
 SHARD_SCHEMA = "shard long, first_doc long, n_docs long, n_tokens long, bytes binary"
 
 
 _stores: dict[str, WordStore] = {}
+textscan.kept.append(_stores)
 
 
 def word_store(path: str) -> WordStore:
     """The worker's store for this tokenizer, which later tasks of the worker find filled."""
     if path not in _stores:
-        _stores.clear()
+        textscan.forget()
         _stores[path] = WordStore(path)
     return _stores[path]
 
@@ -102,29 +103,54 @@ class WordStore:
             for w, x in zip(some, ids, strict=True):
                 self.new[w] = flat[at : (at := at + self.kind.itemsize * len(x))]
 
-    def encode(self, raw: bytes, end: bytes) -> Iterator[bytes]:
-        """The ids of the texts in raw, which zero bytes separate, each with the end id."""
-        if b"<|" not in raw:  # a special token's string has a case of its own
-            raw = _STOP.sub(rb" \1", raw.lower())
-        texts = [x.split() for x in raw.split(b"\0")]
-        self.learn({w for x in texts for w in x})
-        get = self.new.__getitem__
-        for x in texts:
-            yield b"".join(map(get, x)) + end
-
     def encode_column(self, column: pa.Array, end_id: int) -> Iterator[bytes]:
+        """The ids' bytes of each text, with the end id. A slice's distinct words are looked up once each."""
         data, offsets = textscan.spans(column)
         end = np.array([end_id], self.kind).tobytes()
         for i, j in textscan.slices(offsets, _SLICE):
-            raw = data[offsets[i] : offsets[j]].tobytes()
-            o = (offsets[i : j + 1] - offsets[i]).tolist()
-            parts = [raw[a:b] for a, b in zip(o[:-1], o[1:], strict=True)]
-            if b"\0" in raw:
-                for x in parts:  # the zero byte is text here
-                    ids = self.tok.encode(x.decode(), add_special_tokens=False).ids
-                    yield np.array(ids, self.kind).tobytes() + end
-            else:
-                yield from self.encode(b"\0".join(parts), end)
+            o = offsets[i : j + 1] - offsets[i]
+            for ids in self._encode(data[offsets[i] : offsets[j]], o):
+                yield ids + end
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        if b"<|" not in data.tobytes():  # a special token's string has a case of its own
+            data = textscan.lowered(data)
+        start, end = _words(data, offsets)
+        first, which = _distinct(textscan.hashes(data, start, end), end - start)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        self.learn(set(words))
+        ids = [self.new[w] for w in words]
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        counts = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        starts = np.cumsum(counts) - counts
+        out = flat[textscan.ranges(starts[which], counts[which])]
+        bounds = np.concatenate(([0], np.cumsum(counts[which])))[np.searchsorted(start, offsets)].tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield out[a:b].tobytes()
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs between white space; end marks after a letter a-z at a word's end are a word of their own."""
+    start, end = textscan.word_spans(data, offsets, textscan.SPACED)
+    if not len(start):
+        return start, end
+    place = np.where(_MARK[data], 0, np.arange(1, len(data) + 1))
+    body = np.maximum(np.maximum.accumulate(place)[end - 1], start)  # after the last byte that is no mark
+    cut = (body > start) & (body < end)
+    cut[cut] = (data[body[cut] - 1] >= 97) & (data[body[cut] - 1] <= 122)
+    return np.sort(np.concatenate((start, body[cut]))), np.sort(np.concatenate((end, body[cut])))
+
+
+def _distinct(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct word stands first, and which of them every word is. Words are told apart by 64-bit hash and length."""
+    order = np.argsort(hashes, kind="stable")
+    h, n = hashes[order], lengths[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def repair(symbols: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -45,7 +45,7 @@ ROLL_BYTES = 16
 #: A cut follows every 2**CUT_BITS-th byte on average.
 CUT_BITS = 10
 #: Bodies and pieces that a worker stores; a full store of pieces becomes the older of two.
-CHUNKS, PIECES = 8192, 220_000
+CHUNKS, PIECES = 8192, 300_000
 SLICE_BYTES = 1 << 17
 
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, 256, dtype=np.uint32)

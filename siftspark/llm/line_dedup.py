@@ -83,7 +83,7 @@ def _signed(rows: DataFrame, count: int, band_rows: int) -> DataFrame:
         for b in batches:
             textscan.forget()
             data, offsets = textscan.spans(b.column("text"))
-            for i, j in textscan.slices(offsets, 1 << 19):
+            for i, j in textscan.slices(offsets, 1 << 17):
                 texts, doc, no, key = [], [], [], []
                 for d in range(i, j):
                     for k, line in enumerate(data[offsets[d] : offsets[d + 1]].tobytes().split(b"\n")):
@@ -180,9 +180,9 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "d
     own = lines.select("line", "doc_id", "text_key", "line_no")
     wanted = own.join(members.select("line").distinct(), "line").groupBy("line").agg(F.min(at).alias("at"))
     texts = _line_texts(rows, wanted)
-    groups = components(storage.stored(_links(members.join(lists, "key"), texts, percent, block), "forest"))
+    groups = storage.small(components(storage.stored(_links(members.join(lists, "key"), texts, percent, block), "forest")))
     placed = own.join(groups, F.col("line") == F.col("node"), "left").select(F.coalesce("component", "line").alias("group"), "doc_id", "text_key", "line_no")
-    firsts = storage.stored(placed.groupBy("group").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").select("group", "first"), "firsts")
+    firsts = storage.small(placed.groupBy("group").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").select("group", "first"))
     again = placed.join(firsts, "group").filter(~at.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 

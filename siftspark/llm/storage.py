@@ -42,10 +42,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(ids: DataFrame, most: int = 200_000) -> DataFrame:
-    """A table of single ids, written; if it has at most ``most`` rows (a few MB) it is marked for a broadcast, else it is joined by a shuffle."""
+    """A table of a few numbers a row, written; if it has at most ``most`` rows (some MB) it is marked for a broadcast, else it is joined by a shuffle."""
     from pyspark.sql import functions as F
 
-    kept = stored(ids, "ids")
+    kept = stored(ids, "small")
     return F.broadcast(kept) if kept.count() <= most else kept
 
 

@@ -31,8 +31,9 @@ from siftspark.llm import storage, textscan
 from siftspark.llm.components import components, contract
 from siftspark.llm.minhash_docs import _runs, linked_pairs
 
-SHINGLE, LEAST_CHARS, PERCENT = 10, 20, 80
-BANDS, BAND_ROWS = 7, 3
+SHINGLE, LEAST_CHARS, PERCENT = 5, 20, 80
+#: Of pairs at exactly PERCENT, 0.998 share a band. Fewer minima a band give many times the candidates, as short shingles are common.
+BANDS, BAND_ROWS = 12, 4
 BLOCK = 1024
 _ODD = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 30, 64, dtype=np.uint32) * np.uint32(4) + np.uint32(3)
 

@@ -1,9 +1,10 @@
 """Fuzzy line dedup over a corpus: MinHash bands, exact Jaccard verification, union-find.
 
 A line is what new lines separate. Lines are compared lower-cased (A-Z) with runs of ASCII
-white space as one space; lines of fewer than LEAST_CHARS characters are never touched. Each
-line has a signature of character shingles, cut into bands; lines that share a band are
-candidates and are verified by the Jaccard similarity of their full shingle sets. Verified
+white space as one space; lines that are empty then are never touched. Each line has a
+signature of character shingles, cut into bands; lines that share a band are candidates and
+are verified by the Jaccard similarity of their full shingle sets. A line under one shingle is
+one shingle of its own, so it is like its exact copies only and has no bands. Verified
 links are joined to components by a distributed union-find, and of each component the first
 line stays, by document id and line number; the others are removed.
 
@@ -31,7 +32,7 @@ from siftspark.llm import storage, textscan
 from siftspark.llm.components import components, contract
 from siftspark.llm.minhash_docs import _runs, linked_pairs
 
-SHINGLE, LEAST_CHARS, PERCENT = 5, 20, 80
+SHINGLE, LEAST_CHARS, PERCENT = 5, 1, 80
 #: Of pairs at exactly PERCENT, 0.998 share a band. Fewer minima a band give many times the candidates, as short shingles are common.
 BANDS, BAND_ROWS = 12, 4
 BLOCK = 1024
@@ -78,29 +79,30 @@ def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signed(rows: DataFrame, count: int, band_rows: int) -> DataFrame:
-    """(doc_id, text_key, line_no, line, bands) for each line that counts; line is its hash."""
+    """(doc_id, text_key, line_no, line, bands) for each line that counts; line is its hash, bands are null under one shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             textscan.forget()
             data, offsets = textscan.spans(b.column("text"))
             for i, j in textscan.slices(offsets, 1 << 17):
-                texts, doc, no, key = [], [], [], []
+                texts, doc, no, key, place = [], [], [], [], []
                 for d in range(i, j):
                     for k, line in enumerate(data[offsets[d] : offsets[d + 1]].tobytes().split(b"\n")):
-                        if len(line) < LEAST_CHARS:
-                            continue
                         own = normalised(line)
+                        if len(own) < LEAST_CHARS:
+                            continue
                         text = own.decode()
-                        if len(text) >= LEAST_CHARS:
+                        place.append(len(texts) if len(text) >= SHINGLE else None)
+                        if len(text) >= SHINGLE:
                             texts.append(text)
-                            doc.append(d)
-                            no.append(k)
-                            key.append(xxhash.xxh3_64_intdigest(own))
-                if texts:
-                    at, band = pa.array(doc), bands(texts, count, band_rows)
+                        doc.append(d)
+                        no.append(k)
+                        key.append(xxhash.xxh3_64_intdigest(own))
+                if doc:
+                    at, band = pa.array(doc), bands(texts, count, band_rows) if texts else np.zeros((0, count), np.int64)
                     raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * count), len(texts), [None, pa.py_buffer(np.ascontiguousarray(band))]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(no, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), raw], names=["doc_id", "text_key", "line_no", "line", "bands"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(no, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), raw.take(pa.array(place, pa.int64()))], names=["doc_id", "text_key", "line_no", "line", "bands"])
 
     return rows.mapInArrow(run, "doc_id long, text_key long, line_no int, line long, bands binary")
 
@@ -111,7 +113,7 @@ def _posts(lines: DataFrame, count: int) -> DataFrame:
             keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("line").to_numpy(), count))], names=["key", "line"])
 
-    return lines.select("line", "bands").mapInArrow(run, "key long, line long")
+    return lines.filter("bands is not null").select("line", "bands").mapInArrow(run, "key long, line long")
 
 
 def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -217,6 +217,13 @@ def test_op2_one_character(spark):
     assert (1 - 0.8**line_dedup.BAND_ROWS) ** line_dedup.BANDS <= (1 - 0.8**2) ** 6
 
 
+def test_op2_short_lines(spark):
+    """Short lines take part, exact copies and near ones; one of under five characters is like its exact copies only."""
+    rows = [(0, "Ietzte.\nab\n\né\nab c\nStteen Erachtz."), (1, " ietzte. \nAB\n \nÉ\nabxc\nstteen erachtz,"), (2, "é\nIetzte.\nab  C\nab\x0b\nabcde"), (3, "\n\n"), (4, "ab")]
+    got = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in got} == {0: [], 1: [0, 1, 5], 2: [0, 1, 2, 3], 3: [], 4: [0]}
+
+
 def test_pipeline(spark):
     """Every stage on what the one before kept, against the operators' own plain versions."""
     import corpus_pipeline

@@ -24,15 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.llm import storage, textscan
 
 #: Documents of each language that the text models are fitted on, and characters of all.
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 24 << 20
-#: A declared language of less than one in so many documents gets no model; that bounds their number.
-RAREST = 10_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
 #: The share of the uniform model in each language's: a key or a number in a text doesn't make it no language.
@@ -99,21 +97,22 @@ def fit(rows: list[tuple[str | None, str]]) -> TextModel:
 
 
 def sample(documents: DataFrame, lang: Column, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str | None, str]]:
-    """At most ``most`` documents of each declared language, those of the smallest id hashes; in all at most ``chars`` characters, the longest left out whole."""
+    """At most ``most`` documents of each declared language, those of the smallest id hashes; in all at most ``chars`` characters, the longest of each language left out whole, but never its shortest."""
     marked = documents.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("y")).filter("doc_id is not null and y is not null")
-    chosen = None
-    counts = marked.groupBy("y").agg(F.count("*").alias("n"))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
-    for r in counts.join(total).filter(F.col("n") * RAREST >= F.col("total")).orderBy("y").toLocalIterator():
-        part = marked.filter(F.col("y") == r.y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    counts = marked.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").collect()  # tags of two or three letters
+    if not counts:
         return []
+    # languages of few documents are taken whole, at once
+    chosen = marked.filter(F.col("y").isin([r.y for r in counts if r.n <= most]))
+    for r in counts:
+        if r.n > most:
+            chosen = chosen.unionByName(marked.filter(F.col("y") == r.y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     found = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.length("text"), "doc_id", "text")))
     out, left = [], chars
-    for r in found.orderBy(F.length("text"), "doc_id", "text").toLocalIterator():
+    for r in found.orderBy("place", F.length("text"), "doc_id", "text").toLocalIterator():
         left -= len(r.text or "")
-        if left < 0:
+        if left < 0 and r.place > 1:
             break
         out.append((r.text, r.y))
     return out

@@ -217,6 +217,19 @@ def test_op9(spark, documents, none):
     assert language_id.identified(documents).count() == documents.count() and language_id.identified(none).count() == 0
 
 
+def test_op9_rare_language(spark):
+    """A language of one document among more than 10,000 has a model, however long its text and those of others."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    rows = [(k, " ".join(word("aeinrst" if k % 2 else "dghlouw") for _ in range(8)), "en" if k % 2 else "de", "src1") for k in range(10_050)]
+    rows.append((10_050, " ".join(word("bjkvxyz") for _ in range(300)), "haw", "src1"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    lang = language_id.declared_language(docs.lang)
+    assert {y for _, y in language_id.sample(docs, lang)} == {y for _, y in language_id.sample(docs, lang, chars=500)} == {"de", "en", "haw"}
+    got = language_id.identified(docs).filter("doc_id >= 10049").collect()
+    assert {(r.doc_id, r.lang, r.accepted) for r in got} == {(10_049, "en", True), (10_050, "haw", True)}
+
+
 def test_op9_pages(spark):
     got = registry.pages_language_id(spark, DATA)
     pages = spark.read.parquet(f"{DATA}/pages.parquet")

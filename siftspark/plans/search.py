@@ -40,15 +40,20 @@ def gold(queries: DataFrame, documents: DataFrame, id_col: str = "id") -> DataFr
     """(qid, id): documents that hold a query's whole text.
 
     Texts are compared only where a word window is shared: the first five words of a query
-    against all windows of five words of the documents, an equi-join.
+    against all windows of five words of the documents, an equi-join. Queries of up to six words
+    have no such window inside them and are looked for in every document.
     """
     words = F.filter(F.split("text", "[ \n]"), lambda w: w != "")
     head = lambda start: F.array_join(F.slice("w", start, 5), " ")
-    q = queries.select("qid", F.col("text").alias("quote"), words.alias("w")).filter("size(w) > 6").select("qid", "quote", F.xxhash64(head(F.lit(2))).alias("key"))
+    q = queries.select("qid", F.col("text").alias("quote"), words.alias("w"))
+    short = q.filter("size(w) <= 6").select("qid", "quote").distinct()
+    q = q.filter("size(w) > 6").select("qid", "quote", F.xxhash64(head(F.lit(2))).alias("key"))
     d = documents.select("id", words.alias("w")).filter("size(w) > 4")
     d = d.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(head(i))))).alias("key"))
     near = d.join(q, "key").select("qid", "id", "quote").distinct()
-    return near.join(documents.select("id", "text"), "id").filter(F.contains("text", "quote")).select("qid", "id")
+    texts = documents.select("id", "text")
+    long = near.join(texts, "id").filter(F.contains("text", "quote")).select("qid", "id")
+    return long.unionByName(texts.join(short, F.contains("text", "quote")).select("qid", "id"))
 
 
 def best_of_documents(hits: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftspark.operators import context, evaluation, indexing, retrieval
+from siftspark.plans import search
 
 TOY = ["machine learning deep learning model", "natural language processing text", "deep learning neural network architecture", "computer vision image classification"]
 
@@ -145,3 +146,10 @@ def test_bm25_is_the_same_under_repartitioning(spark):
     docs = spark.createDataFrame(list(enumerate(TOY * 5)), "id long, text string")
     got = [found(retrieval.bm25(ask(spark, "deep learning model"), indexing.build_sparse(docs.repartition(n)), 7)) for n in (1, 4, 17)]
     assert got[0] == got[1] == got[2] and math.isclose(got[0][0][1], got[0][1][1])
+
+
+def test_gold_of_short_questions(spark):
+    docs = [(0, "one two three four five six seven eight"), (1, "zero one two"), (2, "nothing"), (3, None)]
+    asked = [(0, "one two"), (1, "two three four five six seven"), (2, "one two three four five six seven"), (3, "noth"), (4, "absent"), (5, None)]
+    got = search.gold(spark.createDataFrame(asked, "qid long, text string"), spark.createDataFrame(docs, "id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (0, 1), (1, 0), (2, 0), (3, 2)]

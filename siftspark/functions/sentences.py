@@ -1,52 +1,37 @@
-"""The sequential part of sentence splitting: sentences that are too long.
+"""Sentences of at most a number of characters, in Arrow batches of the chunker.
 
-These rules depend on what was taken before, so they are plain functions over one text, used
-in Arrow batches by the chunker.
+Where a sentence has to be taken apart depends on what fits before, a fold over its parts: each
+part gets the number of the piece it goes to, and pieces are joined afterwards.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate, groupby
 
 from siftspark.functions.text import CLOSERS
 
+# What ends a sentence, and where a long one may be taken apart, with what stands between joined parts.
 _END = re.compile(rf"((?:(?<!\d)\.|\.(?!\d)|[!?。！？])[{re.escape(CLOSERS)}]*)")
-_BREAKS = ((re.compile("[；;]"), ";"), (re.compile("[，,]"), ","), (re.compile(r"\s+"), " "))
+_BREAKS = ((r"[；;]", ";"), (r"[，,]", ","), (r"\s+", " "))
 
 
 def split(text: str | None, most: int = 800) -> list[tuple[str, bool]]:
     """Sentences of at most ``most`` characters, each with a flag: it was cut hard."""
-    out: list[tuple[str, bool]] = []
-    for line in _END.sub(lambda m: m[0] + "\n", text or "").split("\n"):
-        line = line.strip()
-        if line:
-            out += [(line, False)] if len(line) <= most else shorten(line, most)
-    return out
-
-
-def shorten(text: str, most: int) -> list[tuple[str, bool]]:
-    """Parts at semicolons, else at commas, else at spaces, joined again as far as they fit; else hard cuts."""
-    for pattern, joint in _BREAKS:
-        if len(parts := pattern.split(text)) > 1:
-            return rejoin(parts, most, joint)
-    return hard_cut(text, most)
-
-
-def rejoin(parts: list[str], most: int, joint: str) -> list[tuple[str, bool]]:
-    out: list[tuple[str, bool]] = []
-    held = ""
-    for part in filter(None, map(str.strip, parts)):
-        joined = f"{held}{joint}{part}" if held else part
-        if len(joined) <= most:
-            held = joined
-            continue
-        if held:
-            out.append((held, False))
-        held = part if len(part) <= most else ""
-        if not held:
-            out += hard_cut(part, most)
-    return [*out, (held, False)] if held else out
-
-
-def hard_cut(text: str, most: int) -> list[tuple[str, bool]]:
-    return [(text[k : k + most], True) for k in range(0, len(text), most)]
+    lines = (x.strip() for x in _END.sub(lambda m: m[0] + "\n", text or "").split("\n"))
+    return [piece for x in lines if x for piece in pieces(x, most)]
+
+
+def pieces(sentence: str, most: int) -> list[tuple[str, bool]]:
+    """The sentence if it fits; else its parts between semicolons, else commas, else spaces, as many to a piece as fit; what is still too long in slices."""
+    mark, joint = next(((m, j) for m, j in _BREAKS if len(sentence) > most and re.search(m, sentence)), (None, ""))
+    parts = [sentence] if mark is None else [x for x in map(str.strip, re.split(mark, sentence)) if x]
+    numbers = piece_numbers([len(x) for x in parts], most, len(joint))
+    whole = [joint.join(x for _, x in group) for _, group in groupby(zip(numbers, parts, strict=True), key=lambda t: t[0])]
+    return [(x[k : k + most], len(x) > most) for x in whole for k in range(0, len(x), most)]
+
+
+def piece_numbers(sizes: list[int], most: int, between: int) -> list[int]:
+    """The piece of each part: that of the part before if both fit with what stands between, else a new one."""
+    steps = accumulate(sizes, lambda at, n: (at[0], at[1] + between + n) if at[1] and at[1] + between + n <= most else (at[0] + 1, n), initial=(0, 0))
+    return [number for number, _ in steps][1:]

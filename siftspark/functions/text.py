@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ GREEK = (("ε", "epsilon"), ("θ", "theta"), ("Σ", "sigma"), ("μ", "mu"))
 CLOSERS = "）)」』\"'】　 "
 REFUSAL = "Insufficient evidence in the provided sources."
 REJECTIONS = ("insufficient evidence", "not enough evidence", "证据不足", "无法从")
+CITATION = r"(?U)\[(\d+)\]"
+EVIDENCE_TOKEN = r"(?U)[^\W_]+(?:[.-][^\W_]+)*|[%±≤≥=+×÷∥εθΣμ]+"
+TABLE_TERM = r"(?U)[\w.+-]+"
+BARS, TIGHT, HYPHEN = "[|`]+", r"(?U)\s*([,.;:()\[\]])\s*", r"(?U)(?<=\w)\s*-\s*(?=\w)"
+OLD_DASHES, OLD_OTHERS = "[-‐‑‒–—−]+", r"(?U)[^\w%.]+"
 
 _MARK = "\u0001"
 
@@ -91,9 +97,12 @@ def merge_terms(found: Column, terms: tuple[str, ...] = DOMAIN_TERMS) -> Column:
     """Greedy from the left: three tokens, then two, whose concatenation is a term become one.
 
     The scan is a fold of (tokens so far, tokens to skip). It runs only for texts in which some
-    neighbours make a term, which one pattern over the joined tokens tells.
+    neighbours make a term, which one pattern over the joined tokens tells, and that only where
+    a term's letters stand one after the other at all.
     """
-    some = F.array_join(found, " ").rlike("(?:^| )(?:" + "|".join(re.escape(s) for t in terms for s in _splits(t)) + ")(?: |$)")
+    letters = F.array_join(found, "")
+    close = reduce(Column.__or__, [F.contains(letters, F.lit(t)) for t in terms])
+    some = close & F.array_join(found, " ").rlike("(?:^| )(?:" + "|".join(re.escape(s) for t in terms for s in _splits(t)) + ")(?: |$)")
     n = F.size(found)
     at = lambda i: F.coalesce(F.get(found, i), F.lit(""))
     two = lambda i: F.concat(at(i), at(i + 1))
@@ -111,7 +120,7 @@ def merge_terms(found: Column, terms: tuple[str, ...] = DOMAIN_TERMS) -> Column:
 
 def sentences(x: Column) -> Column:
     """Sentences with their end marks, trimmed, empty ones dropped; new lines end sentences too."""
-    end = f"((?:(?<![0-9])\\.|\\.(?![0-9])|[!?。！？])[{CLOSERS}]*)"
+    end = f"(?U)((?:(?<!\\d)\\.|\\.(?!\\d)|[!?。！？])[{CLOSERS}]*)"
     marked = F.regexp_replace(F.coalesce(x, F.lit("")), end, f"$1{_MARK}")
     return F.filter(F.transform(F.split(marked, f"[{_MARK}\n]"), trim_space), lambda s: s != "")
 
@@ -133,28 +142,28 @@ def for_evidence(x: Column) -> Column:
 
 def for_alignment(x: Column) -> Column:
     """Evidence text without table bars and back quotes, tight around punctuation and hyphens."""
-    t = F.regexp_replace(for_evidence(x), "[|`]+", " ")
-    t = F.regexp_replace(t, r"(?U)\s*([,.;:()\[\]])\s*", "$1")
-    t = F.regexp_replace(t, r"(?U)(?<=\w)\s*-\s*(?=\w)", "-")
+    t = F.regexp_replace(for_evidence(x), BARS, " ")
+    t = F.regexp_replace(t, TIGHT, "$1")
+    t = F.regexp_replace(t, HYPHEN, "-")
     return trim_space(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 def evidence_tokens(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(for_evidence(x), F.lit(r"(?U)[^\W_]+(?:[.-][^\W_]+)*|[%±≤≥=+×÷∥εθΣμ]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(for_evidence(x), F.lit(EVIDENCE_TOKEN), F.lit(0)))
 
 
 def quote_hash(x: Column, version: str = "unicode-v2") -> Column:
     t = for_evidence(x)
     if version == "legacy-v1":
-        t = F.regexp_replace(t, "[-‐‑‒–—−]+", "")
-        t = trim_space(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w%.]+", " "), r"(?U)\s+", " "))
+        t = F.regexp_replace(t, OLD_DASHES, "")
+        t = trim_space(F.regexp_replace(F.regexp_replace(t, OLD_OTHERS, " "), r"(?U)\s+", " "))
     elif version != "unicode-v2":
         raise ValueError(f"unknown version {version}")
     return F.sha2(t, 256)
 
 
 def table_terms(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(casefold(x), F.lit(r"(?U)[\w.+-]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(casefold(x), F.lit(TABLE_TERM), F.lit(0)))
 
 
 def retrieval_content(title: Column, path: Column, raw: Column, most: int = 30_000) -> Column:
@@ -164,7 +173,7 @@ def retrieval_content(title: Column, path: Column, raw: Column, most: int = 30_0
 
 def citation_numbers(x: Column) -> Column:
     """Sorted distinct numbers of the [n] marks."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda n: n.cast("bigint"))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(CITATION), F.lit(1)), lambda n: n.cast("bigint"))))
 
 
 def valid_citations(x: Column, allowed: Column) -> Column:

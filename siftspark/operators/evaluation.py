@@ -44,9 +44,11 @@ def retrieval_report(ranked: DataFrame, relevant: DataFrame, queries: DataFrame
 
 
 def stage_report(trace: DataFrame, relevant: DataFrame, stages: list[str]) -> DataFrame:
-    """Means for each stage of a trace (qid, stage, rank, id): the ablation."""
-    parts = [means(per_query(trace.filter(F.col("stage") == s), relevant)).withColumn("stage", F.lit(s)) for s in stages]
-    return reduce(DataFrame.unionByName, parts)
+    """Means for each stage of a trace (qid, stage, rank, id), by one aggregation: the ablation. A stage without a hit has zeros."""
+    names = trace.sparkSession.createDataFrame([(s,) for s in stages], "stage string")
+    gold = relevant.select("qid", "id").distinct().join(F.broadcast(names)).select(F.struct("stage", "qid").alias("qid"), "id")
+    scores = per_query(trace.select(F.struct("stage", "qid").alias("qid"), "id", "rank"), gold)
+    return means(scores.withColumn("stage", F.col("qid.stage")).drop("qid"), ["stage"])
 
 
 def ablation(runs: DataFrame, relevant: DataFrame, cited: DataFrame | None = None, required: DataFrame | None = None) -> DataFrame:

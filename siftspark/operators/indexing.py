@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftspark import shared
 from siftspark.functions import text as T
 
 
 @dataclass
 class SparseIndex:
-    """postings(id, term, tf), documents(id, dl), terms(term, df, idf), corpus(n_docs, avgdl): one row."""
+    """postings(id, term, tf, dl), documents(id, dl), terms(term, df, idf), corpus(n_docs, avgdl): one row."""
 
     postings: DataFrame
     documents: DataFrame
@@ -34,15 +38,28 @@ class SparseIndex:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "terms", "corpus")))
 
 
+def tokenised(documents: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, terms): the tokens of each document, in order."""
+    return documents.select(F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+
+
 def postings(documents: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf); a document without tokens has no posting."""
-    found = documents.select(F.col(id_col).alias("id"), F.explode(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
-    return found.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf, dl); a document without tokens has no posting."""
+    return counted(tokenised(documents, id_col, text_col))
+
+
+def counted(tokens: DataFrame) -> DataFrame:
+    found = tokens.select("id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    return found.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
 
 
 def document_stats(documents: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, dl): the number of tokens, 0 included. No shuffle."""
-    return documents.select(F.col(id_col).alias("id"), F.size(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("dl"))
+    return lengths(tokenised(documents, id_col, text_col))
+
+
+def lengths(tokens: DataFrame) -> DataFrame:
+    return tokens.select("id", F.size("terms").cast("long").alias("dl"))
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -59,8 +76,13 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def build_sparse(documents: DataFrame, id_col: str = "id", text_col: str = "text") -> SparseIndex:
-    posted = postings(documents, id_col, text_col)
-    docs = document_stats(documents, id_col, text_col)
+    """The index of documents. Texts are tokenised once: tokens and postings go to the shared folder, what follows from them is read off there."""
+    tokens = shared.stored(tokenised(documents, id_col, text_col), "tokens")
+    return from_parts(shared.stored(counted(tokens), "postings"), lengths(tokens))
+
+
+def from_parts(posted: DataFrame, docs: DataFrame) -> SparseIndex:
+    """An index of stored postings and document lengths."""
     corpus = corpus_stats(docs)
     # one row on the right: a broadcast of bounded size
     terms = term_stats(posted).join(F.broadcast(corpus)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
@@ -85,20 +107,38 @@ def zero_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int | No
     return vectors.select(F.col(id_col).alias("id"), code.alias("code")).filter("code is not null")
 
 
-def hashed_embeddings(texts: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64) -> DataFrame:
-    """(id, bucket, weight): a deterministic bag-of-words vector in long form, of unit length.
+def _buckets(text: Column, dim: int) -> Column:
+    """The bucket of each white-space token: md5(token) mod dim, which the last two hex digits tell."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.conv(F.right(F.md5(w), F.lit(2)), 16, 10).cast("int").bitwiseAND(dim - 1))
+
 
-    A white-space token falls into the bucket md5(token) mod dim; dim is a power of two up to 256,
-    so the last two hex digits tell it.
+def hashed_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64) -> DataFrame:
+    """(id, vector array<double>): a deterministic bag-of-words vector of unit length, zero for a text without words. No shuffle.
+
+    dim is a power of two up to 256.
     """
     if dim & (dim - 1) or not 0 < dim <= 256:
         raise ValueError("dim is a power of two up to 256")
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != "")
-    found = texts.select(F.col(id_col).alias("id"), F.explode(words).alias("word"))
-    bucket = F.conv(F.right(F.md5("word"), F.lit(2)), 16, 10).cast("int").bitwiseAND(dim - 1)
-    counts = found.groupBy("id", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    length = counts.groupBy("id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("length"))
-    return counts.join(length, "id").select("id", "bucket", (F.col("n") / F.col("length")).alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = b.column("buckets")
+            sizes = np.diff(found.offsets.to_numpy())
+            place = np.repeat(np.arange(b.num_rows), sizes) * dim + found.flatten().to_numpy()
+            counts = np.bincount(place, minlength=b.num_rows * dim).reshape(b.num_rows, dim).astype(float)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            unit = counts / np.where(length > 0, length, 1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(unit.ravel()))], names=["id", "vector"])
+
+    rows = texts.select(F.col(id_col).alias("id"), _buckets(F.col(text_col), dim).alias("buckets"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
+
+
+def hashed_embeddings(texts: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64) -> DataFrame:
+    """(id, bucket, weight): hashed_vectors in long form, without the zeros."""
+    spread = hashed_vectors(texts, id_col, text_col, dim).select("id", F.posexplode("vector").alias("bucket", "weight"))
+    return spread.filter("weight > 0")
 
 
 def allocate_ids(chunks: DataFrame, order: list[str], id_col: str = "index_id") -> DataFrame:
@@ -109,7 +149,8 @@ def allocate_ids(chunks: DataFrame, order: list[str], id_col: str = "index_id")
     """
     new = chunks.filter(F.col(id_col).isNull())
     top = chunks.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("top"))
-    placed = new.drop(id_col).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    # stored, as two branches read it and partitions must be the same in both
+    placed = shared.stored(new.drop(id_col).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
     ranked = placed.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")

@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark import shared
 from siftspark.functions import text as T
+from siftspark.operators import indexing
 from siftspark.operators.indexing import SparseIndex
 
 #: Queries whose vectors one pass may broadcast.
@@ -82,14 +84,17 @@ def bm25(queries: DataFrame, index: SparseIndex, k: int | None = 30, k1: float =
 
     A scope (id) filters postings before scoring; N, df and average length stay those of the corpus.
     """
-    posted = index.postings
+    asked = shared.stored(query_terms(queries), "asked")
+    words = shared.few(asked.select("term").distinct())
+    # only the postings of asked terms go on; they don't move where the questions' terms can be broadcast
+    posted = index.postings.join(words, "term")
+    weights = posted.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(index.corpus)).select("term", indexing.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
     if scope is not None:
         posted = posted.join(scope.select("id"), "id", "left_semi")
-    terms = query_terms(queries).join(index.terms.select("term", "idf"), "term")
+    terms = shared.few(shared.stored(asked.join(weights, "term"), "weights"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    hits = posted.join(terms, "term").join(index.documents, "id").join(F.broadcast(index.corpus))
-    found = hits.groupBy("qid", "id").agg(F.sum(part).alias("score"), F.count("*").alias("hits"), F.max("n_terms").alias("n_terms"))
+    found = posted.join(terms, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"), F.count("*").alias("hits"), F.max("n_terms").alias("n_terms"))
     return ranked(found.filter(F.col("hits") >= F.least(F.lit(minimum), F.col("n_terms"))).select("qid", "id", "score"), k)
 
 

@@ -87,7 +87,7 @@ WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lam
 RERANK = _ranked_sql("reranked", f"select f.qid, f.id, case when len({WORDS.format('b.text')}) > 0 and len({WORDS.format('d.text')}) > 0 then len(list_intersect({WORDS.format('b.text')}, {WORDS.format('d.text')})) / len({WORDS.format('b.text')})::double else 0.0 end as score from fused f join benchmark b on b.item_id = f.qid join documents d on d.doc_id = f.id")
 SELECTED = "selected as (select qid, id, score, rank, row_number() over (partition by qid order by rank) as position from (select *, row_number() over (partition by qid order by rank) as n from (select r.*, row_number() over (partition by r.qid, sha256(d.text) order by r.rank) as m from reranked r join documents d on d.doc_id = r.id) where m = 1) where n <= 8)"
 HYBRID = f"with {POSTINGS}, {ASKED}, {EMBED}, {DENSE}, {_bm25_sql('sparse', 30)}, {FUSED}, {RERANK}, {SELECTED}"
-GOLD = "gold as (select item_id as qid, doc_id as id from benchmark b, documents d where contains(d.text, b.text) and len(list_filter(regexp_split_to_array(b.text, '[ \\n]'), lambda x: x <> '')) > 6)"
+GOLD = "gold as (select item_id as qid, doc_id as id from benchmark b, documents d where contains(d.text, b.text))"
 SCORES = """scores as (select g.qid, {cols} from (select qid, count(*) as n from gold group by 1) g left join (select s.qid, min(s.rank) as first, {hits} from {ranked} s join gold using (qid, id) group by 1) h using (qid))"""
 
 
@@ -229,7 +229,7 @@ def markdown_paragraphs(spark, d):
 
 @query(f"with {POSTINGS} select id as doc_id, term, tf from posted")
 def postings(spark, d):
-    return indexing.postings(docs(spark, d)).withColumnRenamed("id", "doc_id")
+    return indexing.postings(docs(spark, d)).select(F.col("id").alias("doc_id"), "term", "tf")
 
 
 @query(f"with {POSTINGS} select id as doc_id, dl::bigint as dl from lengths")
@@ -417,16 +417,15 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
 
 
 NEIGHBOURS = "near as (select h.qid, h.document_id, h.chunk_index as owner_index, h.rank, l.chunk_index, l.raw_content, l.chunk_index - h.chunk_index as off from hits h join lines l on l.document_id = h.document_id and abs(l.chunk_index - h.chunk_index) = 1 where not exists (select 1 from hits x where x.qid = h.qid and x.document_id = l.document_id and x.chunk_index = l.chunk_index)), one as (select * from (select *, row_number() over (partition by qid, document_id, chunk_index order by rank, off) as n from near) where n = 1), every as (select qid, document_id, chunk_index, raw_content, rank, -1000000 as off, 'retrieved' as source from hits union all select qid, document_id, chunk_index, raw_content, rank, off, 'expanded' from one), placed as (select *, row_number() over (partition by qid order by rank, off) as position from every)"
-LONG = "(select item_id from benchmark where len(list_filter(regexp_split_to_array(text, '[ \\n]'), lambda x: x <> '')) > 6)"
 
 
-@query(f"with {LINES}, {LINE_HITS}, {NEIGHBOURS} select qid, position, document_id, chunk_index::int as chunk_index, source from placed where qid in {LONG}")
+@query(f"with {LINES}, {LINE_HITS}, {NEIGHBOURS} select qid, position, document_id, chunk_index::int as chunk_index, source from placed")
 def neighbours(spark, d):
     out = context.with_neighbours(chunk_rows(line_hits(spark, d)), chunk_rows(lines(spark, d)))
     return out.select("qid", F.col("position").cast("long"), "document_id", "chunk_index", "source")
 
 
-@query(f"with {LINES}, {LINE_HITS}, {NEIGHBOURS}, r as (select *, sum(case when source = 'expanded' and lag_doc = document_id then 0 else 1 end) over (partition by qid order by position) as run from (select *, lag(document_id) over (partition by qid order by position) as lag_doc from placed)), b as (select qid, run, string_agg(raw_content, chr(10) order by position) as content from r group by 1, 2), u as (select *, 4000 - coalesce(sum(length(content)) over (partition by qid order by run rows between unbounded preceding and 1 preceding), 0) as room from b) select qid, row_number() over (partition by qid order by run) as block, room < length(content) as truncated, case when room >= length(content) then length(content) end as whole_length from u where room > 0 and qid in {LONG}")
+@query(f"with {LINES}, {LINE_HITS}, {NEIGHBOURS}, r as (select *, sum(case when source = 'expanded' and lag_doc = document_id then 0 else 1 end) over (partition by qid order by position) as run from (select *, lag(document_id) over (partition by qid order by position) as lag_doc from placed)), b as (select qid, run, string_agg(raw_content, chr(10) order by position) as content from r group by 1, 2), u as (select *, 4000 - coalesce(sum(length(content)) over (partition by qid order by run rows between unbounded preceding and 1 preceding), 0) as room from b) select qid, row_number() over (partition by qid order by run) as block, room < length(content) as truncated, case when room >= length(content) then length(content) end as whole_length from u where room > 0")
 def packed_context(spark, d):
     """Blocks within 1000 tokens; the length of cut blocks is left to tests."""
     results = context.with_neighbours(chunk_rows(line_hits(spark, d)), chunk_rows(lines(spark, d)))

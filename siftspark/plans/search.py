@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark import shared
 from siftspark.config import RetrievalConfig
 from siftspark.operators import indexing, retrieval
 
 
-def hashed_dense(queries: DataFrame, documents: DataFrame, k: int | None) -> DataFrame:
-    """Inner products of hashed bag-of-words vectors: (qid, id, score, rank). Sparse vectors meet by bucket."""
-    q = indexing.hashed_embeddings(queries, "qid", "text").withColumnsRenamed({"id": "qid", "weight": "a"})
-    d = indexing.hashed_embeddings(documents, "id", "text").withColumnRenamed("weight", "b")
-    found = d.join(q, "bucket").groupBy("qid", "id").agg(F.sum(F.col("a") * F.col("b")).alias("score"))
-    return retrieval.ranked(found, k)
+def hashed_dense(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """The best k inner products of hashed bag-of-words vectors, of those above zero: (qid, id, score, rank)."""
+    asked = indexing.hashed_vectors(queries, "qid", "text").withColumnRenamed("id", "qid")
+    return retrieval.dense(asked, indexing.hashed_vectors(documents, "id", "text"), k).filter("score > 0")
 
 
 def stages(queries: DataFrame, documents: DataFrame, cfg: RetrievalConfig | None = None, scope: DataFrame | None = None) -> dict[str, DataFrame]:
-    """dense, bm25, fused, reranked and selected results of queries (qid, text) over documents (id, text)."""
+    """dense, bm25, fused, reranked and selected results of queries (qid, text) over documents (id, text).
+
+    Each stage has some rows per query; it is stored, so that what reads several stages computes each once.
+    """
     cfg = cfg or RetrievalConfig()
     index = indexing.build_sparse(documents)
     own = documents if scope is None else documents.join(scope.select("id"), "id", "left_semi")
-    dense = hashed_dense(queries, own, cfg.dense_top_k)
-    sparse = retrieval.bm25(queries, index, cfg.sparse_top_k, cfg.k1, cfg.b, cfg.minimum_should_match, scope)
-    fused = retrieval.rrf(dense, sparse, cfg.rrf_k, cfg.fused_top_k)
-    again = retrieval.reranked(fused, queries, documents)
-    info = documents.select("id", F.sha2("text", 256).alias("content_hash"))
-    hits = again.join(info, "id").select("qid", "id", "rank", "score", "content_hash", F.col("id").cast("string").alias("document_id"), F.lit("").alias("version_id"), F.lit("").alias("table_id"))
+    dense = shared.stored(hashed_dense(queries, own, cfg.dense_top_k), "dense")
+    sparse = shared.stored(retrieval.bm25(queries, index, cfg.sparse_top_k, cfg.k1, cfg.b, cfg.minimum_should_match, scope), "sparse")
+    fused = shared.stored(retrieval.rrf(dense, sparse, cfg.rrf_k, cfg.fused_top_k), "fused")
+    again = shared.stored(retrieval.reranked(fused, queries, documents), "reranked")
+    texts = documents.join(shared.few(again.select("id").distinct()), "id").select("id", F.sha2("text", 256).alias("content_hash"))
+    hits = again.join(texts, "id").select("qid", "id", "rank", "score", "content_hash", F.col("id").cast("string").alias("document_id"), F.lit("").alias("version_id"), F.lit("").alias("table_id"))
     return {"dense": dense, "bm25": sparse, "fused": fused, "reranked": again, "selected": retrieval.select_evidence(hits, cfg.top_k)}
 
 
@@ -50,9 +52,9 @@ def gold(queries: DataFrame, documents: DataFrame, id_col: str = "id") -> DataFr
     q = q.filter("size(w) > 6").select("qid", "quote", F.xxhash64(head(F.lit(2))).alias("key"))
     d = documents.select("id", words.alias("w")).filter("size(w) > 4")
     d = d.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(head(i))))).alias("key"))
-    near = d.join(q, "key").select("qid", "id", "quote").distinct()
+    near = d.join(shared.few(shared.stored(q, "quotes")), "key").select("qid", "id", "quote").distinct()
     texts = documents.select("id", "text")
-    long = near.join(texts, "id").filter(F.contains("text", "quote")).select("qid", "id")
+    long = texts.join(shared.few(shared.stored(near, "near")), "id").filter(F.contains("text", "quote")).select("qid", "id")
     return long.unionByName(texts.join(short, F.contains("text", "quote")).select("qid", "id"))
 
 

@@ -43,11 +43,7 @@ def start(stream: DataFrame, root: str, cfg: ChunkConfig | None = None, once: bo
 
 def read_index(spark: SparkSession, root: str) -> indexing.SparseIndex:
     """The index over all batches so far."""
-    posted = spark.read.parquet(f"{root}/postings").drop("batch")
-    docs = spark.read.parquet(f"{root}/documents").drop("batch")
-    corpus = indexing.corpus_stats(docs)
-    terms = indexing.term_stats(posted).join(F.broadcast(corpus)).select("term", "df", indexing.idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    return indexing.SparseIndex(posted, docs, terms, corpus)
+    return indexing.from_parts(spark.read.parquet(f"{root}/postings").drop("batch"), spark.read.parquet(f"{root}/documents").drop("batch"))
 
 
 STATE = "progress int, stage string, events long"

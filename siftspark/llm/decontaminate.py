@@ -24,17 +24,21 @@ from pyspark.sql import functions as F
 from siftspark.llm import textscan
 
 NGRAM = 10
-#: Characters of benchmark text that one pass may broadcast; a larger benchmark goes in several passes.
-BLOCK_CHARS = 32 << 20
+#: Characters of benchmark text in one pass; a larger benchmark goes in several. A window takes 24 bytes of
+#: arrays, so what is broadcast has 13 bytes a character at most, where every word is one letter (some 5 as a rule).
+BLOCK_CHARS = 4 << 20
 
 HITS = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 class Grams:
-    """The windows of a block of items, by length and hash."""
+    """The windows of a block of items, by length: sorted hashes, the item of each and where its words stand."""
 
     def __init__(self, rows: list[tuple[str, str]], n: int):
-        self.by_length: dict[int, dict[int, list[tuple[bytes, list[str]]]]] = {}
+        self.items = sorted({item for item, _ in rows})
+        place = {x: k for k, x in enumerate(self.items)}
+        texts, size = [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             w = textscan.words(raw, np.array([0, len(raw)]), textscan.ALNUM, True)
@@ -42,32 +46,46 @@ class Grams:
                 continue
             length = min(n, len(w.hash))
             hashes, at = textscan.windows(w, length)
-            found = self.by_length.setdefault(length, defaultdict(list))
-            for h, i in zip(hashes.tolist(), at.tolist(), strict=True):
-                words = w.text(i, i + length)
-                for known, items in found[h]:
-                    if known == words:
-                        if item not in items:
-                            items.append(item)
-                        break
-                else:
-                    found[h].append((words, [item]))
-        self.keys = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in self.by_length.items()}
+            ends = np.cumsum(w.end - w.start + 1)  # each word is followed by a space
+            starts = ends - (w.end - w.start + 1)
+            found[length].append((hashes, np.full(len(at), place[item], np.int32), size + starts[at], (ends[at + length - 1] - 1 - starts[at]).astype(np.int32)))
+            texts.append(w.text(0, len(w.hash)) + b" ")
+            size += len(texts[-1])
+        self.text = b"".join(texts)
+        self.by_length = {k: self._distinct(*map(np.concatenate, zip(*v, strict=True))) for k, v in found.items()}
+
+    def _distinct(self, hashes: np.ndarray, item: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """In order of hash and item, without the windows that an item repeats."""
+        order = np.lexsort((item, hashes))
+        hashes, item, start, size = hashes[order], item[order], start[order], size[order]
+        keep = np.ones(len(hashes), bool)
+        first = 0
+        for k in range(1, len(hashes)):
+            if hashes[k] != hashes[first] or item[k] != item[first]:
+                first = k
+            else:  # another one under the same hash stays if its words differ
+                keep[k] = self._words(start[k], size[k]) != self._words(start[first], size[first])
+        return hashes[keep], item[keep], start[keep], size[keep]
+
+    def _words(self, start: int, size: int) -> bytes:
+        return self.text[start : start + size]
 
     def hits(self, w: textscan.Words) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, length, items) of each verified occurrence."""
-        for length, keys in self.keys.items():
+        for length, (keys, item, start, size) in self.by_length.items():
             hashes, at = textscan.windows(w, length)
             if not len(hashes):
                 continue
-            near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            found = self.by_length[length]
-            for k in np.flatnonzero(keys[near] == hashes).tolist():
-                i = int(at[k])
+            near = np.searchsorted(keys, hashes)
+            for k in np.flatnonzero(keys[np.minimum(near, len(keys) - 1)] == hashes).tolist():
+                i, g, own = int(at[k]), int(near[k]), []
                 words = w.text(i, i + length)
-                for known, items in found[int(hashes[k])]:
-                    if known == words:
-                        yield i, length, items
+                while g < len(keys) and keys[g] == hashes[k]:
+                    if self._words(start[g], size[g]) == words:
+                        own.append(self.items[item[g]])
+                    g += 1
+                if own:
+                    yield i, length, own
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
@@ -154,61 +172,68 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, r
     """The documents, all columns kept, without the words that a benchmark window covers.
 
     remove: "spans" cuts the covered words with the separators that follow them, "documents"
-    drops every document with a hit. Rows without a hit come back unchanged.
+    drops every document with a hit. Rows without a hit come back unchanged. Windows are judged
+    on the texts as given, whatever the number of blocks: spans are gathered first, then cut.
     """
     if remove not in ("spans", "documents"):
         raise ValueError(f"remove is spans or documents, not {remove}")
     spark = documents.sparkSession
-    out, schema = documents, documents.schema
+    spans = "spans"
+    while spans in documents.columns:
+        spans += "_"
+    out = documents.withColumn(spans, F.array().cast("array<int>"))
+    schema = out.schema
     for block in _blocks(benchmark, item_col, item_text_col, block_chars):
         grams = spark.sparkContext.broadcast(Grams(block, n))
 
-        def run(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], grams=grams) -> Iterator[pa.RecordBatch]:
+            """Adds first and last word of each hit."""
             own = grams.value
             for b in batches:
-                k = b.schema.get_field_index(text_col)
-                kept, changed = np.ones(b.num_rows, bool), {}
-                for i, _, w in textscan.scan(b.column(k), textscan.ALNUM, True):
-                    hit = np.zeros(len(w.hash), bool)
-                    for at, length, _ in own.hits(w):
-                        hit[at : at + length] = True
-                    if not hit.any():
-                        continue
-                    for d in np.unique(np.searchsorted(w.offsets, np.flatnonzero(hit), "right") - 1).tolist():
-                        kept[i + d] = False
-                        if remove == "spans":
-                            changed[i + d] = _without(b.column(k)[i + d].as_py(), w, d, hit)
-                if changed:
-                    texts = b.column(k).to_pylist()
-                    for row, text in changed.items():
-                        texts[row] = text
-                    b = b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
-                yield b if remove == "spans" else b.filter(pa.array(kept))
-
-        out = out.mapInArrow(run, schema)
-    return out
-
-
-def _without(text: str, w: textscan.Words, d: int, hit: np.ndarray) -> str:
-    raw, lo, hi = text.encode(), int(w.offsets[d]), int(w.offsets[d + 1])
-    base = _document_start(w, d, raw)
-    parts, at = [], 0
-    i = lo
-    while i < hi:
-        if hit[i]:
-            j = i
-            while j < hi and hit[j]:
-                j += 1
-            parts.append(raw[at : int(w.start[i]) - base])
-            at = int(w.start[j]) - base if j < hi else len(raw)
-            i = j
-        else:
-            i += 1
-    parts.append(raw[at:])
-    return b"".join(parts).decode()
-
-
-def _document_start(w: textscan.Words, d: int, raw: bytes) -> int:
-    """Where document d starts in the slice's bytes: its first word is at the same place in its own text."""
-    own = textscan.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), textscan.ALNUM, True)
-    return int(w.start[w.offsets[d]]) - int(own.start[0])
+                at, k = b.schema.get_field_index(text_col), b.schema.get_field_index(spans)
+                found: dict[int, list[int]] = defaultdict(list)
+                for i, _, w in textscan.scan(b.column(at), textscan.ALNUM, True):
+                    for first, length, _ in own.hits(w):
+                        d = int(np.searchsorted(w.offsets, first, "right")) - 1
+                        found[i + d] += [first - int(w.offsets[d]), first - int(w.offsets[d]) + length]
+                if found:
+                    lists = b.column(k).to_pylist()
+                    for row, more in found.items():
+                        lists[row] = lists[row] + more
+                    b = b.set_column(k, b.schema.field(k), pa.array(lists, b.schema.field(k).type))
+                yield b
+
+        out = out.mapInArrow(find, schema)
+    if remove == "documents":
+        return out.filter(F.size(f"`{spans}`") == 0).drop(spans)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, k = b.schema.get_field_index(text_col), b.schema.get_field_index(spans)
+            hits = {row: x for row, x in enumerate(b.column(k).to_pylist()) if x}
+            b = b.remove_column(k)
+            if hits:
+                texts = b.column(at).to_pylist()
+                for row, x in hits.items():
+                    texts[row] = _without(texts[row], x)
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield b
+
+    return out.mapInArrow(cut, documents.schema)
+
+
+def _without(text: str, spans: list[int]) -> str:
+    """A text without the words of the spans (first word, last + 1, and so on) and what follows each up to the next word."""
+    raw = text.encode()
+    w = textscan.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), textscan.ALNUM, False)
+    hit = np.zeros(len(w.start), bool)
+    for a, e in zip(spans[::2], spans[1::2], strict=True):
+        hit[a:e] = True
+    starts = np.append(w.start, len(raw))
+    begin = np.flatnonzero(hit & ~np.insert(hit[:-1], 0, False))
+    end = np.flatnonzero(hit & ~np.append(hit[1:], False)) + 1
+    kept, at = [], 0
+    for a, e in zip(starts[begin].tolist(), starts[end].tolist(), strict=True):
+        kept.append(raw[at:a])
+        at = e
+    return b"".join([*kept, raw[at:]]).decode()

@@ -35,7 +35,7 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.05
 #: The share of the uniform model in each language's: a key or a number in a text doesn't make it no language.
 UNIFORM = 0.05
-TEMPER, MOST_TRIGRAMS = 0.3, 2000
+TEMPER = 0.3
 LEAST = 0.5
 #: Pseudo-counts of the upper level in a host's and a domain's prior, and in the tables of declarations.
 HOST_WEIGHT, DOMAIN_WEIGHT, TABLE_WEIGHT = 20.0, 100.0, 2.0
@@ -86,14 +86,14 @@ def fit(rows: list[tuple[str | None, str]]) -> TextModel:
     """Models of (text, language) rows."""
     languages = sorted({x for _, x in rows})
     counts = np.zeros((len(languages), BUCKETS))
-    for k, language in enumerate(languages):
-        for text, x in rows:
-            if x == language:
-                b = _buckets(np.frombuffer((text or "").encode(), np.uint8))
-                counts[k] += np.bincount(b[b >= 0], minlength=BUCKETS)
+    place = {x: k for k, x in enumerate(languages)}
+    for text, x in rows:
+        b = _buckets(np.frombuffer((text or "").encode(), np.uint8))
+        counts[place[x]] += np.bincount(b[b >= 0], minlength=BUCKETS)
     p = (counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
     p = (1 - UNIFORM) * p + UNIFORM * 4 / BUCKETS
-    return TextModel(languages, np.concatenate((np.log(p), np.zeros((len(languages), 1))), axis=1), -math.log(BUCKETS / 4))
+    weights = np.concatenate((np.log(p), np.zeros((len(languages), 1))), axis=1).astype(np.float32)
+    return TextModel(languages, weights, -math.log(BUCKETS / 4))
 
 
 def sample(documents: DataFrame, lang: Column, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str | None, str]]:
@@ -149,14 +149,15 @@ def _scored(rows: DataFrame, model: TextModel) -> DataFrame:
         for b in batches:
             textscan.forget()
             data, offsets = textscan.spans(b.column("text"))
-            for i, j in textscan.slices(offsets, 1 << 19):
+            for i, j in textscan.slices(offsets, 1 << 18):
                 part = b.slice(i, j - i)
                 mean, count = own.likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                used = TEMPER * np.minimum(count, MOST_TRIGRAMS)
+                used = TEMPER * count
                 evidence = np.concatenate((mean * used[:, None], (own.und * used)[:, None]), axis=1)
                 best = np.where(count > 0, mean.argmax(1), len(own.languages)) if own.languages else np.zeros(j - i, int)
                 best = np.where(evidence[np.arange(j - i), best] >= evidence[:, -1], best, len(own.languages))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], pa.array(count.astype(np.int64)), textscan.list_column(evidence.ravel(), np.arange(j - i + 1) * evidence.shape[1], pa.float64()), pa.array(best, pa.int32())], names=[*others, "n_trigrams", "evidence", "text_best"])
+            textscan.release()
 
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
     return rows.select(*others, "text").mapInArrow(run, f"{kinds}, n_trigrams long, evidence array<double>, text_best int")
@@ -233,20 +234,19 @@ def identified(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def identified_pages(pages: DataFrame, documents: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The languages of web pages: main text, the markup's declared language, the address and its host. Text models come from documents."""
+    """The languages of web pages, one row per row: main text, the markup's declared language, the address and its host. Text models come from documents."""
     from siftspark.llm import html_extract
 
     model = fit(sample(documents, declared_language(F.col("lang"))))
-    texts = html_extract.extracted(pages, id_col, url_col, html_col)
     markup = F.regexp_extract(F.col(html_col).cast("string"), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z_-]+)""", 1)
-    said = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("u"), declared_language(markup).alias("declared")).distinct()
-    both = texts.join(said, (texts.page_id == said.page_id) & texts.url.eqNullSafe(said.u), "left").drop(said.page_id)
-    rows = both.select(F.col("page_id").alias("doc_id"), "text", "declared", address_language(F.col("url"), model.languages).alias("address"), url_host(F.col("url")).alias("host"))
+    texts = html_extract.extracted(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), declared_language(markup).alias("declared")), also=("declared",))
+    rows = texts.select(F.col("page_id").alias("doc_id"), "text", "declared", address_language(F.col("url"), model.languages).alias("address"), url_host(F.col("url")).alias("host"))
     return fused(rows, model).withColumnRenamed("doc_id", "page_id")
 
 
 def accepted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents, all columns kept, without those that the identification rejects. Rows with the same id stay if one of them is accepted."""
     found = identified(documents, id_col, text_col, lang_col, source_col)
-    gone = found.groupBy("doc_id").agg(F.max("accepted").alias("ok")).filter("not ok").select(F.col("doc_id").alias("__gone"))
-    return documents.join(storage.small(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = found.groupBy("doc_id").agg(F.max("accepted").alias("ok")).filter("not ok").select("doc_id")
+    gone = storage.small(gone)
+    return documents.join(gone, documents[f"`{id_col}`"].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftspark import shared
 from siftspark.functions import text as T
 from siftspark.operators import chunking, context, evaluation, indexing, lifecycle, retrieval
 from siftspark.plans import search
@@ -31,7 +32,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table as it is read; texts in a single file's row group would else be one core's work."""
+    found = spark.read.parquet(f"{d}/{name}.parquet")
+    return shared.spread(found) if name in ("documents", "pages") else found
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:

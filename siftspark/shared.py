@@ -33,3 +33,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def few(df: DataFrame, most: int = FEW) -> DataFrame:
     """A table of short rows, marked for a broadcast if it has at most ``most`` rows; else it is joined by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores, dealt out to all of them; others stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

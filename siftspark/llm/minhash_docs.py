@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import storage, textscan
-from siftspark.llm.components import components, contract
+from siftspark.llm.components import components
 
 COORDINATES, MINIMA = 32, 3
 #: Standard deviations below the expected matches at the threshold.
 DEVIATIONS = 5.0
-#: Members of one list whose signatures are compared in one task; shared shingles and rows at a time.
-BLOCK, _COLUMNS, _ROWS, _FEW = 4096, 2048, 512, 16
+#: Members of a block of a list, and shingles of them; two blocks are compared in one task. Shared shingles and rows at a time.
+BLOCK, BLOCK_SHINGLES, _COLUMNS, _ROWS, _FEW = 2048, 1 << 20, 2048, 512, 16
 BINS = 128
 
 _ODD = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 62, COORDINATES * MINIMA, dtype=np.uint64) * np.uint64(4) + np.uint64(3)
@@ -200,12 +200,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
 def _open(members: DataFrame, lists: DataFrame, coordinates: int, least: int, percent: int, block: int) -> DataFrame:
     """(cell, rep, k1, left, right): members with a likely partner in another component, in the first list that both share.
 
-    A list of more than block members is cut into blocks, and each pair of blocks is a cell,
-    which is work of its own.
+    A list of more than block members, or of more than BLOCK_SHINGLES shingles, is cut into
+    blocks, and each pair of blocks is a cell, which is work of its own.
     """
     placed = members.join(lists, "key")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.sum("n").alias("weight")).filter("a <> b").select("key", "weight")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     cells = placed.join(storage.stored(mixed, "mixed"), "key").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = cells.select("rep", "n", "k1", "sig", "mask", "component", F.shiftright("key", 32).cast("int").alias("coordinate"), F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
 
@@ -273,18 +273,32 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatc
     textscan.release()
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs (one of left, one of right) of sorted distinct sets at the threshold.
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each of the sorted distinct sets the smallest place that it reaches by links of one of left and one of right.
+
+    known: what is linked already, as such places.
 
     Sizes of intersections are products of 0/1 matrices over the members that more than one set
-    has, some thousand columns at a time; float32 holds them exactly.
+    has, some thousand columns at a time; float32 holds them exactly. The links of some hundred
+    rows are joined before the next are computed, so no list of pairs grows with their number.
     """
     sizes = np.array([len(x) for x in sets])
+    label = np.arange(len(sets)) if known is None else known.copy()
+
+    def join(i: int, near: np.ndarray) -> None:
+        old = np.append(label[near], label[i])
+        if old.min() < old.max():
+            gone = np.zeros(len(label), bool)
+            gone[old] = True
+            label[gone[label]] = old.min()
+
     if len(left) * len(right) <= _FEW:
-        pairs = [(i, j) for i in left.tolist() for j in right.tolist() if i != j]
-        both = [len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs]
-        ok = [(i, j) for (i, j), n in zip(pairs, both, strict=True) if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n)]
-        return np.array([i for i, _ in ok], np.int64), np.array([j for _, j in ok], np.int64)
+        for i in left.tolist():
+            for j in right.tolist():
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True)) if label[i] != label[j] else 0
+                if both and 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    join(i, np.array([j]))
+        return label
     members, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     who = np.repeat(np.arange(len(sets)), sizes)
     shared = counts > 1
@@ -293,7 +307,7 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
     who, column = who[use], column[inverse[use]]
     order = np.argsort(column, kind="stable")
     who, column = who[order], column[order]
-    us, vs = [], []
+    del members, inverse, order
     for k in range(0, len(left), _ROWS):
         rows = left[k : k + _ROWS]
         common = np.zeros((len(rows), len(right)), np.float32)
@@ -302,11 +316,10 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
             m = np.zeros((len(sets), min(_COLUMNS, int(shared.sum()) - c)), np.float32)
             m[who[a:b], column[a:b] - c] = 1
             common += m[rows] @ m[right].T
-        union = sizes[rows][:, None] + sizes[right][None, :] - common
-        i, j = np.nonzero((100 * common >= percent * union) & (common > 0))
-        us.append(rows[i])
-        vs.append(right[j])
-    return np.concatenate(us), np.concatenate(vs)
+        ok = (common > 0) & (100 * common >= percent * (sizes[rows][:, None] + sizes[right][None, :] - common))
+        for r in np.flatnonzero(ok.any(axis=1)).tolist():
+            join(int(rows[r]), right[ok[r]])
+    return label
 
 
 def _links(cells: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -327,11 +340,11 @@ def _links(cells: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
             ok = np.array([len(x) > 0 and x.sum().view(np.int64) == k for x, k in zip(sets, cell.column("k1").to_numpy(), strict=True)])
             left, right = (np.flatnonzero(cell.column(k).to_numpy(zero_copy_only=False) & ok) for k in ("left", "right"))
             if len(left) and len(right):
-                i, j = linked_pairs(sets, left, right, percent)
-                rep = cell.column("rep").to_numpy()
-                hi, lo = contract(rep[i], rep[j])
-                if len(hi):
-                    yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["u", "v"])
+                label = linked(sets, left, right, percent)
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                if len(moved):
+                    rep = cell.column("rep").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], names=["u", "v"])
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
@@ -364,5 +377,5 @@ def grouped(documents: DataFrame, shingle_words: int, percent: int = 80, id_col:
 
 def deduplicated(documents: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, of which one row per group stays: that of the smallest id. Rows that repeat a kept id stay."""
-    gone = grouped(documents, shingle_words, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(storage.small(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = storage.small(grouped(documents, shingle_words, percent, id_col, text_col).filter("not kept").select("doc_id").distinct())
+    return documents.join(gone, documents[f"`{id_col}`"].cast("long") == gone["doc_id"], "left_anti")

@@ -1,15 +1,18 @@
 """Toxicity by compression distance under two zstandard dictionaries.
 
-From a bounded sample of labelled documents one dictionary is trained on ordinary text and one
-on the windows that set toxic text apart. A window of a document is compressed twice: with
-the ordinary dictionary, and with the toxic one put before it. The bytes that the toxic
-dictionary saves are the window's distance; a logistic model, fitted on the sample, calibrates
-the windows' distances to a score of the document whose threshold is 0.5.
+From a bounded sample of labelled documents two dictionaries are trained: one on windows of
+ordinary documents, and one on the words of toxic documents that set them apart (dictionaries
+of all their windows tell toxic documents far worse, see the README). A window of a document is
+compressed with the ordinary dictionary, and with the toxic one before it. The bytes that the
+toxic dictionary saves are the window's distance; a logistic model of the windows' distances,
+fitted on folds that trained neither dictionary, gives the document's score, and its threshold
+is 0.5.
 
 Only the text is scored. Texts are lower-cased and cut into windows of about WINDOW bytes
-between words; whole texts are scored, however long. Defined results: null and empty texts get
-the score of a document without any distance; rows that repeat score alike; with no toxic or no
-ordinary document in the sample every score is the share of toxic labels (0 without labels).
+between words; whole texts are scored, however long or short. Defined results: null and empty
+texts get the score of a document without any distance; rows that repeat score alike; with no
+toxic or no ordinary document in the sample, or where distances tell the kinds apart no better
+than chance, every score is the share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
@@ -29,10 +32,15 @@ from pyspark.sql import functions as F
 #: Labelled documents of each kind that the fit may use, and characters of all of them.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 24 << 20
 WINDOW = 64
-LEVEL = 12
+#: Compression levels: the one whose distances tell the kinds apart best on the folds is taken.
+LEVELS = (12, 9)
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 8192
 #: Word parts of so many bytes that so much likelier occur in a toxic document, and in that share of them, set it apart.
 GRAMS, LIKELIER, LEAST_SHARE = (6, 8, 10), 12.0, 0.015
+#: Parts of the sample of which each is scored by dictionaries of the others, and the least area under the curve there.
+FOLDS, LEAST_AUC = 4, 0.55
+#: Stands before each window and at the end of each dictionary: a window then never goes out uncompressed, and short ones show savings too.
+ANCHOR = bytes(range(1, 9)) * 4
 
 
 def windows(raw: bytes, size: int = WINDOW) -> list[bytes]:
@@ -67,15 +75,13 @@ def _parts(w: bytes) -> Iterator[bytes]:
         yield from (w[:n] for n in GRAMS[1:] if len(w) >= n)
 
 
-def _distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The words of toxic documents that hold a part hardly found in ordinary ones, with repetitions, most frequent last."""
-    many, few = Counter(), Counter()
-    for raw in toxic:
-        many.update(_grams(raw))
-    for raw in ordinary:
-        few.update(_grams(raw))
+def _distinctive(toxic: list[bytes], many: Counter, few: Counter, n_ordinary: int) -> list[bytes]:
+    """The words of toxic documents that hold a part hardly found in ordinary ones, with repetitions, most frequent last.
+
+    many, few: in how many toxic and ordinary documents each part stands.
+    """
     least = max(3, LEAST_SHARE * len(toxic))
-    own = {g for g, k in many.items() if k >= least and k / len(toxic) > LIKELIER * (few[g] + 0.5) / len(ordinary)}
+    own = {g for g, k in many.items() if k >= least and k / len(toxic) > LIKELIER * (few[g] + 0.5) / n_ordinary}
     words: Counter[bytes] = Counter()
     for raw in toxic:
         for w in raw.split():
@@ -103,22 +109,23 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...]
+    level: int = LEVELS[0]
 
     def __getstate__(self):
-        return self.ordinary, self.toxic, self.weights
+        return self.ordinary, self.toxic, self.weights, self.level
 
     def __setstate__(self, state):
-        self.ordinary, self.toxic, self.weights = state
+        self.ordinary, self.toxic, self.weights, self.level = state
 
     def _pair(self) -> list[zstandard.ZstdCompressor]:
         if "_made" not in self.__dict__:
-            self._made = [_compressor(self.ordinary), _compressor(self.toxic + self.ordinary)]
+            self._made = [_compressor(self.ordinary, self.level), _compressor(self.toxic + self.ordinary, self.level)]
         return self._made
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """The largest saving, the mean of the three largest, and the share of windows with one of 2 bytes or more."""
         plain, both = (c.compress for c in self._pair())
-        saved = [len(plain(w)) - len(both(w)) for w in windows(_prepared(text))]
+        saved = [len(plain(ANCHOR + w)) - len(both(ANCHOR + w)) for w in windows(_prepared(text))]
         if not saved:
             return 0.0, 0.0, 0.0
         top = sorted(saved)[-3:]
@@ -131,42 +138,71 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(raw), source_size=WINDOW, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-    if not raw:
-        return zstandard.ZstdCompressor(compression_params=params)
+def _compressor(raw: bytes, level: int) -> zstandard.ZstdCompressor:
+    raw += ANCHOR
+    params = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(raw), source_size=WINDOW + len(ANCHOR), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """A model of (text, label) rows, whatever their order. All of them train the dictionaries and calibrate."""
+    """A model of (text, label) rows, whatever their order. All of them train the dictionaries; they calibrate by folds."""
     rows = sorted(rows, key=lambda r: (zlib.crc32((r[0] or "").encode()), r[0] or "", r[1]))
-    toxic = list(dict.fromkeys(_prepared(t) for t, y in rows if y == 1))
-    ordinary = list(dict.fromkeys(_prepared(t) for t, y in rows if y == 0))
-    if not toxic or not ordinary:
-        return Model(b"", b"", (float(bool(toxic)),))
-    own = _distinctive(toxic, ordinary)
-    pool = [w for raw in ordinary for w in windows(raw)]
-    step = max(1, len(pool) // 60_000)
-    listed = b"".join(dict.fromkeys(own))[-TOXIC_BYTES:]
-    model = Model(_trained(pool[::step], ORDINARY_BYTES, WINDOW), _trained(own, TOXIC_BYTES // 2, 16) + listed, (0.0,) * 4)
-    x = np.array([(1.0, *model.features(t)) for t, _ in rows])
+    kinds = [list(dict.fromkeys(_prepared(t) for t, y in rows if y == label)) for label in (0, 1)]
     y = np.array([y for _, y in rows], float)
-    # both kinds weigh alike in the fit; the bias then moves to the sample's shares
-    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    if not all(kinds):
+        return Model(b"", b"", (float(bool(kinds[1])),))
+    folds = [{raw: k % FOLDS for k, raw in enumerate(kind)} for kind in kinds]
+    counts = [[Counter() for _ in range(FOLDS)] for _ in kinds]
+    for fold, count in zip(folds, counts, strict=True):
+        for raw, f in fold.items():
+            count[f].update(_grams(raw))
+
+    def trained(without: int | None) -> Model:
+        """The dictionaries of all folds but one."""
+        ordinary, toxic = ([raw for raw, f in fold.items() if f != without] for fold in folds)
+        few, many = (sum((c for f, c in enumerate(count) if f != without), Counter()) for count in counts)
+        own = _distinctive(toxic, many, few, max(1, len(ordinary))) if toxic else []
+        pool = [w for raw in ordinary for w in windows(raw)]
+        listed = b"".join(dict.fromkeys(own))[-TOXIC_BYTES:]
+        return Model(_trained(pool[:: max(1, len(pool) // 60_000)], ORDINARY_BYTES, WINDOW), _trained(own, TOXIC_BYTES // 2, 16) + listed, (0.0,) * 4)
+
+    x = {level: np.ones((len(rows), 4)) for level in LEVELS}
+    for f in range(FOLDS):
+        part = trained(f)
+        own = [k for k, (text, label) in enumerate(rows) if folds[label][_prepared(text)] == f]
+        for level, features in x.items():
+            scorer = Model(part.ordinary, part.toxic, part.weights, level)
+            for k in own:
+                features[k, 1:] = scorer.features(rows[k][0])
+    found = [(_area(features @ (w := _logistic(features, y)), y), level, w) for level, features in x.items()]
+    area, level, w = max(found, key=lambda t: t[0])
+    if area < LEAST_AUC:
+        return Model(b"", b"", (float(y.mean()),))
+    w[0] -= _best_threshold(x[level] @ w, y)
+    model = trained(None)
+    return Model(model.ordinary, model.toxic, tuple(w.tolist()), level)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by Newton steps with a small ridge; both kinds weigh alike."""
+    share = float(y.mean())
     w = np.zeros(x.shape[1])
     each = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    for _ in range(40):  # Newton steps with a small ridge
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
         g = x.T @ (each * (y - p)) - 0.5 * w
         h = (x * (each * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w))
         w = w + np.clip(np.linalg.solve(h, g), -4, 4)
-    z = x @ w
-    w[0] -= _best_threshold(z, y)
-    model.weights = tuple(w.tolist())
-    return model
+    return w
+
+
+def _area(z: np.ndarray, y: np.ndarray) -> float:
+    """How often a toxic row scores above an ordinary one; ties count half."""
+    ordinary = np.sort(z[y == 0])
+    below = np.searchsorted(ordinary, z[y == 1], "left") + np.searchsorted(ordinary, z[y == 1], "right")
+    return float(below.mean()) / (2 * len(ordinary))
 
 
 def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:

@@ -9,8 +9,9 @@ links are joined to components by a distributed union-find, and of each componen
 line stays, by document id and line number; the others are removed.
 
 Lines with the same normalised characters are one node from the start (a 64-bit hash of them).
-Of bands with the same lines one stays; a band's lines are compared in blocks, and only a
-spanning forest of its links is written, so many near copies of a line cost in proportion.
+Of bands with the same lines one stays. First each line of a band is compared with the band's
+smallest one; bands that then still hold several components are compared in blocks, all pairs,
+and only a spanning forest of the links is written, so many near copies cost in proportion.
 
 Defined results: null and empty texts have no lines to remove (a text without a new line is
 one line); rows with the same id and the same text are one document, all alike; a null id comes
@@ -30,26 +31,37 @@ from pyspark.sql import functions as F
 
 from siftspark.llm import storage, textscan
 from siftspark.llm.components import components, contract
-from siftspark.llm.minhash_docs import _runs, linked_pairs
+from siftspark.llm.minhash_docs import _runs, linked
 
 SHINGLE, LEAST_CHARS, PERCENT = 5, 1, 80
-#: Of pairs at exactly PERCENT, 0.998 share a band. Fewer minima a band give many times the candidates, as short shingles are common.
-BANDS, BAND_ROWS = 12, 4
+#: Of pairs at exactly PERCENT, 0.998 share a band. Each minimum less in a band gives some twelve times the candidates that aren't alike, whose number grows with the square of the lines.
+BANDS, BAND_ROWS = 21, 6
 BLOCK = 1024
-_ODD = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 30, 64, dtype=np.uint32) * np.uint32(4) + np.uint32(3)
+#: A line that stands more often than this posts its bands once for all; others once for each slice of texts.
+HOT_LINE = 64
+_LONG_RUN = 1 << 20
+#: Cells of at most so many lines are compared many at a time.
+_TOGETHER = 24
+_ODD = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 30, 128, dtype=np.uint32) * np.uint32(4) + np.uint32(3)
 
 
 def normalised(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
+def _rolled(code: np.ndarray, factor: np.integer) -> np.ndarray:
+    """A number for each run of SHINGLE characters."""
+    h = code[: max(0, len(code) - SHINGLE + 1)]
+    for k in range(1, SHINGLE):
+        h = h * factor + code[k : len(code) - SHINGLE + 1 + k]
+    return h
+
+
 def bands(lines: list[str], count: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """Band keys (lines, count), int64, of lines of at least SHINGLE characters."""
     code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(x) for x in lines])
-    h = code[: len(code) - SHINGLE + 1]
-    for k in range(1, SHINGLE):
-        h = h * np.uint32(0x2C1B3C6D) + code[k : len(code) - SHINGLE + 1 + k]
+    h = _rolled(code, np.uint32(0x2C1B3C6D))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x297A2D39)
     h ^= h >> np.uint32(14)
     cut = np.stack((ends - np.diff(ends, prepend=0), ends - SHINGLE + 1), 1).ravel()[:-1]
@@ -65,12 +77,7 @@ def bands(lines: list[str], count: int = BANDS, rows: int = BAND_ROWS) -> np.nda
 def shingles(line: str) -> np.ndarray:
     """Sorted distinct hashes of a line's character shingles."""
     code = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    if len(code) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    h = code[: len(code) - SHINGLE + 1]
-    for k in range(1, SHINGLE):
-        h = h * np.uint64(0xD1342543DE82EF95) + code[k : len(code) - SHINGLE + 1 + k]
-    return np.unique(textscan.mix(h))
+    return np.unique(textscan.mix(_rolled(code, np.uint64(0xD1342543DE82EF95)))) if len(code) >= SHINGLE else np.zeros(0, np.uint64)
 
 
 def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -79,41 +86,92 @@ def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signed(rows: DataFrame, count: int, band_rows: int) -> DataFrame:
-    """(doc_id, text_key, line_no, line, bands) for each line that counts; line is its hash, bands are null under one shingle."""
+    """(doc_id, text_key, line_no, line, bands) for each line that counts; line is its hash.
+
+    bands are null under one shingle, and for a line that the same slice of texts has already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             textscan.forget()
             data, offsets = textscan.spans(b.column("text"))
             for i, j in textscan.slices(offsets, 1 << 17):
-                texts, doc, no, key, place = [], [], [], [], []
+                doc, no, key, place = [], [], [], []
+                texts: dict[int, str] = {}
                 for d in range(i, j):
                     for k, line in enumerate(data[offsets[d] : offsets[d + 1]].tobytes().split(b"\n")):
                         own = normalised(line)
                         if len(own) < LEAST_CHARS:
                             continue
-                        text = own.decode()
-                        place.append(len(texts) if len(text) >= SHINGLE else None)
-                        if len(text) >= SHINGLE:
-                            texts.append(text)
+                        h = xxhash.xxh3_64_intdigest(own)
+                        first = h not in texts and len(text := own.decode()) >= SHINGLE
+                        place.append(len(texts) if first else None)
+                        if first:
+                            texts[h] = text
                         doc.append(d)
                         no.append(k)
-                        key.append(xxhash.xxh3_64_intdigest(own))
+                        key.append(h)
                 if doc:
-                    at, band = pa.array(doc), bands(texts, count, band_rows) if texts else np.zeros((0, count), np.int64)
+                    at, band = pa.array(doc), bands(list(texts.values()), count, band_rows) if texts else np.zeros((0, count), np.int64)
                     raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * count), len(texts), [None, pa.py_buffer(np.ascontiguousarray(band))]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_key").take(at), pa.array(no, pa.int32()), pa.array(np.array(key, np.uint64).view(np.int64)), raw.take(pa.array(place, pa.int64()))], names=["doc_id", "text_key", "line_no", "line", "bands"])
+            textscan.release()
 
     return rows.mapInArrow(run, "doc_id long, text_key long, line_no int, line long, bands binary")
 
 
-def _posts(lines: DataFrame, count: int) -> DataFrame:
+def _posts(lines: DataFrame, hot: DataFrame, count: int) -> DataFrame:
+    """(key, line) for each band. hot: lines that post once only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("line").to_numpy(), count))], names=["key", "line"])
 
-    return lines.filter("bands is not null").select("line", "bands").mapInArrow(run, "key long, line long")
+    signed = lines.filter("bands is not null").select("line", "bands")
+    once = signed.join(hot, "line", "left_semi").groupBy("line").agg(F.min("bands").alias("bands"))
+    return signed.join(hot, "line", "left_anti").unionByName(once).mapInArrow(run, "key long, line long")
+
+
+def _shared(posts: DataFrame) -> DataFrame:
+    """The posts (key, line) of keys with more than one line. They are dealt out by key once, and a run of one key streams through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        given: int | None = None  # the last key, if lines of it were given out before
+
+        def chosen(end: int) -> pa.RecordBatch:
+            """Of the first ``end`` posts, in order of key and line, those of shared keys, each once."""
+            order = np.lexsort((line[:end], key[:end]))
+            k, x = key[order], line[order]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+            k, x = k[new], x[new]
+            same = k[1:] == k[:-1]
+            keep = np.append(same, False) | np.insert(same, 0, False)
+            if given is not None:
+                keep |= k == given
+            return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(x[keep])], names=["key", "line"])
+
+        for b in batches:
+            key, line = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((line, b.column(1).to_numpy()))
+            if not len(key):
+                continue
+            end = int(np.searchsorted(key, key[-1]))  # the last run may go on
+            if len(key) - end > _LONG_RUN and line[end:].min() < line[end:].max():
+                end, last = len(key), int(key[-1])
+                out = chosen(end)
+                given = last
+            else:
+                out = chosen(end)
+                given = given if given == key[-1] else None
+            key, line = key[end:], line[end:]
+            if out.num_rows:
+                yield out
+        if len(key):
+            yield chosen(len(key))
+
+    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, line long")
 
 
 def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,58 +193,148 @@ def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     text.append(pack.compress(normalised(lines[x["line_no"]])))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(text, pa.binary())], names=["line", "packed"])
 
-    texts = rows.mapInArrow(packed, "doc_id long, text_key long, packed binary")
     asked = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "line")).alias("found"))
+    texts = rows.mapInArrow(packed, "doc_id long, text_key long, packed binary")
     both = texts.join(asked, texts.doc_id.eqNullSafe(asked.doc_id) & (texts.text_key == asked.text_key)).select("packed", "found")
     return both.mapInArrow(run, "line long, packed binary")
 
 
-def _links(lists: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
-    """A spanning forest of the verified links in each band's lines."""
+class Sets:
+    """The sets of shingles of some lines, all sorted at once: a set's number stands before the upper bits of its shingles' hashes."""
+
+    def __init__(self, lines: list[str], pairs: int):
+        """pairs: how many pairs will be compared at a time."""
+        sizes = np.maximum(np.array([len(x) for x in lines], np.int64) - SHINGLE + 1, 0)
+        ends = np.cumsum([len(x) for x in lines])
+        h = _rolled(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64), np.uint64(0xD1342543DE82EF95))
+        bits = int(max(len(lines), pairs)).bit_length()
+        self.top = np.uint64(64 - bits)
+        low = textscan.mix(h[textscan.ranges(ends - sizes - (SHINGLE - 1) * (sizes > 0), sizes)]) >> np.uint64(bits)
+        own = np.sort((np.repeat(np.arange(len(lines)), sizes).astype(np.uint64) << self.top) | low)
+        own = own[np.insert(own[1:] != own[:-1], 0, True)] if len(own) else own
+        self.offsets = np.append(np.searchsorted(own, np.arange(len(lines)).astype(np.uint64) << self.top), len(own))
+        self.members = own & ((np.uint64(1) << self.top) - np.uint64(1))
+        self.counts = np.diff(self.offsets)
+
+    def similar(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of sets are at the threshold: equal members of a pair stand side by side."""
+        pair = np.arange(len(a), dtype=np.uint64) << self.top
+        both = np.sort(np.concatenate([np.repeat(pair, self.counts[x]) | self.members[textscan.ranges(self.offsets[x], self.counts[x])] for x in (a, b)]))
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> self.top).astype(np.int64), minlength=len(a))
+        return (common > 0) & (100 * common >= percent * (self.counts[a] + self.counts[b] - common))
+
+
+def similar(left: list[str], right: list[str], percent: int) -> np.ndarray:
+    """Which pairs of lines have sets of shingles at the threshold."""
+    if not left:
+        return np.zeros(0, bool)
+    place = {x: k for k, x in enumerate(dict.fromkeys([*left, *right]))}
+    a, b = (np.array([place[x] for x in side], np.int64) for side in (left, right))
+    return Sets(list(place), len(left)).similar(a, b, percent)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (line, hub) those that are similar. A line's text goes to its hub's."""
+    left = pairs.join(texts, "line").select("line", "hub", F.col("packed").alias("a"))
+    both = left.join(texts.select(F.col("line").alias("hub"), F.col("packed").alias("b")), "hub").select("line", "hub", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in batches:
+            lines = [[unpack.decompress(x.as_py()).decode() for x in b.column(c)] for c in ("a", "b")]
+            chars = np.cumsum([0, *(len(x) + len(y) for x, y in zip(*lines, strict=True))])
+            for i, j in textscan.slices(chars, 1 << 19):
+                ok = similar(lines[0][i:j], lines[1][i:j], percent)
+                yield b.select(["line", "hub"]).slice(i, j - i).filter(pa.array(ok))
+        textscan.release()
+
+    return both.mapInArrow(run, "line long, hub long")
+
+
+def _links(listed: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """A spanning forest of the verified links in each band's lines (key, line, size, component), where several components are left."""
+    mixed = listed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    cells = lists.withColumn("own", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("line", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
-    rows = cells.join(texts, "line").select("cell", "line", "left", "right", "packed")
+    cells = listed.join(mixed, "key", "left_semi").withColumn("own", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("line", "component", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
+    rows = cells.join(texts, "line").select("cell", "line", "component", "left", "right", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        held: list[tuple[np.ndarray, list[str], np.ndarray, np.ndarray]] = []  # small cells: lines, texts, pairs
+        many = 0
+
+        def links(line: np.ndarray, label: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+            moved = np.flatnonzero(label != known)
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(line[moved]), pa.array(line[label[moved]])], names=["u", "v"])
+
+        def together() -> Iterator[pa.RecordBatch]:
+            at = np.cumsum([0, *(len(x[0]) for x in held)])
+            a, b = (np.concatenate([x[k] + o for x, o in zip(held, at[:-1], strict=True)]) for k in (2, 3))
+            ok = Sets([t for x in held for t in x[1]], len(a)).similar(a, b, percent)
+            line = np.concatenate([x[0] for x in held])
+            hi, lo = contract(line[a[ok]], line[b[ok]])
+            if len(hi):
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["u", "v"])
+
         for cell in _runs(batches, "cell"):
             line = cell.column("line").to_numpy()
-            _, one = np.unique(line, return_index=True)  # a repeated document gives its lines again
+            _, one = np.unique(line, return_index=True)
             if len(one) < len(line):
                 cell, line = cell.take(pa.array(one)), line[one]
-            if len(line) < 2:
+            component = cell.column("component").to_numpy()
+            left, right = (cell.column(k).to_numpy(zero_copy_only=False) for k in ("left", "right"))
+            text = [unpack.decompress(x.as_py()).decode() for x in cell.column("packed")]
+            if len(line) <= _TOGETHER:
+                a, b = np.nonzero(np.triu((left[:, None] & right) | (right[:, None] & left), 1) & (component[:, None] != component))
+                if len(a):
+                    held.append((line, text, a, b))
+                    many += sum(map(len, text)) * len(line)
+                if many > 1 << 20:
+                    yield from together()
+                    held, many = [], 0
                 continue
-            left, right = (np.flatnonzero(cell.column(k).to_numpy(zero_copy_only=False)) for k in ("left", "right"))
-            if len(left) and len(right):
-                i, j = linked_pairs([shingles(unpack.decompress(x.as_py()).decode()) for x in cell.column("packed")], left, right, percent)
-                hi, lo = contract(line[i], line[j])
-                if len(hi):
-                    yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], names=["u", "v"])
+            _, first, which = np.unique(component, return_index=True, return_inverse=True)
+            if len(first) > 1 and left.any() and right.any():
+                known = first[which]
+                yield from links(line, linked([shingles(x) for x in text], np.flatnonzero(left), np.flatnonzero(right), percent, known), known)
+        if held:
+            yield from together()
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def removed_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", count: int = BANDS, band_rows: int = BAND_ROWS, block: int = BLOCK) -> DataFrame:
+def removed_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", count: int = BANDS, band_rows: int = BAND_ROWS, block: int = BLOCK, hot_line: int = HOT_LINE) -> DataFrame:
     """(doc_id, text_key, removed): the numbers of the lines to remove, per document that loses any.
 
     text_key tells documents with the same id apart.
     """
     rows = _rows(documents, id_col, text_col)
     lines = storage.stored(_signed(rows, count, band_rows), "lines")
-    posts = _posts(lines, count)
-    shared = posts.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("key")
-    members = storage.stored(posts.join(shared, "key").distinct(), "members")
-    lists = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("line").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("b"))
-    lists = storage.stored(lists.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key", "size"), "bands")
     at = F.struct("doc_id", "text_key", "line_no")
     own = lines.select("line", "doc_id", "text_key", "line_no")
-    wanted = own.join(members.select("line").distinct(), "line").groupBy("line").agg(F.min(at).alias("at"))
-    texts = _line_texts(rows, wanted)
-    groups = storage.small(components(storage.stored(_links(members.join(lists, "key"), texts, percent, block), "forest")))
-    placed = own.join(groups, F.col("line") == F.col("node"), "left").select(F.coalesce("component", "line").alias("group"), "doc_id", "text_key", "line_no")
-    firsts = storage.small(placed.groupBy("group").agg(F.count("*").alias("n"), F.min(at).alias("first")).filter("n > 1").select("group", "first"))
-    again = placed.join(firsts, "group").filter(~at.eqNullSafe(F.col("first")))
+    # each line once, with the first place at which it stands
+    distinct = storage.stored(own.groupBy("line").agg(F.count("*").alias("n"), F.min(at).alias("at")), "distinct")
+    hot = storage.small(distinct.filter(F.col("n") > hot_line).select("line"))
+    members = storage.stored(_shared(_posts(lines, hot, count)), "members")
+    lists = members.groupBy("key").agg(F.count("*").alias("size"), F.min("line").alias("hub"), F.sum(F.xxhash64("line").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("b"))
+    lists = lists.groupBy("size", "a", "b").agg(F.min("key").alias("key"), F.min("hub").alias("hub")).select("key", "size", "hub")
+    listed = storage.stored(members.join(lists, "key"), "listed")
+    texts = storage.stored(_line_texts(rows, distinct.join(listed.select("line").distinct(), "line").select("line", "at")), "line_texts")
+    pairs = listed.filter("line <> hub").select("line", "hub").distinct()
+    first = storage.stored(_confirmed(pairs, texts, percent).select(F.col("line").alias("u"), F.col("hub").alias("v")), "confirmed")
+    # a band of two lines is done; in larger ones those not like the smallest may be like others
+    joined = first.select(F.col("u").alias("line"), F.col("v").alias("hub"), F.lit(True).alias("like"))
+    larger = listed.filter("size > 2").join(joined, ["line", "hub"], "left").select("key", "line", "size", F.when(F.col("like"), F.col("hub")).otherwise(F.col("line")).alias("component"))
+    links = first.unionByName(storage.stored(_links(storage.stored(larger, "larger"), texts, percent, block), "forest"))
+    groups = storage.stored(components(links), "groups")
+    # lines that stand alone and have no like are done
+    placed = distinct.join(groups, F.col("line") == F.col("node"), "left").filter("n > 1 or component is not null").select("line", "at", F.coalesce("component", "line").alias("group"))
+    placed = storage.stored(placed, "placed")
+    firsts = placed.groupBy("group").agg(F.min("at").alias("first"))
+    losing = storage.small(placed.join(firsts, "group").select("line", "first"))
+    again = own.join(losing, "line").filter(~at.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
@@ -199,7 +347,7 @@ def _with_removed(rows: DataFrame, found: DataFrame) -> DataFrame:
 def line_report(documents: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, ascending), one row per row."""
     rows = _rows(documents, id_col, text_col)
-    counted = rows.select("doc_id", "text_key", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"))
+    counted = rows.select("doc_id", "text_key", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     found = _with_removed(counted, removed_lines(documents, percent, id_col, text_col))
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftspark.plans import judging, records, structure
 from siftspark.plans.queries import oracle_sql, queries
 
-__all__ = ["oracle_sql", "queries"]
+__all__ = ["judging", "oracle_sql", "queries", "records", "structure"]

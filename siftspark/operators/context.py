@@ -29,9 +29,11 @@ def with_neighbours(results: DataFrame, chunks: DataFrame, window: int = 1) -> D
     They have score 0, source expanded and the result they come from; a chunk that several
     results reach goes to the best-ranked one. position orders results and what follows each.
     """
-    offset = F.col("n.chunk_index") - F.col("r.chunk_index")
-    near = results.alias("r").join(chunks.alias("n"), (F.col("r.document_id") == F.col("n.document_id")) & offset.between(-window, window) & (offset != 0) & F.col("r.section_path").eqNullSafe(F.col("n.section_path")))
-    found = near.select("r.qid", F.col("r.chunk_id").alias("owner"), "r.rank", offset.alias("offset"), *[F.col(f"n.{c}") for c in ("chunk_id", "document_id", "section_path", "chunk_index", "raw_content")])
+    # each result asks for the places around it, so that the join is by equal keys
+    places = F.explode(F.array(*[F.lit(k) for k in range(-window, window + 1) if k]))
+    around = results.withColumn("offset", places).withColumn("wanted", F.col("chunk_index") + F.col("offset"))
+    near = around.alias("r").join(chunks.alias("n"), (F.col("r.document_id") == F.col("n.document_id")) & (F.col("r.wanted") == F.col("n.chunk_index")) & F.col("r.section_path").eqNullSafe(F.col("n.section_path")))
+    found = near.select("r.qid", F.col("r.chunk_id").alias("owner"), "r.rank", "r.offset", *[F.col(f"n.{c}") for c in ("chunk_id", "document_id", "section_path", "chunk_index", "raw_content")])
     new = found.join(results.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
     w = Window.partitionBy("qid", "chunk_id").orderBy("rank", "offset")
     new = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").withColumn("source", F.lit("expanded"))
@@ -176,21 +178,38 @@ def refinement_problems(plans: DataFrame) -> DataFrame:
     return plans.filter(F.col("sufficient") == query.isNotNull()).select("qid", F.lit("EVIDENCE_PLAN_FAILED").alias("code"))
 
 
-def gather(queries: DataFrame, search, mode: str, plans: DataFrame | None = None, top_k: int = 8, strategy: str = "legacy") -> DataFrame:
-    """Evidence of a batch of questions: one search, one more with a plan's query, or one more per planned route.
+def gather(queries: DataFrame, search, mode: str, plans: DataFrame | None = None, top_k: int = 8, strategy: str = "legacy", refinements: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """Evidence of a batch of questions: one search, one more with a plan's query, or one more for each planned route.
 
     search: (queries (qid, text), scope (qid, document_id) or None) -> responses without the
-    search number. plans: (qid, subquery) or (qid, subquery, document_id).
+    search number. plans: (qid, subquery), or routes (qid, confidence, subquery, document_id).
+    A route is a search of its own in its document alone, under the qid struct (qid, route), so
+    terms and documents of different routes never mix; searches are numbered 1, 2, ... by document
+    and query. Questions with less than ``least`` confidence get the one search of their
+    refinement (qid, subquery) instead, if there is one. Documents of routes keep their best row.
     """
     first = search(queries, None).withColumn("search", F.lit(0))
     if mode == "single_pass" or plans is None:
         return merged(first, top_k, strategy)
     if mode not in ("bounded_refinement", "routed_multi_search"):
         raise ValueError(f"unknown mode {mode}")
-    asked = plans.filter("subquery is not null and trim(subquery) <> ''").select("qid", F.col("subquery").alias("text"), *(["document_id"] if mode == "routed_multi_search" else []))
-    scope = asked.select("qid", "document_id") if mode == "routed_multi_search" else None
-    more = search(asked.select("qid", "text").distinct(), scope).withColumn("search", F.lit(1))
-    return merged(first.unionByName(more), top_k, strategy, preserve=scope)
+    asked = plans.filter("subquery is not null and trim(subquery) <> ''")
+    if mode == "bounded_refinement":
+        return merged(first.unionByName(_refined(asked, search)), top_k, strategy)
+    sure = asked.filter(F.col("confidence") >= least)
+    route = F.row_number().over(Window.partitionBy("qid").orderBy("document_id", "subquery"))
+    routes = sure.select(F.struct("qid", route.alias("search")).alias("qid"), F.col("subquery").alias("text"), "document_id")
+    more = search(routes.select("qid", "text"), routes.select("qid", "document_id"))
+    more = more.withColumns({"search": F.col("qid.search"), "qid": F.col("qid.qid")})
+    responses = first.unionByName(more)
+    if refinements is not None:
+        unsure = refinements.join(plans.filter(F.col("confidence") < least).select("qid"), "qid", "left_semi")
+        responses = responses.unionByName(_refined(unsure.filter("subquery is not null and trim(subquery) <> ''"), search))
+    return merged(responses, top_k, strategy, preserve=sure.select("qid", "document_id"))
+
+
+def _refined(asked: DataFrame, search) -> DataFrame:
+    return search(asked.select("qid", F.col("subquery").alias("text")).distinct(), None).withColumn("search", F.lit(1))
 
 
 # conversations

@@ -50,7 +50,7 @@ def reconciled_jobs(jobs: DataFrame) -> DataFrame:
 
 def reconciled_builds(versions: DataFrame) -> DataFrame:
     stale = F.col("status") == "building"
-    return versions.withColumn("status", F.when(stale, F.lit("failed")).otherwise(F.col("status"))).withColumn("quarantine", stale)
+    return versions.withColumns({"quarantine": stale, "status": F.when(stale, F.lit("failed")).otherwise(F.col("status"))})
 
 
 def accepted_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -82,11 +82,11 @@ def inconsistent_documents(documents: DataFrame, versions: DataFrame) -> DataFra
     return both.filter("version_status is null or version_status <> 'READY'").select("document_id", F.coalesce("version_status", F.lit("MISSING")).alias("version_status"))
 
 
-def index_health(snapshots: DataFrame, pointer: DataFrame) -> DataFrame:
-    """(code) of an active snapshot that is missing, not ready, or empty."""
+def index_health(snapshots: DataFrame, pointer: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(code) of an active snapshot that is missing, not ready, or empty; by: columns of the pointer that go along."""
     both = pointer.join(snapshots, pointer.active_snapshot_id == snapshots.snapshot_id, "left")
     code = F.when(F.col("active_snapshot_id").isNull(), F.lit("NO_ACTIVE_SNAPSHOT")).when(F.col("snapshot_id").isNull(), F.lit("SNAPSHOT_MISSING")).when(F.col("status") != "active", F.lit("SNAPSHOT_NOT_ACTIVE")).when(F.col("chunk_count") < 1, F.lit("SNAPSHOT_EMPTY"))
-    return both.select(code.alias("code")).filter("code is not null")
+    return both.select(*(by or []), code.alias("code")).filter("code is not null")
 
 
 def activated(snapshots: DataFrame, new: str) -> DataFrame:

@@ -100,6 +100,21 @@ def manifest_problems(manifest: dict) -> list[str]:
     return found + (["SIGNATURE_MISMATCH"] if manifest.get("signature") != made else [])
 
 
+def signature() -> Column:
+    """The signature of a row's manifest (parser_id, parser_version, model_ids, model_revisions): see indexing.parser_signature."""
+    empty = F.from_json(F.lit("{}"), "map<string,string>")
+    body = F.struct(F.lit(2).alias("ir_schema_version"), "model_ids", "model_revisions", F.lit("unicode-v2").alias("normalizer"), empty.alias("options"), "parser_id", "parser_version")
+    return F.sha2(F.to_json(body), 256)
+
+
+def manifests(rows: DataFrame) -> DataFrame:
+    """(parser_id, code): manifest_problems of a table of manifests with their signatures; maps have their keys in order."""
+    said = F.transform(F.map_keys("model_ids"), lambda m: F.coalesce(F.try_element_at("model_revisions", m), F.lit("")))
+    loose = F.flatten(F.array(F.when(F.col("parser_version") == "", F.array(F.lit("REVISION_EMPTY"))).otherwise(F.array().cast("array<string>")), F.transform(said, lambda r: F.when(r == "", F.lit("REVISION_EMPTY")).when(r.isin("unknown", "latest", "main"), F.lit("REVISION_UNKNOWN")))))
+    codes = F.concat(loose, F.array(F.when(F.col("signature") != signature(), F.lit("SIGNATURE_MISMATCH"))))
+    return rows.select("parser_id", F.explode(F.array_compact(codes)).alias("code"))
+
+
 def hard_failures(quality: DataFrame) -> DataFrame:
     return _found(quality.filter("coalesce(size(hard_failures), 0) > 0"), F.array_join("hard_failures", ","), "HARD_FAILURES_PRESENT")
 

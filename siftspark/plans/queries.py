@@ -136,13 +136,6 @@ def formula_aliases(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(T.formula_aliases(F.col("text")), ",").alias("aliases"))
 
 
-@query()
-def sentence_counts(spark, d):
-    """Splitting needs look-behind, which DuckDB lacks; a test holds it against Python on the same rows."""
-    s = T.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "\n")).alias("sentences_md5"))
-
-
 @query("select doc_id, len(range(0, length(text), 500))::bigint as n_parts, md5(array_to_string(list_transform(range(0, length(text), 500), lambda i: substr(text, i + 1, 500)), '|')) as parts_md5 from documents")
 def hard_cuts(spark, d):
     parts = T.hard_cut(F.col("text"), 500)
@@ -211,12 +204,6 @@ def token_estimates(spark, d):
 # chunks
 
 
-@query()
-def chunks(spark, d):
-    """Sequential merging has no SQL form; tests hold it against a plain version."""
-    return chunking.chunk_texts(table(spark, d, "documents"), title=F.col("source")).select("doc_id", "chunk_index", "kind", "content_hash", "character_count", "line_start", "line_end", "hard_split")
-
-
 @query("with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') as xs from documents) select doc_id, sha256(array_to_string(xs, chr(10) || chr(10))) as content_hash, length(array_to_string(xs, chr(10) || chr(10))) as character_count from l where len(xs) > 0 and list_sum(list_transform(xs, lambda x: length(x))) <= 2048")
 def small_documents(spark, d):
     return chunking.small_documents(table(spark, d, "documents")).select("doc_id", "content_hash", "character_count")

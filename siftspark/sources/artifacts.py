@@ -38,6 +38,11 @@ class Artifacts:
         if not self._fs.rename(self._path(f"{self.root}/{a}/{version}"), self._path(f"{self.root}/{b}/{version}")):
             raise FileNotFoundError(f"{a}/{version}")
 
+    def versions(self) -> list[str]:
+        """Names of the active versions, in order."""
+        there = self._path(f"{self.root}/versions")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(there)) if self._fs.exists(there) else []
+
     def stage(self, parsed: DataFrame, version: str) -> None:
         """Writes and verifies; a damaged write goes to failed."""
         path = f"{self.root}/_building/{version}"
@@ -55,9 +60,7 @@ class Artifacts:
 
     def quarantine_orphans(self, known: set[str]) -> list[str]:
         """Moves versions that no row names; returns them, in order."""
-        there = self._path(f"{self.root}/versions")
-        found = sorted(s.getPath().getName() for s in self._fs.listStatus(there)) if self._fs.exists(there) else []
-        gone = [v for v in found if v not in known]
+        gone = [v for v in self.versions() if v not in known]
         for v in gone:
             self._move(v, "versions", "quarantine")
         return gone

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftspark.plans import judging, layouts, records, structure
+from siftspark.plans import judging, layouts, records, streams, structure
 from siftspark.plans.queries import oracle_sql, queries
 
-__all__ = ["judging", "layouts", "oracle_sql", "queries", "records", "structure"]
+__all__ = ["judging", "layouts", "oracle_sql", "queries", "records", "streams", "structure"]

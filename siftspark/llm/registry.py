@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_docs, storage, substring_dedup, token_files, toxicity
+from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_docs, oracles, storage, substring_dedup, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
 HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -75,5 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op3_toxicity, op4_token_files, op5_minhash_docs, op6_embedding_dedup, op7_substring_dedup, op8_decontaminate, op9_language_id, pages_language_id, op10_bpe_chunks)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracles.oracle_sql

@@ -327,13 +327,16 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "d
     # a band of two lines is done; in larger ones those not like the smallest may be like others
     joined = first.select(F.col("u").alias("line"), F.col("v").alias("hub"), F.lit(True).alias("like"))
     larger = listed.filter("size > 2").join(joined, ["line", "hub"], "left").select("key", "line", "size", F.when(F.col("like"), F.col("hub")).otherwise(F.col("line")).alias("component"))
-    links = first.unionByName(storage.stored(_links(storage.stored(larger, "larger"), texts, percent, block), "forest"))
-    groups = storage.stored(components(links), "groups")
+    larger = storage.stored(larger, "larger")
+    forest = storage.stored(_links(larger, texts, percent, block), "forest")
+    groups = storage.stored(components(first.unionByName(forest)), "groups")
+    storage.drop(members, listed, texts, first, larger, forest)
     # lines that stand alone and have no like are done
     placed = distinct.join(groups, F.col("line") == F.col("node"), "left").filter("n > 1 or component is not null").select("line", "at", F.coalesce("component", "line").alias("group"))
     placed = storage.stored(placed, "placed")
     firsts = placed.groupBy("group").agg(F.min("at").alias("first"))
     losing = storage.small(placed.join(firsts, "group").select("line", "first"))
+    storage.drop(distinct, groups, placed)
     again = own.join(losing, "line").filter(~at.eqNullSafe(F.col("first")))
     return again.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 

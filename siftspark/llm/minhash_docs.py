@@ -365,11 +365,12 @@ def grouped(documents: DataFrame, shingle_words: int, percent: int = 80, id_col:
     first = storage.stored(_confirmed(likely, texts, shingle_words, percent).select(F.col("rep").alias("u"), F.col("hub").alias("v")), "confirmed")
     placed = members.join(components(first).withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_members = storage.stored(_open(placed, lists, coordinates, least, percent, block), "open")
-    links = first.unionByName(storage.stored(_links(open_members, texts, shingle_words, percent), "forest"))
+    forest = storage.stored(_links(open_members, texts, shingle_words, percent), "forest")
+    storage.drop(prefixes, lists, members, likely, texts, open_members)
     # rows with equal sets are linked to the smallest id of their class
     same = some.select("doc_id", *key).join(classes.filter("many > 1").select("rep", *key), key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    all_links = links.unionByName(same)
-    final = components(all_links)
+    final = components(first.unionByName(forest).unionByName(same))
+    storage.drop(classes, first, forest)
     out = signed.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

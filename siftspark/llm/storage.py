@@ -3,21 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftspark import shared
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where none is set (local tests), one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='siftspark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+shared_dir = shared.shared_dir
 
 
 #: Bytes of rows that one Arrow batch holds at most; a longer row stands alone.
@@ -36,9 +27,7 @@ def bounded_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here and lost executors lose nothing."""
     bounded_batches(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return shared.stored(df, name)
 
 
 def small(ids: DataFrame, most: int = 200_000) -> DataFrame:
@@ -49,10 +38,11 @@ def small(ids: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
-def drop(df: DataFrame) -> None:
-    """Removes a table made by stored() that no later result reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by stored() that no later result reads."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(conf).delete(path, True)

@@ -173,6 +173,7 @@ def scanned(documents: DataFrame, window: int = WINDOW, edge: int = EDGE, id_col
     # the span's bit 7 tells that the path branches
     spans = _anchors(rows, window, edge, True).join(repeated, "anchor").select(*_KEY, (F.col("span") + F.when(F.col("branching"), 128).otherwise(0)).alias("span"))
     done = storage.stored(_joined(rows, spans, window), "spans")
+    storage.drop(repeated)
     again = storage.stored(_open_windows(done, window).groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "windows")
     starts = _open_windows(done, window).join(again, ["h1", "h2"]).groupBy(*_KEY).agg(F.collect_set("start").alias("starts"))
     left = done.filter("packed is not null")

@@ -39,13 +39,24 @@ SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Words whose ids a worker keeps; a full store becomes the older of two.
 WORDS = 400_000
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 5, 1024, 12
+#: Rules that a round adds at most. Rounds end when no pair stands LEAST_COUNT times (a rule takes 12 bytes and saves two at each) or symbols of two bytes run out.
+RULES_PER_ROUND, LEAST_COUNT = 8192, 7
+_TABLE_BITS = 22
 _ODD = [np.uint32(0x9E3779B1 + 2 * k * 0x01000193) for k in range(24)]
 _MAGIC = b"RPS1"
-_SLICE = 1 << 22
-_PLAIN = re.compile(rb"[a-z]+").fullmatch
+_SLICE = 3 << 20
+#: Lower-case letters a-z and those of Latin-1, in UTF-8: no normalizer of lower case and composed forms changes them.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_TAIL = np.isin(np.arange(256), [*range(0x9F, 0xB7), *range(0xB8, 0xC0)])
+#: Words that go through the tokenizer as one text, and what stands between those that aren't plain: a piece of its own for any pre-tokenizer by white space.
+_TOGETHER, _BETWEEN = 1000, "\x01"
 _MARK = np.isin(np.arange(256), list(b".,!?;:"))
 
+#: How byte-level tokenizers write bytes: those that aren't printable in Latin-1 have letters from 256 on. Spaces stay, to part words.
+_LETTERS = np.arange(256, dtype="<u4")
+_LETTERS[[b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]] = 256 + np.arange(68)
+_LETTERS[32] = 32
+
 SHARD_SCHEMA = "shard long, first_doc long, n_docs long, n_tokens long, bytes binary"
 
 
@@ -71,37 +82,73 @@ class WordStore:
     def __init__(self, path: str, most: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        # a word of a-z alone passes the normalizer and the pre-tokenizer as it is
+        # a plain word passes the normalizer as it is, and the pre-tokenizer whole, its bytes written as letters
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = None
-        self.bare.pre_tokenizer = None
-        self.bare.no_truncation()
-        self.bare.no_padding()
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        for tok in (self.tok, self.bare):
+            tok.no_truncation()
+            tok.no_padding()
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for x, i in self.tok.get_vocab().items() if x.endswith(suffix)]] = True
+        self.between = self.tok.encode(_BETWEEN, add_special_tokens=False).ids
         self.most, self.new, self.old = most, {}, {}
 
-    def learn(self, words: set[bytes]) -> None:
-        missing = words.difference(self.new)
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids' bytes of each word; words that the store lacks are learned."""
+        ids = list(map(self.new.get, words))
+        missing = [w for w, x in zip(words, ids, strict=True) if x is None]
         if not missing:
-            return
+            return ids
         if len(self.new) + len(missing) > self.most:
-            self.old, self.new, missing = self.new, {}, words
-        known = {w for w in missing if w in self.old}
-        for w in known:
-            self.new[w] = self.old[w]
-        fresh = missing - known
+            self.old, self.new = self.new, {w: x for w, x in zip(words, ids, strict=True) if x is not None}
+        self.new.update((w, x) for w, x in zip(missing, map(self.old.get, missing), strict=True) if x is not None)
+        fresh = list(dict.fromkeys(w for w in missing if w not in self.new))
         plain = [w for w in fresh if _PLAIN(w)]
-        rest = list(fresh.difference(plain))
-        for tok, some in ((self.bare, plain), (self.tok, rest)):
-            ids = [e.ids for e in tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-            at = 0
-            for w, x in zip(some, ids, strict=True):
-                self.new[w] = flat[at : (at := at + self.kind.itemsize * len(x))]
+        rest = [w for w in fresh if not _PLAIN(w)]
+        for k in range(0, len(plain), _TOGETHER):
+            self._learn_plain(plain[k : k + _TOGETHER])
+        for k in range(0, len(rest), _TOGETHER):
+            self._learn_rest(rest[k : k + _TOGETHER])
+        return list(map(self.new.__getitem__, words))
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Plain words: each ends with the only one of its ids that ends a word."""
+        ids = np.array(self.bare.encode_batch_fast([_LETTERS[np.frombuffer(b" ".join(words), np.uint8)].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, self.kind)
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) == len(words):
+            self._store(words, ids, cut)
+        else:  # no such ends in this vocabulary
+            self._learn_singly(words)
+
+    def _learn_rest(self, words: list[bytes]) -> None:
+        """Any words: the ids of a sign that none of them holds stand after each."""
+        if len(self.between) != 1 or any(_BETWEEN.encode() in w for w in words):
+            self._learn_singly(words)
+            return
+        text = "".join([f"{w.decode()} {_BETWEEN} " for w in words])
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        cut = np.flatnonzero(ids == self.between[0])
+        if len(cut) != len(words):
+            self._learn_singly(words)
+            return
+        self._store(words, np.delete(ids, cut), cut - np.arange(len(cut)))
+
+    def _learn_singly(self, words: list[bytes]) -> None:
+        ids = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self._store(words, np.fromiter(chain.from_iterable(ids), self.kind), np.cumsum([len(x) for x in ids]))
+
+    def _store(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, at = ids.tobytes(), 0
+        for w, e in zip(words, (ends * self.kind.itemsize).tolist(), strict=True):
+            self.new[w] = raw[at:e]
+            at = e
 
     def encode_column(self, column: pa.Array, end_id: int) -> Iterator[bytes]:
         """The ids' bytes of each text, with the end id. A slice's distinct words are looked up once each."""
@@ -119,8 +166,7 @@ class WordStore:
         first, which = _distinct(textscan.hashes(data, start, end), end - start)
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        self.learn(set(words))
-        ids = [self.new[w] for w in words]
+        ids = self.ids_of(words)
         flat = np.frombuffer(b"".join(ids), self.kind)
         counts = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
         starts = np.cumsum(counts) - counts
@@ -131,14 +177,15 @@ class WordStore:
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs between white space; end marks after a letter a-z at a word's end are a word of their own."""
+    """Runs between white space; end marks after a plain letter at a word's end are a word of their own."""
     start, end = textscan.word_spans(data, offsets, textscan.SPACED)
     if not len(start):
         return start, end
     place = np.where(_MARK[data], 0, np.arange(1, len(data) + 1))
     body = np.maximum(np.maximum.accumulate(place)[end - 1], start)  # after the last byte that is no mark
     cut = (body > start) & (body < end)
-    cut[cut] = (data[body[cut] - 1] >= 97) & (data[body[cut] - 1] <= 122)
+    before = data[body[cut] - 1]
+    cut[cut] = ((before >= 97) & (before <= 122)) | (_TAIL[before] & (data[np.maximum(body[cut] - 2, 0)] == 0xC3) & (body[cut] - 2 >= start[cut]))
     return np.sort(np.concatenate((start, body[cut]))), np.sort(np.concatenate((end, body[cut])))
 
 
@@ -153,18 +200,17 @@ def _distinct(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return order[new], which
 
 
-def repair(symbols: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(symbols: np.ndarray, last: np.ndarray, base: int, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols (uint32) with frequent pairs replaced, their flags of a document's end, and the rules.
 
     last flags the ends of documents; a flagged symbol is never the left of a pair. In each round
     up to per_round of the most frequent pairs become rules; overlapping occurrences are taken
-    from the left, every second one.
+    from the left, every second one. Rounds end when no pair stands ``least`` times, or there are
+    no numbers for rules left.
     """
     rules: list[np.ndarray] = []
     n_rules, room = 0, (1 << 16) - base if base < 1 << 16 else (1 << 31) - base
-    for _ in range(rounds):
-        if len(symbols) < 2 or n_rules >= room:
-            break
+    while len(symbols) > 1 and n_rules < room:
         key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:] if base + n_rules > 1 << 16 else symbols[:-1] * np.uint32(1 << 16) + symbols[1:]
         free = ~last[:-1]
         ordered = np.sort(key[free])
@@ -201,11 +247,11 @@ def _places(chosen: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each key the place at which chosen holds it, or else any place: by a small hash table if no two collide there."""
     if len(key) > 1 << 14 and chosen.dtype == np.uint32:
         for odd in _ODD:
-            slot = (chosen * odd) >> np.uint32(12)
+            slot = (chosen * odd) >> np.uint32(32 - _TABLE_BITS)
             if len(np.unique(slot)) == len(slot):
-                table = np.zeros(1 << 20, np.int16)
+                table = np.zeros(1 << _TABLE_BITS, np.int16)
                 table[slot] = np.arange(len(chosen))
-                return table[(key * odd) >> np.uint32(12)]
+                return table[(key * odd) >> np.uint32(32 - _TABLE_BITS)]
     return np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
 
 
@@ -215,14 +261,14 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
     last = np.zeros(int(counts.sum()), bool)
     last[np.cumsum(counts.astype(np.int64)) - 1] = True
     symbols, last, rules = repair(np.concatenate(ids).astype(np.uint32), last, base)
-    lengths = np.ones(base + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[base + k] = lengths[a] + lengths[b]
+    lengths: list[int] = []
+    for pair in rules.tolist():
+        lengths.append(sum(1 if x < base else lengths[x - base] for x in pair))
     width = 2 if base + len(rules) <= 1 << 16 else 4
     ends = np.flatnonzero(last)
     head = _MAGIC + struct.pack("<5I", base, width, len(rules), len(ids), len(symbols))
     return b"".join(
-        [head, rules.astype("<u4").tobytes(), lengths[base:].astype("<u4").tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(), counts.astype("<u4").tobytes(), np.diff(ends, prepend=-1).astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes()]
+        [head, rules.astype("<u4").tobytes(), np.array(lengths, "<u4").tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], np.uint8).tobytes(), counts.astype("<u4").tobytes(), np.diff(ends, prepend=-1).astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes()]
     )
 
 
@@ -253,19 +299,14 @@ class Shard:
     def _rules(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rules, one after the other, and where each starts."""
         if self._expanded is None:
-            starts = np.concatenate(([0], np.cumsum(self.lengths.astype(np.int64))))
-            flat = np.zeros(int(starts[-1]), np.uint32)
-            for k, (a, b) in enumerate(self.rules.tolist()):
-                at = int(starts[k])
-                for x in (a, b):
-                    if x < self.base:
-                        flat[at] = x
-                        at += 1
-                    else:
-                        s, e = starts[x - self.base], starts[x - self.base + 1]
-                        flat[at : at + e - s] = flat[s:e]
-                        at += int(e - s)
-            self._expanded = flat, starts
+            flat = self.rules.ravel().astype(np.int64)
+            while (open_ := flat >= self.base).any():  # each nonterminal by its two symbols, as often as rules are deep
+                at = np.cumsum(1 + open_) - (1 + open_)
+                out = np.empty(len(flat) + int(open_.sum()), np.int64)
+                out[at] = np.where(open_, self.rules[np.where(open_, flat - self.base, 0), 0], flat)
+                out[at[open_] + 1] = self.rules[flat[open_] - self.base, 1]
+                flat = out
+            self._expanded = flat.astype(np.uint32), np.concatenate(([0], np.cumsum(self.lengths.astype(np.int64))))
         return self._expanded
 
     def expand(self, i: int, j: int) -> np.ndarray:
@@ -298,8 +339,8 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, id_col: str = "d
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, pack_ids = word_store(tokenizer_path), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
                 own = part.column("doc_id").to_numpy(zero_copy_only=False)
                 where = np.searchsorted(np.array(bounds), np.nan_to_num(own.astype(float), nan=-np.inf), "right")
                 packed = [pack_ids.compress(x) for x in store.encode_column(part.column("text"), end_id)]

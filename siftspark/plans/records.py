@@ -10,7 +10,7 @@ from siftspark.functions import text as T
 from siftspark.operators import chunking, indexing, lifecycle, retrieval
 from siftspark.plans.queries import MEMBERS, POSTINGS, STORE, docs, members, query, store, table
 from siftspark.plans.structure import longs
-from siftspark.sources import artifacts, loaders
+from siftspark.sources import artifacts, loaders, pdf
 
 # texts
 
@@ -422,3 +422,20 @@ def pipe_tables(spark, d):
 def plain_paragraphs(spark, d):
     found = loaders.load_plain(table(spark, d, "documents"))
     return longs(found.select("doc_id", "pos", "line_start", F.md5("content").alias("content_md5")))
+
+
+SHOWN = "list_filter(string_split(regexp_replace(text, '[^\\x20-\\x7e\\n\\x{a1}-\\x{ac}\\x{ae}-\\x{ff}]', '?', 'g'), chr(10)), lambda x: trim(x) <> '')"
+
+
+@query(f"with s as (select doc_id, {SHOWN} as xs from documents), p as (select doc_id, unnest(range(0, greatest(len(xs), 1), 40)) // 40 + 1 as page, unnest(list_transform(range(0, greatest(len(xs), 1), 40), lambda i: trim(array_to_string(xs[i + 1:i + 40], chr(10)), ' ' || chr(10)))) as t from s) select doc_id, case when t = '' then null else page end as page, md5(case when t = '' then 'OCR_REQUIRED' else t end) as content_md5 from p")
+def pdf_paragraphs(spark, d):
+    """Documents written as PDF files, forty lines to a page, and loaded again; those without text need a scan's text recognised."""
+
+    def write(batches):
+        for frame in batches:
+            shown = [[x for x in t.split("\n") if x.strip(" ")] for t in frame["text"]]
+            yield frame.assign(content=[pdf.made([xs[k : k + 40] for k in range(0, max(len(xs), 1), 40)]) for xs in shown])[["doc_id", "content"]]
+
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x20-\\x7e\\n\\xa1-\\xac\\xae-\\xff]", "?")
+    files = table(spark, d, "documents").select("doc_id", plain.alias("text")).mapInPandas(write, "doc_id long, content binary")
+    return longs(loaders.load_pdf(files).select("doc_id", "page", F.md5("content").alias("content_md5")))

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
+from siftspark.sources import pdf
+from siftspark.sources.layout import OCR_CHARS, OCR_SHARE
 
 PARAGRAPH = "type string, content string, page int, line_start int, line_end int, heading_level int, heading string, language string"
 LOADED = f"doc_id long, title string, pos int, {PARAGRAPH}"
@@ -181,7 +183,38 @@ def load_plain(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lines.filter("content <> ''").select("doc_id", F.lit("").alias("title"), F.col("line").alias("pos"), *[c.alias(n) for n, c in own.items()])
 
 
-LOADERS: dict[str, Callable[..., DataFrame]] = {".md": load_markdown, ".markdown": load_markdown, ".docx": load_docx}
+def pdf_blocks(raw: bytes) -> list[dict]:
+    """Paragraphs of a PDF file's text layer, with a blank line between them in the count; a file that can't be read, or needs a scan's text recognised, gives its code as the one paragraph."""
+    try:
+        found = pdf.blocks(raw)
+    except pdf.Unsupported as e:
+        return [{"type": "error", "content": e.code}]
+    out, line = [], 1
+    for page, blocks in enumerate(found, 1):
+        for content in (text.replace("\x00", "").strip() for _, _, text in blocks):
+            if content:
+                n = content.count("\n") + 1
+                out.append({"type": "text", "content": content, "page": page, "line_start": line, "line_end": line + n - 1})
+                line += n + 1
+    empty = 1 - len({b["page"] for b in out}) / len(found) if found else 1.0
+    if empty > OCR_SHARE and sum(len(b["content"]) for b in out) < OCR_CHARS:
+        return [{"type": "error", "content": "OCR_REQUIRED" if found else "EMPTY_PDF"}]
+    return out
+
+
+def load_pdf(files: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
+    """Paragraphs of PDF files' bytes: blocks from the top, then from the left. Files without any have one of type error with the code."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for doc, raw in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
+                parts = pdf_blocks(bytes(raw or b""))
+                yield _frame(doc, first_title(parts), parts).astype({c: "Int32" for c in ("pos", "page", "line_start", "line_end", "heading_level")})
+
+    return files.select(F.col(id_col).cast("long").alias("doc_id"), content_col).mapInPandas(run, LOADED)
+
+
+LOADERS: dict[str, Callable[..., DataFrame]] = {".md": load_markdown, ".markdown": load_markdown, ".docx": load_docx, ".pdf": load_pdf}
 
 
 def register(extension: str, loader: Callable[..., DataFrame]) -> None:

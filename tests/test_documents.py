@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftspark.config import ChunkConfig
 from siftspark.functions import tables as tab
 from siftspark.operators import chunking, indexing, lifecycle, retrieval, validation
-from siftspark.sources import artifacts, layout, loaders
+from siftspark.sources import artifacts, layout, loaders, pdf
 from siftspark.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -55,6 +55,21 @@ def test_docx():
     assert got[3]["content"] == "| Metric | Value |\n| --- | --- |\n| Accuracy | 0.95 |"
 
 
+def test_pdf(spark):
+    raw = pdf.made([["Hello (world) \\ é", "second line"], ["page two"]])
+    assert [(b["content"], b["page"], b["line_start"]) for b in loaders.pdf_blocks(raw)] == [("Hello (world) \\ é\nsecond line", 1, 1), ("page two", 2, 4)]
+    codes = {loaders.pdf_blocks(x)[0]["content"] for x in (b"%PDF-1.4 x", b"no", pdf.made([["a"]]).replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"))}
+    assert codes == {"PDF_UNSUPPORTED"} and loaders.pdf_blocks(pdf.made([[]] * 5))[0]["content"] == "OCR_REQUIRED"
+    unicode_map = b"1 beginbfchar <0001> <4E2D> endbfchar 1 beginbfrange <0002> <0003> <0061> endbfrange"
+    body = b"BT /F 10 Tf 1 0 0 1 30 700 Tm <000100020003> Tj 0 -12 Td [(\\101) -300 <42>] TJ ET".replace(b"(\\101) -300 <42>", b"<0002> -300 <0003>")
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/MediaBox[0 0 600 800]>>", b"<</Type/Page/Contents[4 0 R]/Resources<</Font<</F 5 0 R>>>>>>", b"<<>>stream\n" + body + b"\nendstream", b"<</Subtype/Type0/ToUnicode 6 0 R>>", b"<<>>stream\n" + unicode_map + b"\nendstream"]
+    file = b"%PDF-1.7\n" + b"".join(b"%d 0 obj %s endobj\n" % (k, x) for k, x in enumerate(objects, 1))
+    assert pdf.blocks(file) == [[(30.0, 100.0, "中ab\nab")]]
+    assert list(pdf.values(b"(a\\101\\n(b)) /N#20x [1 2.5 3 0 R] <</K <6A>>>")) == [b"aA\n(b)", "/N x", [1, 2.5, pdf.Ref(3)], {"/K": b"j"}]
+    df = loaders.loader_for("A.PDF")(spark.createDataFrame([(1, bytearray(raw)), (2, None)], "doc_id long, content binary"))
+    assert sorted((r.doc_id, r.type) for r in df.collect()) == [(1, "text"), (1, "text"), (2, "error")]
+
+
 def test_uploads(spark, tmp_path):
     (tmp_path / "a.md").write_text("# x")
     (tmp_path / "b.pdf").write_bytes(b"no pdf")

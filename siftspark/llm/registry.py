@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftspark import shared
 from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_docs, oracles, storage, substring_dedup, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
@@ -13,8 +14,10 @@ HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contami
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it is read; texts in fewer pieces than there are cores are dealt out to all."""
     storage.bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shared.spread(found) if name in ("documents", "pages") else found
 
 
 def tokenizer(name: str) -> str:

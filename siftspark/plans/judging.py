@@ -67,7 +67,7 @@ def prediction_faults(spark, d):
     """Predictions that are missing, foreign or repeated; answerable questions without evidence."""
     q = items(spark, d)
     made = q.filter("qid % 4 <> 0").select("qid")
-    made = made.unionByName(made.filter("qid % 4 = 1")).unionByName(q.limit(1).select(F.lit(-1).cast("long").alias("qid")))
+    made = made.unionByName(made.filter("qid % 4 = 1")).unionByName(spark.createDataFrame([(-1,)], "qid long"))
     return evaluation.prediction_problems(q.withColumn("answerable", F.col("qid") % 2 == 0), made, gold(spark, d))
 
 

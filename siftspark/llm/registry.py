@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftspark import shared
-from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, line_dedup, minhash_docs, oracles, storage, substring_dedup, token_files, toxicity
+from siftspark.llm import bpe_chunks, decontaminate, embedding_dedup, html_extract, language_id, lexical_search, line_dedup, minhash_docs, mixing, oracles, phrases, storage, substring_dedup, token_files, toxicity
 
 #: What a query returns, where its operator returns more.
 HIT_COLUMNS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -74,8 +74,20 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op3_toxicity, op4_token_files, op5_minhash_docs, op6_embedding_dedup, op7_substring_dedup, op8_decontaminate, op9_language_id, pages_language_id, op10_bpe_chunks)}
+    return {f.__name__: f for f in (op1_html_extract, op2_line_dedup, op3_toxicity, op4_token_files, op5_minhash_docs, op6_embedding_dedup, op7_substring_dedup, op8_decontaminate, op9_language_id, pages_language_id, op10_bpe_chunks, op11_mixing, op12_phrases, op13_lexical_search)}
 
 
 oracle_sql = oracles.oracle_sql

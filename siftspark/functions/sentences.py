@@ -31,7 +31,15 @@ def pieces(sentence: str, most: int) -> list[tuple[str, bool]]:
     return [(x[k : k + most], len(x) > most) for x in whole for k in range(0, len(x), most)]
 
 
-def piece_numbers(sizes: list[int], most: int, between: int) -> list[int]:
-    """The piece of each part: that of the part before if both fit with what stands between, else a new one."""
-    steps = accumulate(sizes, lambda at, n: (at[0], at[1] + between + n) if at[1] and at[1] + between + n <= most else (at[0] + 1, n), initial=(0, 0))
-    return [number for number, _ in steps][1:]
+def piece_numbers(sizes: list[int], most: int, between: int, joint_counts: bool = True, members: int | None = None) -> list[int]:
+    """The piece of each part: that of the part before if both fit with what stands between, else a new one.
+
+    joint_counts: what would stand before the part counts against ``most``; members: parts of a piece at most.
+    """
+
+    def step(at: tuple[int, int, int], n: int) -> tuple[int, int, int]:
+        number, used, count = at
+        fits = used + n + between * joint_counts <= most and (members is None or count < members)
+        return (number, used + between + n, count + 1) if count and fits else (number + 1, n, 1)
+
+    return [number for number, *_ in accumulate(sizes, step, initial=(0, 0, 0))][1:]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,33 +23,21 @@ _NAMES = [x.split()[0] for x in CHUNK.split(", ")]
 
 
 def merge_sentences(text: str, cfg: ChunkConfig) -> list[tuple[str, bool]]:
-    """Sentences joined by spaces while at most max_sentences and, without the space, max_chunk_chars; flags of hard cuts."""
-    out: list[tuple[str, bool]] = []
-    held, count, hard = "", 0, False
-    for sentence, cut in sentences.split(text, cfg.max_chunk_chars):
-        if count >= cfg.max_sentences or len(held) + len(sentence) > cfg.max_chunk_chars:
-            if held:
-                out.append((held, hard))
-            held, count, hard = sentence, 1, cut
-        else:
-            held, count, hard = f"{held} {sentence}" if held else sentence, count + 1, hard or cut
-    return [*out, (held, hard)] if held else out
+    """Sentences joined by spaces while at most max_sentences and, without the last space, max_chunk_chars; flags of hard cuts."""
+    found = sentences.split(text, cfg.max_chunk_chars)
+    numbers = sentences.piece_numbers([len(s) for s, _ in found], cfg.max_chunk_chars, 1, joint_counts=False, members=cfg.max_sentences)
+    runs = [list(g) for _, g in groupby(zip(numbers, found, strict=True), key=lambda t: t[0])]
+    return [(" ".join(s for _, (s, _) in run), any(cut for _, (_, cut) in run)) for run in runs]
 
 
 def table_parts(text: str, cfg: ChunkConfig) -> list[tuple[str, bool]]:
     """A table as it is if it fits, else parts that repeat its first two lines."""
     if len(text) <= cfg.max_chunk_chars:
         return [(text, False)]
-    head, rows = text.split("\n")[:2], text.split("\n")[2:]
-    room = cfg.max_chunk_chars - sum(map(len, head)) - 2
-    out, part, used = [], [], 0
-    for row in rows:
-        if part and used + len(row) + 1 > room:
-            out.append(("\n".join(head + part), True))
-            part, used = [], 0
-        part.append(row)
-        used += len(row) + 1
-    return [*out, ("\n".join(head + part), True)] if part else out
+    lines = text.split("\n")
+    head, rows = "".join(f"{x}\n" for x in lines[:2]), lines[2:]
+    numbers = sentences.piece_numbers([len(r) + 1 for r in rows], cfg.max_chunk_chars - len(head), 0)
+    return [(head + "\n".join(r for _, r in part), True) for _, part in groupby(zip(numbers, rows, strict=True), key=lambda t: t[0])]
 
 
 def sections(paragraphs: list[dict], levels: int) -> list[tuple[int, dict | None, list[str]]]:

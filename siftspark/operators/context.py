@@ -243,32 +243,3 @@ def rewritten(queries: DataFrame, history: DataFrame, model=None, strategy: str
 
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
-
-
-class RefusalGate:
-    """Holds back a streamed answer while it may still become the refusal sentence.
-
-    feed() gives what can be shown; finish() the rest. An answer that begins with the sentence,
-    in any case and after white space, shows the sentence alone.
-    """
-
-    def __init__(self) -> None:
-        self.held, self.open, self.refused = "", False, False
-
-    def feed(self, part: str) -> str:
-        if self.refused:
-            return ""
-        if self.open:
-            return part
-        self.held += part
-        start, whole = self.held.lstrip().casefold(), T.REFUSAL.casefold()
-        if start.startswith(whole):
-            self.refused = True
-            return T.REFUSAL
-        if whole.startswith(start):
-            return ""
-        self.open = True
-        return self.held
-
-    def finish(self) -> str:
-        return "" if self.open or self.refused else self.held

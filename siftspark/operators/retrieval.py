@@ -175,8 +175,12 @@ def overlap_score(query: Column, passage: Column) -> Column:
 
 
 def reranked(candidates: DataFrame, queries: DataFrame, passages: DataFrame, scorer=overlap_score) -> DataFrame:
-    """Candidates (qid, id) scored by (query text, passage text); scorer is any Column function, a pandas UDF too."""
-    both = candidates.select("qid", "id").join(queries.select("qid", F.col("text").alias("query")), "qid").join(passages.select("id", F.col("text").alias("passage")), "id")
+    """Candidates (qid, id) scored by (query text, passage text); scorer is any Column function, a pandas UDF too.
+
+    Passages stay where they are read while the candidates are few enough to go to them.
+    """
+    asked = shared.few(candidates.select("qid", "id").join(shared.few(queries.select("qid", F.col("text").alias("query"))), "qid"))
+    both = passages.select("id", F.col("text").alias("passage")).join(asked, "id")
     return ranked(both.select("qid", "id", scorer(F.col("query"), F.col("passage")).alias("score")))
 
 

@@ -18,7 +18,7 @@ FOUND = f"{POSTINGS}, {ASKED}, {_bm25_sql('found', 30)}, {GOLD}"
 
 
 def found(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
-    return retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), k)
+    return search.corpus_index(spark, d).search(items(spark, d), k)
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftspark.plans.queries import lines, query, rounded, table
 from siftspark.plans.structure import longs
-from siftspark.sources import layout
+from siftspark.sources import export_graph, layout
 
 PLACED = """n as (select doc_id as d, x as t, row_number() over (partition by doc_id order by i) - 1 as o from (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from documents) where x <> ''),
  b as (select d, o // 12 + 1 as page, o % 12 as block, case when d % 2 = 0 then 40.0 + (o % 2) * 280 else 40.0 end::double as x0, (90 + (o % 12) * 50)::double as y0, t, case when length(t) % 6 = 0 then 14.0 else 10 + (length(t) % 3) * 0.1 end::double as size from n),
@@ -210,7 +210,7 @@ def orphan_cells(spark, d):
 @query(f"with {ITEMS}, w as (select k, r, ['n' || l_linenumber, case when k % 2 = 0 then '' else l_partkey::varchar end, case when k % 2 = 0 then l_partkey || '.' || q else q::varchar end] as cells from it) select k as table_id, count(*) > 1 as expanded, md5(string_agg(array_to_string(cells, ','), ';' order by r)) as rows_md5 from w group by 1")
 def repaired_tables(spark, d):
     """Rows written into one are taken apart; a number whose fraction went to the next cell is put together."""
-    rows = item_rows(spark, d).select("table_id", F.filter(F.slice("rows", 2, 1000), lambda r: F.size(r) == 3).alias("rows"))
+    rows = item_rows(spark, d).select("table_id", F.filter("rows", lambda r, i: (i > 0) & (F.size(r) == 3)).alias("rows"))
     even = F.col("table_id") % 2 == 0
     third = lambda r: F.when(even, F.concat(F.lit("."), r[2])).otherwise(r[2])
     column = lambda f: F.array_join(F.transform("rows", f), "\n")
@@ -266,7 +266,7 @@ def export_orders(spark, d):
     r = F.col("r")
     refs = it.select("document_id", F.when(r == 1, F.lit("#body")).otherwise(ref(r - 1)).alias("parent"), ref(r).alias("child"), F.lit(0).alias("place"))
     bad = it.filter((F.col("document_id") % 3 == 0) & (r == 1)).select("document_id", F.inline(F.array(F.struct(F.lit("e1").alias("parent"), F.lit("lost").alias("child"), F.lit(1).alias("place")), F.struct(F.lit("e1").alias("parent"), F.lit("e1").alias("child"), F.lit(2).alias("place")))))
-    order, sure = layout.export_order(it.select("document_id", ref(r).alias("ref")), refs.unionByName(bad))
+    order, sure = export_graph.export_order(it.select("document_id", ref(r).alias("ref")), refs.unionByName(bad))
     return rounded(longs(order.join(sure, "document_id")))
 
 

@@ -6,6 +6,7 @@ one document, labels for collections and statuses, events for jobs, conversation
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from siftspark import shared
 from siftspark.functions import text as T
 from siftspark.operators import chunking, context, evaluation, indexing, lifecycle, retrieval
+from siftspark.operators.segments import Index
 from siftspark.plans import search
 from siftspark.sources import loaders
 
@@ -269,14 +271,14 @@ def allocated_ids(spark, d):
 
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 10)} select qid, id as doc_id, round(score, 6) as score, rank from found")
 def bm25_topk(spark, d):
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 10)
+    found = search.corpus_index(spark, d).search(items(spark, d), 10)
     return rounded(found).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long"))
 
 
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', None, 5)} select qid, id as doc_id, round(score, 6) as score, rank from found where rank <= 50")
 def bm25_minimum(spark, d):
     """At least five of a question's terms."""
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 50, minimum=5)
+    found = search.corpus_index(spark, d).search(items(spark, d), 50, minimum=5)
     return rounded(found).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long"))
 
 
@@ -284,10 +286,35 @@ def bm25_minimum(spark, d):
 def bm25_scope(spark, d):
     """Only documents of quality 1; term weights stay the corpus's."""
     scope = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 10, scope=scope)
+    found = search.corpus_index(spark, d).search(items(spark, d), 10, scope=scope)
     return rounded(found).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long"))
 
 
+CHANGED = POSTINGS.replace("from documents)", "from docs)").replace("from documents", "from docs")
+
+
+@query(f"with docs as (select doc_id, case when doc_id % 5 = 1 then lang || ' ' || source || ' ' || text else text end as text from documents where doc_id % 7 <> 3), {CHANGED}, {ASKED}, {_bm25_sql('top', 10)} select qid, id as doc_id, round(score, 6) as score, rank from top")
+def changed_index(spark, d):
+    """A search after batches came, some documents came again with another text, others were deleted, and segments were merged."""
+    t = table(spark, d, "documents")
+    index = Index(spark, f"{shared.shared_dir(spark)}/changed-{uuid.uuid4().hex}")
+    i = F.col("doc_id")
+    rows = t.select(i.alias("id"), "text")
+    index.add(rows.filter(i % 2 == 0), "even").add(rows.filter(i % 2 == 1), "odd").add(rows.filter(i % 2 == 1), "odd")
+    again = t.filter(i % 5 == 1).select(i.alias("id"), F.concat_ws(" ", "lang", "source", "text").alias("text"))
+    index.add(again, "again").delete(rows.filter(i % 7 == 3).select("id"), "gone")
+    index.merge(most_docs=index.statistics()[0] // 3)
+    found = index.search(items(spark, d), 10)
+    return rounded(found).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long"))
+
+
+@query(f"with {POSTINGS}, {ASKED} select qid, sum(df)::bigint as postings, true as bounded from asked join terms using (term) group by 1")
+def postings_read(spark, d):
+    """Postings of each question's terms; its search reads each of them twice at most, once a pass."""
+    read = search.corpus_index(spark, d).postings_read(items(spark, d), 10)
+    return read.filter("postings > 0").select("qid", "postings", (F.col("read") <= 2 * F.col("postings")).alias("bounded"))
+
+
 UNIT = "unit as (select vec_id as id, label, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as v from embeddings)"
 NEAREST = _ranked_sql("near", "select q.id as qid, u.id, list_inner_product(q.v, u.v) as score from unit q, unit u where q.id % 20 = 0", 10)
 
@@ -317,26 +344,26 @@ def hashed_dense_topk(spark, d):
 
 @query(f"{HYBRID} select qid, id as doc_id, round(score, 6) as score, rank, source from fused")
 def rrf(spark, d):
-    found = search.stages(items(spark, d), docs(spark, d))["fused"]
+    found = search.stages(items(spark, d), docs(spark, d), search.corpus_index(spark, d))["fused"]
     return rounded(found).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long"), "source")
 
 
 @query(f"{HYBRID} select qid, id as doc_id, round(score, 6) as score, rank from reranked")
 def rerank(spark, d):
-    found = search.stages(items(spark, d), docs(spark, d))["reranked"]
+    found = search.stages(items(spark, d), docs(spark, d), search.corpus_index(spark, d))["reranked"]
     return rounded(found).select("qid", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long"))
 
 
 @query(f"{HYBRID} select qid, position, id as doc_id, round(score, 6) as score from selected")
 def hybrid_search(spark, d):
     """The flagship: dense and sparse search, fusion, reranking and selection of evidence."""
-    found = search.search(items(spark, d), docs(spark, d))
+    found = search.search(items(spark, d), docs(spark, d), search.corpus_index(spark, d))
     return rounded(found).select("qid", F.col("position").cast("long"), F.col("id").alias("doc_id"), "score")
 
 
 @query(f"{HYBRID} select qid, 'dense' as stage, rank, id, round(score, 6) as score from dense union all select qid, 'bm25', rank, id, round(score, 6) from sparse union all select qid, 'fused', rank, id, round(score, 6) from fused union all select qid, 'reranked', rank, id, round(score, 6) from reranked union all select qid, 'selected', position, id, round(score, 6) from selected")
 def search_trace(spark, d):
-    s = search.stages(items(spark, d), docs(spark, d))
+    s = search.stages(items(spark, d), docs(spark, d), search.corpus_index(spark, d))
     s["selected"] = s["selected"].drop("rank").withColumnRenamed("position", "rank")
     return rounded(retrieval.trace(**s)).withColumn("rank", F.col("rank").cast("long"))
 
@@ -344,7 +371,7 @@ def search_trace(spark, d):
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', None)}, p as (select f.*, d.source, row_number() over (partition by f.qid, d.source order by f.rank) as n from found f join documents d on d.doc_id = f.id) select qid, id as doc_id, rank from p where rank <= 5 or (n = 1 and source in ('src0', 'src1', 'src2'))")
 def document_firsts(spark, d):
     """The first five hits and the first of each of three sources."""
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), None)
+    found = search.corpus_index(spark, d).search(items(spark, d), None)
     hits = found.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id")), "id")
     balance = items(spark, d).select("qid", F.explode(F.array(*[F.lit(f"src{k}") for k in range(3)])).alias("document_id"))
     return retrieval.with_document_firsts(hits, 5, balance).select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long"))
@@ -352,14 +379,14 @@ def document_firsts(spark, d):
 
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 30)} select qid, id as doc_id, case when m > 1 then 'duplicate_hash' end as reason, case when m > 1 then owner end as owner from (select f.*, row_number() over w as m, first_value(f.id) over w as owner from found f join documents d on d.doc_id = f.id window w as (partition by f.qid, sha256(d.text) order by f.rank))")
 def repeats(spark, d):
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 30)
+    found = search.corpus_index(spark, d).search(items(spark, d), 30)
     hits = found.join(docs(spark, d).select("id", F.sha2("text", 256).alias("content_hash")), "id")
     return retrieval.without_repeats(hits).select("qid", F.col("id").alias("doc_id"), "reason", "owner")
 
 
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 30)}, k as (select f.*, d.source, row_number() over (partition by f.qid, d.source, sha256(d.text) order by f.rank) as m from found f join documents d on d.doc_id = f.id), l as (select *, (row_number() over (partition by qid, source order by rank) > 1)::int as late from k where m = 1), t as (select *, row_number() over (partition by qid order by late, rank) as fill from l) select qid, id as doc_id, row_number() over (partition by qid order by rank) as position from t where fill <= 8")
 def balanced_selection(spark, d):
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 30)
+    found = search.corpus_index(spark, d).search(items(spark, d), 30)
     info = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"), F.col("source").alias("document_id"), F.lit("").alias("version_id"), F.lit("").alias("table_id"))
     out = retrieval.select_evidence(found.join(info, "id"), 8, items(spark, d))
     return out.select("qid", F.col("id").alias("doc_id"), F.col("position").cast("long"))
@@ -368,7 +395,7 @@ def balanced_selection(spark, d):
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 20)}, two as (select qid, 0 as search, id, rank from found where rank <= 10 union all select qid, 1, id, rank - 5 from found where rank > 5), f as (select qid, id, sum(1.0::double / (60 + rank)) as score, min(rank) as best, min(search) as first from two group by 1, 2), o as (select f.*, row_number() over (partition by qid order by round(score, 9) desc, best, first, lpad(id::varchar, 12, '0')) as place from f), h as (select o.*, row_number() over (partition by o.qid, sha256(d.text) order by place) as m from o join documents d on d.doc_id = o.id), n as (select *, row_number() over (partition by qid order by place) as rank from h where m = 1) select qid, id as doc_id, round(score, 6) as score, rank from n where rank <= 8")
 def merged_searches(spark, d):
     """Two overlapping searches of each question, fused."""
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 20)
+    found = search.corpus_index(spark, d).search(items(spark, d), 20)
     both = found.filter("rank <= 10").withColumn("search", F.lit(0)).unionByName(found.filter("rank > 5").withColumn("rank", F.col("rank") - 5).withColumn("search", F.lit(1)))
     rows = both.join(docs(spark, d), "id").select("qid", "search", "rank", F.lpad(F.col("id").cast("string"), 12, "0").alias("chunk_id"), F.col("id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("element_id"), F.col("text").alias("raw_content"), F.array().cast("array<string>").alias("cell_ids"))
     return rounded(context.merged(rows, 8)).select("qid", F.col("document_id").cast("long").alias("doc_id"), "score", F.col("rank").cast("long"))
@@ -436,13 +463,13 @@ def gold_pairs(spark, d):
 
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 30)}, {GOLD}, {_scores_sql('found')} select qid, {ROUNDED} from scores")
 def query_scores(spark, d):
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 30)
+    found = search.corpus_index(spark, d).search(items(spark, d), 30)
     return rounded(evaluation.per_query(found, search.gold(items(spark, d), docs(spark, d))))
 
 
 @query(f"{HYBRID}, {GOLD}, " + ", ".join(_scores_sql(s, f"s_{s}") for s in ("dense", "sparse", "fused", "reranked")) + " " + " union all ".join(f"select '{n}' as stage, count(*) as n, {MEANS} from s_{s}" for n, s in (("dense", "dense"), ("bm25", "sparse"), ("fused", "fused"), ("reranked", "reranked"))))
 def stage_ablation(spark, d):
-    s = search.stages(items(spark, d), docs(spark, d))
+    s = search.stages(items(spark, d), docs(spark, d), search.corpus_index(spark, d))
     names = ["dense", "bm25", "fused", "reranked"]
     trace = retrieval.trace(**{n: s[n] for n in names})
     return rounded(evaluation.stage_report(trace, search.gold(items(spark, d), docs(spark, d)), names))
@@ -451,14 +478,14 @@ def stage_ablation(spark, d):
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 30)}, {GOLD}, need as (select g.qid, g.id, f.rank from gold g left join found f using (qid, id)), each as (select qid, 0 as grp, case when count(rank) = count(*) then max(rank) end as last_rank from need group by 1) select qid, " + ", ".join(f"coalesce((last_rank <= {k})::int::double, 0) as group_recall_{k}" for k in (1, 3, 5, 10)) + ", round(coalesce(1.0 / last_rank, 0), 6) as group_mrr from each")
 def group_scores(spark, d):
     """All documents of a question are one group."""
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 30)
+    found = search.corpus_index(spark, d).search(items(spark, d), 30)
     groups = search.gold(items(spark, d), docs(spark, d)).withColumn("grp", F.lit(0))
     return rounded(evaluation.group_scores(found, groups))
 
 
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 3)}, {GOLD}, j as (select f.qid as a, g.qid as b from found f full join gold g using (qid, id)) select round(count(*) filter (where a is not null and b is not null) / count(a)::double, 6) as citation_precision, round(count(*) filter (where a is not null and b is not null) / count(b)::double, 6) as citation_recall from j")
 def citation_scores(spark, d):
-    found = retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 3)
+    found = search.corpus_index(spark, d).search(items(spark, d), 3)
     return rounded(evaluation.citation_scores(found, search.gold(items(spark, d), docs(spark, d))))
 
 
@@ -470,7 +497,7 @@ def split_leakage(spark, d):
 
 @query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 30)}, {GOLD}, {_scores_sql('found')}, m as (select 'recall@10' as metric, avg(recall_10) as value from scores union all select 'mrr', avg(mrr) from scores) select t.metric, round(value, 6) as value, threshold, coalesce(value >= threshold, false) as passed from (values ('recall@10', 0.85::double), ('mrr', 0.5::double), ('rejection', 0.8::double)) t(metric, threshold) left join m using (metric)")
 def gates(spark, d):
-    scores = evaluation.means(evaluation.per_query(retrieval.bm25(items(spark, d), indexing.build_sparse(docs(spark, d)), 30), search.gold(items(spark, d), docs(spark, d))))
+    scores = evaluation.means(evaluation.per_query(search.corpus_index(spark, d).search(items(spark, d), 30), search.gold(items(spark, d), docs(spark, d))))
     metrics = scores.select(F.expr("stack(2, 'recall@10', recall_10, 'mrr', mrr) as (metric, value)"))
     return rounded(evaluation.gates(metrics, {"recall@10": 0.85, "mrr": 0.5, "rejection": 0.8}))
 

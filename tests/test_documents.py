@@ -145,7 +145,11 @@ def test_layout(spark):
     assert [(r.kind, r.text, r.section_path) for r in got] == [("header", "Journal X", []), ("heading", "Heading", ["Heading"]), ("paragraph", "body one\nbody two", ["Heading"]), ("header", "Journal X", ["Heading"])] or [r.kind for r in got] == ["header", "heading", "paragraph", "header"]
     assert layout.page_columns(blocks, pages).filter("columns <> 1").count() == 0
     assert layout.ocr_required(pages, blocks.filter("false"), blocks.filter("false").select("document_id", "page")).count() == 1
-    assert layout.repair_rows([["a\nb", "1\n2", "x"], ["9", ".46", ""]]) == ([["a", "1", "x"], ["b", "2", ""], ["", "9.46", ""]], True)
+    raw = [["a\nb", "1\n2", "x"], ["9", " .46", ""], ["p\nq", "", "1"], ["p\nq", "1\r\n2\x0b3", "z"], [None, "٣", ".5\n"]]
+    table = spark.createDataFrame([(raw, [[[float(k)]] for k in range(5)])], "rows array<array<string>>, boxes array<array<array<double>>>")
+    done = table.select(layout.repaired(F.col("rows"), F.col("boxes")).alias("x")).first().x
+    assert done.rows == [["a", "1", "x"], ["b", "2", ""], ["", "9.46", ""], ["p", "", "1"], ["p", "1", "z"], ["", "", "٣.5"]] and done.expanded
+    assert done.boxes == [[[0.0]], [[0.0]], [[1.0]], [[2.0]], [[3.0]], [[4.0]]]
     assert [(c["row"], c["col"], c["text"]) for c in layout.table_cells("<table><tr><th rowspan=2>A</th><td>b</td></tr><tr><td>c</td></tr></table>")] == [(0, 0, "A"), (0, 1, "b"), (1, 1, "c")]
     sizes = spark.createDataFrame([([10.0, 10.0, 12.0, 16.0],), ([9.0],), ([],)], "s array<double>").select(layout.first_quartile(F.col("s")).alias("q"))
     assert [r.q for r in sizes.collect()] == [10.0, 9.0, 10.0]

@@ -161,8 +161,11 @@ class Index:
 
     # changes
 
-    def add(self, documents: DataFrame, batch: str, id_col: str = "id", text_col: str = "text", replace: bool = True) -> Index:
-        """Indexes a batch; documents whose ids are there already take their place. A batch that is in already changes nothing."""
+    def add(self, documents: DataFrame, batch: str, id_col: str = "id", text_col: str = "text", replace: bool = True, also: dict[str, DataFrame] | None = None) -> Index:
+        """Indexes a batch; documents whose ids are there already take their place. A batch that is in already changes nothing.
+
+        also: parts of other tables that become visible with it.
+        """
         facts: dict[str, dict] = {}
 
         def write(state: State) -> dict[str, str]:
@@ -177,6 +180,9 @@ class Index:
                 facts[parts["dead"]] = self._tombstones(ids, parts["dead"])
             if not facts.get(parts["dead"], {}).get("docs"):
                 parts.pop("dead")
+            for name, rows in (also or {}).items():
+                parts[name] = self.log.part(name)
+                rows.write.parquet(f"{self.root}/{parts[name]}")
             return parts
 
         self.state = self.log.commit(batch, write, facts)

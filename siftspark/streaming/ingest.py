@@ -1,23 +1,26 @@
 """Structured Streaming: documents that arrive are normalised, chunked and indexed batch by batch.
 
-Each micro-batch writes its parts under its own batch id and replaces them if it is run again,
-so a batch that fails half-way leaves nothing twice. Document frequencies and the average
-length are recomputed from all parts when the index is read, as a rebuild would.
+A micro-batch writes its chunks and its part of the index where no reader looks and publishes
+both by one line of the index's log, so a batch that fails half-way, or is run again, leaves
+nothing half or twice. Statistics are those of all published parts, as after a rebuild.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from siftspark import shared
 from siftspark.config import ChunkConfig
 from siftspark.operators import indexing
 from siftspark.operators.chunking import chunk_texts
+from siftspark.operators.segments import Index
+from siftspark.streaming.answers import ROCKSDB
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -26,13 +29,21 @@ def document_stream(spark: SparkSession, path: str, files_per_batch: int = 100)
     return spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+CHUNKS = "chunks"
+
+
 def write_batch(batch: DataFrame, batch_id: int, root: str, cfg: ChunkConfig | None = None) -> None:
-    """The chunks and postings of one micro-batch, which a repetition overwrites."""
-    chunks = chunk_texts(batch, cfg).withColumn("batch", F.lit(batch_id))
-    chunks.write.mode("overwrite").parquet(f"{root}/chunks/batch={batch_id}")
-    made = batch.sparkSession.read.parquet(f"{root}/chunks/batch={batch_id}")
-    indexing.postings(made, "chunk_id", "retrieval_content").write.mode("overwrite").parquet(f"{root}/postings/batch={batch_id}")
-    indexing.document_stats(made, "chunk_id", "retrieval_content").write.mode("overwrite").parquet(f"{root}/documents/batch={batch_id}")
+    """The chunks of one micro-batch and their index, published together; a batch that is in already changes nothing."""
+    index = Index(batch.sparkSession, root)
+    name = f"batch-{batch_id}"
+    if name in index.state.batches:
+        return
+    # chunks are numbered on from those that any version has had
+    base = sum(f["docs"] for p, f in index.state.facts.items() if p.startswith("shards/"))
+    rows = chunk_texts(batch, cfg).withColumn("index_id", F.lit(None).cast("long"))
+    numbered = indexing.allocate_ids(shared.stored(rows, "chunks"), ["doc_id", "chunk_index"]).withColumn("index_id", F.col("index_id") + base)
+    chunks = shared.stored(numbered, "chunks")
+    index.add(chunks, name, "index_id", "retrieval_content", replace=False, also={CHUNKS: chunks})
 
 
 def start(stream: DataFrame, root: str, cfg: ChunkConfig | None = None, once: bool = True) -> StreamingQuery:
@@ -41,30 +52,78 @@ def start(stream: DataFrame, root: str, cfg: ChunkConfig | None = None, once: bo
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def read_index(spark: SparkSession, root: str) -> indexing.SparseIndex:
-    """The index over all batches so far."""
-    return indexing.from_parts(spark.read.parquet(f"{root}/postings").drop("batch"), spark.read.parquet(f"{root}/documents").drop("batch"))
+def read_index(spark: SparkSession, root: str) -> Index:
+    """The index over all published batches; its ids are the chunks' index_id."""
+    return Index(spark, root)
+
+
+def read_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks of all published batches."""
+    index = Index(spark, root)
+    parts = [f"{root}/{p}" for p in index.state.tables.get(CHUNKS, [])]
+    return spark.read.parquet(*parts) if parts else spark.createDataFrame([], "doc_id long, chunk_id string, index_id long")
+
+
+SHOWN = "job_id string, progress int, stage string, events long, version long"
+FAILED = "failed"
+
+
+class Job(StatefulProcessor):
+    """A job's state: its largest progress, the stage of its latest event by id, and a timer that fails it when nothing comes."""
+
+    def __init__(self, stale_ms: int):
+        self.stale_ms = stale_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "progress int, stage string, latest long, events long, version long, due long")
+
+    def _show(self, key: tuple, state: tuple, stage: str) -> pd.DataFrame:
+        progress, _, _, events, version, _ = state
+        return pd.DataFrame({"job_id": [key[0]], "progress": [progress], "stage": [stage], "events": [events], "version": [version]})
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        progress, stage, latest, events, version, due = self.state.get() if self.state.exists() else (0, "queued", -1, 0, 0, 0)
+        last = due - self.stale_ms if due else 0
+        for pdf in rows:
+            at = pdf["event_id"].idxmax()
+            if pdf["event_id"][at] > latest:
+                latest, stage = int(pdf["event_id"][at]), str(pdf["stage"][at])
+            progress = max(progress, int(pdf["progress"].clip(0, 100).max()))
+            events += len(pdf)
+            last = max(last, int(pdf["ts_ms"].max()))
+        if last + self.stale_ms != due:  # an event that comes late moves nothing
+            if due:
+                self.handle.deleteTimer(due)
+            due = last + self.stale_ms
+            self.handle.registerTimer(due)
+        state = (progress, stage, latest, events, version + 1, due)
+        self.state.update(state)
+        yield self._show(key, state, stage)
 
-STATE = "progress int, stage string, events long"
-SHOWN = "job_id string, progress int, stage string, events long"
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        progress, stage, latest, events, version, due = self.state.get()
+        if expiredTimerInfo.getExpiryTimeInMs() == due:
+            state = (progress, stage, latest, events, version + 1, due)
+            self.state.update(state)
+            yield self._show(key, state, FAILED)
 
+    def close(self) -> None:
+        pass
 
-def _advance(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    progress, stage, events = state.get if state.exists else (0, "queued", 0)
-    for pdf in batches:
-        pdf = pdf.sort_values("event_id")
-        top = int(pdf["progress"].clip(0, 100).max())
-        progress, stage, events = max(progress, top), str(pdf["stage"].iloc[-1]), events + len(pdf)
-    state.update((progress, stage, events))
-    yield pd.DataFrame({"job_id": [key[0]], "progress": [progress], "stage": [stage], "events": [events]})
 
+def job_progress(events: DataFrame, delay: str = "1 day", stale: timedelta = timedelta(days=2)) -> DataFrame:
+    """A stream of job events (job_id, event_id, ts, stage, progress) to the jobs' states, each with a version that grows.
 
-def job_progress(events: DataFrame) -> DataFrame:
-    """A stream of job events (job_id, event_id, stage, progress) to the jobs' states; progress never falls."""
-    return events.groupBy("job_id").applyInPandasWithState(_advance, SHOWN, STATE, "update", GroupStateTimeout.NoTimeout)
+    Progress never falls, and the stage is that of the largest event id, in whatever batch it
+    came. A job for which nothing has come until ``stale`` after its last event is shown as
+    failed; an event after that shows it again. Events later than ``delay`` are dropped.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = events.withWatermark("ts", delay).withColumn("ts_ms", F.unix_millis("ts"))
+    return rows.groupBy("job_id").transformWithStateInPandas(Job(int(stale.total_seconds() * 1000)), outputStructType=SHOWN, outputMode="update", timeMode="eventTime")
 
 
 def event_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Counts and sums of events (ts, event_type, value) per window and type; events later than the delay are dropped by the watermark."""
+    """Counts and sums of events (ts, event_type, value) per window and type; events later than the delay are dropped by the watermark, which also ends the state of windows."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

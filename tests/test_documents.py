@@ -213,18 +213,52 @@ def test_streaming(spark, tmp_path):
     ingest.start(ingest.document_stream(spark, src), root).awaitTermination()
     chunks = chunking.chunk_texts(docs)
     want = indexing.build_sparse(chunks.withColumnsRenamed({"chunk_id": "id"}).select("id", F.col("retrieval_content").alias("text")))
-    got = ingest.read_index(spark, root)
-    assert got.corpus.first() == want.corpus.first()
-    assert got.terms.select("term", "df").exceptAll(want.terms.select("term", "df")).count() == 0
+    index = ingest.read_index(spark, root)
+    corpus = want.corpus.first()
+    assert index.statistics() == (corpus.n_docs, round(corpus.avgdl * corpus.n_docs))
+    assert ingest.read_chunks(spark, root).join(index.documents(), F.col("index_id") == F.col("id")).count() == corpus.n_docs
+    held = index.blocks().groupBy("term").agg(F.sum("n").alias("df"))
+    assert held.exceptAll(want.terms.select("term", "df")).count() == 0
+
+
+def test_a_micro_batch_that_fails_or_comes_again(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/out"
+    docs = spark.createDataFrame([(1, "one two"), (2, "two three")], "doc_id long, text string")
+    ingest.write_batch(docs, 0, root)
+
+    def fails(self, made, parts):
+        self._write_blocks(made.filter("term is not null").drop("ids"), parts["blocks"])
+        raise OSError("blocks are there, shards are not")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest.Index, "_write", fails)
+        with pytest.raises(OSError):
+            ingest.write_batch(docs, 1, root)
+    assert ingest.read_index(spark, root).statistics()[0] == ingest.read_chunks(spark, root).count() == 2
+    ingest.write_batch(docs, 1, root)
+    ingest.write_batch(docs, 0, root)
+    rows = ingest.read_chunks(spark, root).collect()
+    assert ingest.read_index(spark, root).statistics()[0] == len(rows) == len({r.index_id for r in rows}) == 4
 
 
 def test_job_stream(spark, tmp_path):
-    path = str(tmp_path / "events")
-    spark.createDataFrame([("j", 1, "parsing", 20), ("j", 3, "chunking", 10), ("k", 2, "queued", 5)], "job_id string, event_id long, stage string, progress int").coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("job_id string, event_id long, stage string, progress int").parquet(path)
-    q = ingest.job_progress(stream).writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.job_id: (r.progress, r.stage) for r in spark.sql("select * from jobs").collect()} == {"j": (20, "chunking"), "k": (5, "queued")}
+    from datetime import datetime, timedelta
+
+    path, day = str(tmp_path / "events"), lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    schema = "job_id string, event_id long, ts timestamp, stage string, progress int"
+    # j's later event comes first, s is silent for long and comes back, k stays silent
+    files = [[("j", 3, day(1), "chunking", 10), ("k", 2, day(0), "queued", 5), ("s", 1, day(0), "parsing", 120)], [("j", 1, day(0), "parsing", 20), ("j", 9, day(8), "ready", 0)], [("j", 10, day(9), "done", 7)], [("s", 8, day(8), "ready", 50)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = []
+    put = lambda batch, _: got.extend(batch.collect())
+    ingest.job_progress(stream, "2 days").writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    last = {}
+    for r in sorted(got, key=lambda r: r.version):
+        last[r.job_id] = (r.progress, r.stage, r.events)
+    assert last == {"j": (20, "done", 4), "k": (5, "failed", 1), "s": (100, "ready", 2)}
+    assert ("s", "failed") in {(r.job_id, r.stage) for r in got}
 
 
 def test_entry():

@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import sentences
 from siftspark.functions import text as T
-from siftspark.operators.context import RefusalGate
+from siftspark.streaming import answers
 
 
 def run(spark, expr, *texts):
@@ -96,8 +97,35 @@ def test_small_functions(spark):
         T.quote_hash(F.lit("x"), "v9")
 
 
-def test_refusal_gate():
-    gate = RefusalGate()
-    assert "".join(gate.feed(p) for p in (" insuff", "icient evidence in the", " provided sources. More")) + gate.finish() == T.REFUSAL
-    gate = RefusalGate()
-    assert "".join(gate.feed(p) for p in ("Insu", "lation is", " good")) + gate.finish() == "Insulation is good"
+@pytest.mark.parametrize(("parts", "want"), [
+    ((" insuff", "icient evidence in the", " provided sources. More"), ["", "", T.REFUSAL]),
+    (("Insu", "lation is", " good"), ["", "Insulation is", " good"]),
+    (("Insufficient", ""), ["", "Insufficient"]),
+    (("", "  "), ["", "  "]),
+    ((T.REFUSAL.upper(), " but", " no"), [T.REFUSAL, "", ""]),
+])
+def test_refusal_gate(parts, want):
+    """What each part adds, by the operator's rule alone: state and keys are stand-ins."""
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, x):
+            self.held = x
+
+    class Early(dict):
+        containsKey = lambda self, k: k in self
+        getValue = lambda self, k: self[k]
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        gate = answers.Gate()
+        gate.at, gate.early, out = Value(), Early(), {}
+        for k in [k for k in order if k < len(parts)]:
+            rows = pd.DataFrame({"seq": [k], "part": [parts[k]], "last": [k == len(parts) - 1]})
+            for got in gate.handleInputRows(("a",), iter([rows, rows]), None):
+                out |= dict(zip(got["seq"], got["shown"], strict=True))
+        assert [out[k] for k in range(len(parts))] == want and not gate.early

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
+from siftspark.operators.evidence import page_overlaps, preferring, resolve_evidence, section_matches, token_coverage
 
 RECALL_AT, NDCG_AT = (1, 3, 5, 10), (5, 10)
 THRESHOLDS = {"recall@10": 0.85, "citation_precision": 0.95, "citation_recall": 0.85, "rejection": 0.80}
@@ -202,92 +203,7 @@ def markdown_report(rows: DataFrame, columns: list[str]) -> str:
     return "\n".join(lines)
 
 
-# evidence resolution
-
-
-def page_overlaps(start: Column, end: Column, page: Column) -> Column:
-    """A page is in a range; one open end takes the other's value, and no range holds every page."""
-    lo, hi = F.coalesce(start, end), F.coalesce(end, start)
-    return lo.isNull() | page.between(lo, hi)
-
-
-def section_matches(actual: Column, expected: Column) -> Column:
-    """Every expected section equals, holds or is held by an actual one; both are normalised already."""
-    some = F.filter(actual, lambda a: a != "")
-    return (F.size(expected) == 0) | ((F.size(some) > 0) & F.forall(expected, lambda e: F.exists(some, lambda a: (a == e) | F.contains(a, e) | F.contains(e, a))))
-
-
-def preferring(rows: DataFrame, flag: Column, by: list[str]) -> DataFrame:
-    """Rows with a flag where a group has any, else all of the group."""
-    marked = rows.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    return marked.withColumn("_any", F.max("_f").over(Window.partitionBy(*by))).filter(F.col("_f") | ~F.col("_any")).drop("_f", "_any")
-
-
-def token_coverage(quote: Column, text: Column) -> Column:
-    q = T.evidence_tokens(quote)
-    return F.coalesce(F.size(F.array_intersect(q, T.evidence_tokens(text))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
-
-
-def resolve_evidence(anchors: DataFrame, chunks: DataFrame, fuzzy: float = 0.8, widest: int = 3, pages: DataFrame | None = None) -> DataFrame:
-    """(anchor_id, status, method, chunk_ids, reason): where a quote stands, by the first way that finds it.
-
-    anchors: (anchor_id, document_key, page, section_path, quote, quote_hash). chunks:
-    (document_key, chunk_id, chunk_index, page_start, page_end, section_path, subtype, indexed,
-    raw_content, retrieval_content). pages: (document_key, page, source_text, parsed_text).
-    Ways: a hash that doesn't fit ends it; the quote or its aligned form in a chunk's text; in a
-    table chunk's indexed text; over 2 to ``widest`` neighbouring chunks that all share words with it;
-    enough of its words (candidates for review only). A wanted section and the most specific
-    kind of chunk are preferred. Anchors meet only chunks of their document and page.
-    """
-    a = anchors.withColumn("q_align", T.for_alignment(F.col("quote"))).withColumn("q_tokens", T.evidence_tokens(F.col("quote"))).withColumn("q_section", F.transform("section_path", lambda s: F.lower(F.trim(s))))
-    bad = a.filter(F.col("quote_hash").isNotNull() & (T.quote_hash(F.col("quote")) != F.col("quote_hash"))).select("anchor_id")
-    c = chunks.filter("indexed").withColumn("c_align", T.for_alignment(F.col("raw_content"))).withColumn("c_tokens", T.evidence_tokens(F.col("raw_content"))).withColumn("c_section", F.transform("section_path", lambda s: F.lower(F.trim(s))))
-    c = c.withColumn("r_align", T.for_alignment(F.col("retrieval_content"))).withColumn("r_tokens", T.evidence_tokens(F.concat_ws(" ", "raw_content", "retrieval_content")))
-    pairs = a.drop("section_path").join(bad, "anchor_id", "left_anti").join(c.drop("section_path"), "document_key").filter(page_overlaps(F.col("page_start"), F.col("page_end"), F.col("page")))
-    exact, aligned = F.contains("raw_content", F.col("quote")), F.contains("c_align", F.col("q_align"))
-    table = F.col("subtype").isin("table_row", "table_group") & F.contains("r_align", F.col("q_align"))
-    # ways 1 and 2 look at one chunk
-    way = F.when(exact | aligned, F.lit(1)).when(table, F.lit(2))
-    single = pairs.withColumn("way", way).filter("way is not null")
-    single = single.withColumn("best", F.min("way").over(Window.partitionBy("anchor_id"))).filter("way = best")
-    single = preferring(single, section_matches(F.col("c_section"), F.col("q_section")), ["anchor_id"])
-    single = preferring(single, F.col("subtype") == "table_row", ["anchor_id"])
-    single = preferring(single, ~F.coalesce(F.col("subtype") == "table_raw_text", F.lit(False)), ["anchor_id"])
-    found = single.groupBy("anchor_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("ids"), F.min(exact.cast("int")).alias("exact"))
-    one = F.size("ids") == 1
-    method = F.when(F.col("exact") == 1, F.lit("exact")).otherwise(F.lit("normalized_exact"))
-    resolved = found.select("anchor_id", F.when(one, F.lit("resolved")).otherwise(F.lit("manual_review")).alias("status"), method.alias("method"), F.when(one, F.col("ids")).otherwise(F.array().cast("array<string>")).alias("chunk_ids"), F.when(one, F.lit("UNIQUE_MATCH")).otherwise(F.lit("MULTIPLE_MATCHES")).alias("reason"))
-    rest = pairs.join(found.select("anchor_id"), "anchor_id", "left_anti")
-    # way 3: neighbours. Each chunk looks at those after it
-    w = Window.partitionBy("anchor_id").orderBy("chunk_index", "chunk_id")
-    step = rest.withColumn("ok", section_matches(F.col("c_section"), F.col("q_section")))
-    sized = None
-    for n in range(2, widest + 1):
-        ahead = lambda name, n=n: F.array(F.col(name), *[F.lead(name, k).over(w) for k in range(1, n)])
-        row = step.select("anchor_id", "q_align", "q_tokens", ahead("chunk_id").alias("ids"), ahead("chunk_index").alias("at"), ahead("raw_content").alias("texts"), ahead("c_tokens").alias("tokens"), ahead("ok").alias("oks"))
-        whole = F.forall(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.get("at", k) == F.get("at", k - 1) + 1)
-        row = row.filter(whole & F.forall("tokens", lambda t: F.arrays_overlap(t, F.col("q_tokens"))))
-        row = row.filter(F.contains(T.for_alignment(F.array_join("texts", " ")), F.col("q_align")))
-        part = row.select("anchor_id", "ids", F.forall("oks", lambda x: x).alias("ok"), F.lit(n).alias("n"))
-        sized = part if sized is None else sized.unionByName(part)
-    sized = sized.withColumn("least", F.min("n").over(Window.partitionBy("anchor_id"))).filter("n = least")
-    near = preferring(sized, F.col("ok"), ["anchor_id"]).groupBy("anchor_id").agg(F.count("*").alias("n"), F.min("ids").alias("ids"))
-    only = F.col("n") == 1
-    windows = near.select("anchor_id", F.when(only, F.lit("multi_chunk")).otherwise(F.lit("manual_review")).alias("status"), F.lit("adjacent_chunks").alias("method"), F.when(only, F.col("ids")).otherwise(F.array().cast("array<string>")).alias("chunk_ids"), F.when(only, F.lit("UNIQUE_ADJACENT_WINDOW")).otherwise(F.lit("MULTIPLE_ADJACENT_WINDOWS")).alias("reason"))
-    # way 4: words
-    share = F.coalesce(F.size(F.array_intersect("q_tokens", "r_tokens")) / F.nullif(F.size("q_tokens"), F.lit(0)), F.lit(0.0))
-    similar = rest.join(near.select("anchor_id"), "anchor_id", "left_anti").filter(share >= fuzzy).select("anchor_id").distinct().withColumn("similar", F.lit(True))
-    last = a.join(bad, "anchor_id", "left_anti").join(found.select("anchor_id"), "anchor_id", "left_anti").join(near.select("anchor_id"), "anchor_id", "left_anti").join(similar, "anchor_id", "left")
-    if pages is not None:
-        last = last.join(pages.select("document_key", "page", "source_text", "parsed_text"), ["document_key", "page"], "left")
-        lost = F.coalesce(F.contains(T.for_alignment(F.col("source_text")), F.col("q_align")), F.lit(False)) & ~F.coalesce(F.contains(T.for_alignment(F.col("parsed_text")), F.col("q_align")), F.lit(False))
-    else:
-        lost = F.lit(False)
-    none = F.array().cast("array<string>").alias("chunk_ids")
-    few = F.coalesce("similar", F.lit(False))
-    others = last.select("anchor_id", F.when(lost, F.lit("parser_issue")).when(few, F.lit("manual_review")).otherwise(F.lit("unresolved")).alias("status"), F.when(few, F.lit("fuzzy_candidate")).otherwise(F.lit("none")).alias("method"), none, F.when(lost, F.lit("SOURCE_PRESENT_PARSER_OUTPUT_MISSING")).when(few, F.lit("FUZZY_CANDIDATES_REQUIRE_REVIEW")).otherwise(F.lit("NO_SOURCE_MATCH")).alias("reason"))
-    wrong = bad.select("anchor_id", F.lit("manual_review").alias("status"), F.lit("none").alias("method"), none, F.lit("QUOTE_HASH_MISMATCH").alias("reason"))
-    return reduce(DataFrame.unionByName, [resolved, windows, others, wrong])
+# evidence bound again
 
 
 def rebound(decisions: DataFrame, anchors: DataFrame, chunks: DataFrame, snapshot: str) -> DataFrame:

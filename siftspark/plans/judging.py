@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
-from siftspark.operators import context, evaluation, indexing, retrieval
+from siftspark.operators import context, evaluation, indexing, intervals, retrieval
 from siftspark.plans import search
 from siftspark.plans.queries import ASKED, GOLD, POSTINGS, STORE, _bm25_sql, docs, items, query, rounded, store, table
 from siftspark.plans.structure import ELEMENTS, elements, longs
@@ -181,6 +181,60 @@ def resolved_evidence(spark, d):
     return out.select("anchor_id", "status", "method", F.coalesce(F.get("chunk_ids", 0), F.lit("")).alias("chunk"), "reason")
 
 
+QUOTED = """w as materialized (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as ws from documents),
+ c as materialized (select *, raw || ' sum' || case when kind = 'table_row' then ' row total zzr' || doc_id else '' end as ret from (select doc_id, i, doc_id || '/' || i as id, array_to_string(ws[6 * i + 1:6 * i + 6], ' ') as raw, i // 4 as ps, i // 4 + (i % 4 = 3)::int as pe, 'part ' || i % 3 as sec, case i % 5 when 0 then 'table_row' when 1 then 'table_raw_text' else 'text' end as kind from (select *, unnest(range(0, (len(ws) + 5) // 6)) as i from w))),
+ a as materialized (select doc_id, doc_id || '/' || k as anchor_id, m // 4 as page, case when k = 0 and doc_id % 2 = 0 then 'part ' || m % 3 end as want, case k when 0 then array_to_string(ws[6 * m + 2:6 * m + 5], ' ') when 1 then array_to_string(ws[6 * m + 4:6 * m + 9], ' ') when 2 then array_to_string(ws[6 * m + 4:6 * m + 15], ' ') when 3 then array_to_string(ws[6 * m + 1:6 * m + 5], ' ') || ' zzq' when 4 then 'total zzr' || doc_id when 5 then 'row total zzr' || doc_id else 'zzz qqq vvv' end as quote from (select *, doc_id % 5 + 2 as m, unnest(range(0, 7)) as k from w where len(ws) >= 60))"""
+
+
+@query(
+    f"""with {QUOTED}, p as materialized (select a.anchor_id, a.quote, string_split(a.quote, ' ') as qs, a.want is null or contains(c.sec, a.want) as fits, c.* from a join c on c.doc_id = a.doc_id and a.page between c.ps and c.pe),
+ s1 as (select *, case when contains(raw, quote) then 1 when kind = 'table_row' and contains(ret, quote) then 2 end as way from p qualify way = min(way) over (partition by anchor_id)),
+ s2 as (select * from s1 qualify fits or not max(fits) over (partition by anchor_id)),
+ s3 as (select * from s2 qualify kind = 'table_row' or not max(kind = 'table_row') over (partition by anchor_id)),
+ s4 as (select * from s3 qualify kind <> 'table_raw_text' or not max(kind <> 'table_raw_text') over (partition by anchor_id)),
+ found as (select anchor_id, list(distinct id order by id) as ids, min(contains(raw, quote)::int) as exact from s4 group by 1),
+ rest as materialized (select * from p anti join found using (anchor_id)),
+ l as (select *, len(list_intersect(string_split(raw, ' '), qs)) > 0 as has, lead(i, 1) over w as i2, lead(i, 2) over w as i3, lead(raw, 1) over w as raw2, lead(raw, 2) over w as raw3, lead(id, 1) over w as id2, lead(id, 2) over w as id3, lead(fits, 1) over w as fits2, lead(fits, 2) over w as fits3 from rest window w as (partition by anchor_id order by i)),
+ l2 as (select *, len(list_intersect(string_split(raw2, ' '), qs)) > 0 as has2, len(list_intersect(string_split(raw3, ' '), qs)) > 0 as has3 from l),
+ wide as (select anchor_id, 2 as n, [id, id2] as ids, fits and fits2 as ok from l2 where i2 = i + 1 and has and has2 and contains(raw || ' ' || raw2, quote) union all select anchor_id, 3, [id, id2, id3], fits and fits2 and fits3 from l2 where i2 = i + 1 and i3 = i + 2 and has and has2 and has3 and contains(raw || ' ' || raw2 || ' ' || raw3, quote)),
+ least as (select * from wide qualify n = min(n) over (partition by anchor_id)), best as (select * from least qualify ok or not max(ok) over (partition by anchor_id)),
+ near as (select anchor_id, count(*) as n, min(ids) as ids from best group by 1),
+ alike as (select distinct anchor_id from rest anti join near using (anchor_id) where len(list_intersect(list_distinct(qs), string_split(raw || ' ' || ret, ' '))) / len(list_distinct(qs))::double >= 0.8)
+ select a.anchor_id, case when f.ids is not null then case when len(f.ids) = 1 then 'resolved' else 'manual_review' end when n.n is not null then case when n.n = 1 then 'multi_chunk' else 'manual_review' end when l.anchor_id is not null then 'manual_review' else 'unresolved' end as status,
+ case when f.ids is not null then case when exact = 1 then 'exact' else 'normalized_exact' end when n.n is not null then 'adjacent_chunks' when l.anchor_id is not null then 'fuzzy_candidate' else 'none' end as method,
+ case when len(f.ids) = 1 then f.ids[1] when f.ids is null and n.n = 1 then array_to_string(n.ids, ',') else '' end as chunks,
+ case when f.ids is not null then case when len(f.ids) = 1 then 'UNIQUE_MATCH' else 'MULTIPLE_MATCHES' end when n.n is not null then case when n.n = 1 then 'UNIQUE_ADJACENT_WINDOW' else 'MULTIPLE_ADJACENT_WINDOWS' end when l.anchor_id is not null then 'FUZZY_CANDIDATES_REQUIRE_REVIEW' else 'NO_SOURCE_MATCH' end as reason
+ from a left join found f using (anchor_id) left join near n using (anchor_id) left join alike l using (anchor_id)"""
+)
+def resolved_quotes(spark, d):
+    """Every way of finding a quote: in a chunk of its section, in a table row's indexed form, over two and three neighbours, by most of its words, or not at all."""
+    i = F.col("i")
+    w = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("ws"))
+    part = lambda start, n: F.array_join(F.slice("ws", start, n), " ")
+    c = w.filter("size(ws) > 0").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") + 5) / 6).cast("int") - 1)).alias("i"))
+    kind = F.when(i % 5 == 0, F.lit("table_row")).when(i % 5 == 1, F.lit("table_raw_text")).otherwise(F.lit("text"))
+    page = F.floor(i / 4).cast("int")
+    tail = F.when(i % 5 == 0, F.concat(F.lit(" row total zzr"), "doc_id")).otherwise(F.lit(""))
+    chunks = c.select(F.col("doc_id").alias("document_key"), F.concat_ws("/", "doc_id", "i").alias("chunk_id"), i.alias("chunk_index"), page.alias("page_start"), (page + (i % 4 == 3).cast("int")).alias("page_end"), F.array(F.concat(F.lit("Part "), i % 3)).alias("section_path"), kind.alias("subtype"), F.lit(True).alias("indexed"), part(6 * i + 1, F.lit(6)).alias("raw_content"), F.concat(part(6 * i + 1, F.lit(6)), F.lit(" sum"), tail).alias("retrieval_content"))
+    k, m = F.col("k"), F.col("m")
+    a = w.filter("size(ws) >= 60").select("*", (F.col("doc_id") % 5 + 2).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    total = F.concat(F.lit("total zzr"), "doc_id")
+    quote = F.when(k == 0, part(6 * m + 2, F.lit(4))).when(k == 1, part(6 * m + 4, F.lit(6))).when(k == 2, part(6 * m + 4, F.lit(12))).when(k == 3, F.concat(part(6 * m + 1, F.lit(5)), F.lit(" zzq"))).when(k == 4, total).when(k == 5, F.concat(F.lit("row "), total)).otherwise(F.lit("zzz qqq vvv"))
+    want = F.when((k == 0) & (F.col("doc_id") % 2 == 0), F.array(F.concat(F.lit("PART "), m % 3))).otherwise(F.array().cast("array<string>"))
+    anchors = a.select(F.concat_ws("/", "doc_id", "k").alias("anchor_id"), F.col("doc_id").alias("document_key"), F.floor(m / 4).cast("int").alias("page"), want.alias("section_path"), quote.alias("quote"), F.lit(None).cast("string").alias("quote_hash"))
+    return evaluation.resolve_evidence(anchors, chunks, fuzzy=0.8, widest=3).select("anchor_id", "status", "method", F.array_join("chunk_ids", ",").alias("chunks"), "reason")
+
+
+@query("select l.doc_id, count(*) as n, sum(d.doc_id)::bigint as total from labels l join documents d on 2 * l.doc_id <= 3 * d.doc_id + d.n_chars % 3000 and 3 * d.doc_id <= 2 * l.doc_id + 40 * l.quality group by 1")
+def overlapping_pages(spark, d):
+    """Page ranges of one large document: those of labelled rows against those of all documents, of lengths from one page to thousands."""
+    one = F.lit(1).alias("key")
+    left = table(spark, d, "labels").select(one, "doc_id", (2 * F.col("doc_id")).alias("a0"), (2 * F.col("doc_id") + 40 * F.col("quality")).alias("a1"))
+    right = table(spark, d, "documents").select(one, F.col("doc_id").alias("other"), (3 * F.col("doc_id")).alias("b0"), (3 * F.col("doc_id") + F.col("n_chars") % 3000).alias("b1"))
+    met = intervals.overlapping(left, right, ["key"], ("a0", "a1"), ("b0", "b1"))
+    return met.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("other").alias("total"))
+
+
 @query("select doc_id as anchor_id, case when n = 1 then chunk_id end as chunk_id, case when doc_id % 5 = 0 then 'PIN_MISMATCH' when n > 1 then 'AMBIGUOUS' end as problem from (select d.doc_id, case when d.doc_id % 5 <> 0 then count(*) end as n, min(c.doc_id::varchar) as chunk_id from documents d join documents c on c.source = d.source and md5(c.text) = md5(d.text) group by d.doc_id) x")
 def rebound_decisions(spark, d):
     """Review decisions bound again by content: pins of an old snapshot don't hold, copies in one source are ambiguous."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siftspark import shared
 from siftspark.functions import text as T
 from siftspark.operators import chunking, context, evaluation, indexing, lifecycle, retrieval
+from siftspark.operators.balls import Balls
 from siftspark.operators.segments import Index
 from siftspark.plans import search
 from siftspark.sources import loaders
@@ -327,6 +328,15 @@ def dense_topk(spark, d):
     return rounded(found).select("qid", "id", "score", F.col("rank").cast("long"))
 
 
+@query(f"with {UNIT}, {NEAREST}, n as (select count(*) as n from unit) select qid, id, round(score, 6) as score, rank, true as bounded from near")
+def bounded_topk(spark, d):
+    """The neighbours of dense_topk by balls and rings, visited while their bounds say so; no distance is computed twice."""
+    unit = indexing.l2_normalised(table(spark, d, "embeddings"), "vec_id", "embedding")
+    found, share = Balls.build(unit).nearest(unit.filter("id % 20 = 0").withColumnRenamed("id", "qid"), 10)
+    both = found.join(share.select("qid", (F.col("computed") <= F.col("n")).alias("bounded")), "qid")
+    return rounded(both).select("qid", "id", "score", F.col("rank").cast("long"), "bounded")
+
+
 @query(f"with {UNIT}, {_ranked_sql('near', 'select q.id as qid, u.id, list_inner_product(q.v, u.v) as score from unit q, unit u where q.id % 20 = 0 and u.label < 5', 10)} select qid, id, round(score, 6) as score, rank from near")
 def dense_scope(spark, d):
     e = table(spark, d, "embeddings")

@@ -186,22 +186,36 @@ def parser_signature(parser_id: str, version: str, models: dict | None = None, r
     return hashlib.sha256(canonical_json(body).encode()).hexdigest()
 
 
+def version_map(chunks: DataFrame) -> DataFrame:
+    """(document_id, version_id) of a snapshot's chunks: a table that goes with its manifest."""
+    return chunks.select("document_id", "version_id").distinct()
+
+
+def _digest(rows: DataFrame) -> tuple[int, str]:
+    """Number of rows, and a digest of them as a set: sums of parts of each row's SHA-256, which no order changes."""
+    whole = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in rows.columns])), 256)
+    sums = [F.sum(F.conv(F.substr(whole, F.lit(15 * k + 1), F.lit(15)), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
+    found = rows.agg(F.count("*").alias("n"), *sums).first()
+    return found.n, hashlib.sha256(" ".join(str(found[f"s{k}"] or 0) for k in range(4)).encode()).hexdigest()
+
+
 def manifest(chunks: DataFrame, signature: str, dim: int) -> dict:
-    """Counts, version map and hash of a snapshot. The version map has a row per document version, streamed."""
-    n = chunks.count()
-    versions = {r.document_id: r.version_id for r in chunks.select("document_id", "version_id").distinct().orderBy("document_id", "version_id").toLocalIterator()}
-    body = {"chunk_count": n, "signature": signature, "dimension": dim, "versions": versions}
+    """Counts of a snapshot, a digest of its version map (a table of its own) and a hash of them all."""
+    versions, digest = _digest(version_map(chunks))
+    body = {"chunk_count": chunks.count(), "signature": signature, "dimension": dim, "versions": versions, "versions_digest": digest}
     return body | {"hash": hashlib.sha256(canonical_json(body).encode()).hexdigest()}
 
 
-def manifest_problems(made: dict, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Codes of what a snapshot's manifest and its tables disagree on."""
+def manifest_problems(made: dict, chunks: DataFrame, vectors: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Codes of what a snapshot's manifest and its tables, the version map among them if given, disagree on."""
     spark = chunks.sparkSession
     body = {k: v for k, v in made.items() if k not in ("hash", "created_at")}
     found = [] if hashlib.sha256(canonical_json(body).encode()).hexdigest() == made.get("hash") else [("HASH_MISMATCH", 1)]
     count = chunks.count()
     if count != made.get("chunk_count"):
         found.append(("COUNT_MISMATCH", abs(count - made.get("chunk_count", 0))))
+    if versions is not None and _digest(versions.select("document_id", "version_id")) != (made.get("versions"), made.get("versions_digest")):
+        found.append(("VERSIONS_MISMATCH", 1))
     missing = chunks.join(vectors.select(F.col("id").alias("index_id")), "index_id", "left_anti").count()
     if missing:
         found.append(("VECTOR_MISSING", missing))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftspark import shared
 from siftspark.functions import text as T
 from siftspark.operators import context, evaluation, indexing, intervals, retrieval
 from siftspark.plans import search
@@ -336,12 +337,10 @@ def covering_selection(spark, d):
     return longs(retrieval.select_covering(hits, 5).select("qid", "position", F.col("id").alias("doc_id")))
 
 
-@query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 10)} select qid, id as doc_id, case when qid % 2 = 0 then rank else 11 - rank end as rank, case when qid % 2 = 0 then 'RERANK_UNAVAILABLE' else '' end as reasons from found where qid in (select qid from found group by 1 having count(*) = 10)")
+@query(f"with {POSTINGS}, {ASKED}, {_bm25_sql('found', 10)} select qid, id as doc_id, case when bad then rank else n + 1 - rank end as rank, case when bad then 'RERANK_UNAVAILABLE' else '' end as reasons from (select *, count(*) over (partition by qid) as n, qid % 2 = 0 and max(rank) over (partition by qid) >= 3 as bad from found)")
 def degraded_rerankings(spark, d):
     """A reranker that turns every list round, but fails for one item of every second question."""
     hits = found(spark, d, 10)
-    full = hits.groupBy("qid").agg(F.count("*").alias("n")).filter("n = 10").select("qid")
-    hits = hits.join(full, "qid")
     scored = hits.select("qid", "id", F.when((F.col("qid") % 2 == 0) & (F.col("rank") == 3), F.lit(float("nan"))).otherwise(F.col("rank").cast("double")).alias("score"))
     return longs(retrieval.reranked_or_fused(hits, scored).select("qid", F.col("id").alias("doc_id"), "rank", F.array_join("degraded_reasons", ",").alias("reasons")))
 
@@ -436,15 +435,19 @@ ROUTE_TERMS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+(?:[-/][a-z
 
 def source_search(spark: SparkSession, d: str):
     """A search by shared words in the documents of a scope's sources: its callers get five rows of each query."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), F.lit(0))).alias("terms"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("text").alias("raw_content"))
+    words = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(T.TOKEN), F.lit(0)))
 
     def run(queries: DataFrame, scope: DataFrame | None) -> DataFrame:
-        asked = queries.select("qid", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), F.lit(0))).alias("asked"))
-        pairs = rows.select("id", "source", "text", F.explode("terms").alias("term")).join(F.broadcast(asked.select("qid", F.explode("asked").alias("term"))), "term")
-        hits = pairs.groupBy("qid", "id").agg(F.count("*").cast("double").alias("score"), F.first("source").alias("document_id"), F.first("text").alias("raw_content"))
+        asked = shared.stored(queries.select("qid", F.explode(words(F.col("text"))).alias("term")), "asked")
+        own = rows
         if scope is not None:
-            hits = hits.join(scope, ["qid", "document_id"], "left_semi")
-        best = retrieval.ranked(hits, 5)
+            # a query meets the documents of its scope only, so the scope goes to its terms
+            asked = asked.join(scope.select("qid", "document_id").distinct(), "qid")
+            own = rows.join(shared.few(asked.select("document_id").distinct()), "document_id", "left_semi")
+        terms = own.select("id", "document_id", F.explode(words(F.col("raw_content"))).alias("term"))
+        hits = terms.join(shared.few(asked), ["term"] if scope is None else ["term", "document_id"]).groupBy("qid", "id").agg(F.count("*").cast("double").alias("score"))
+        best = rows.join(shared.few(shared.stored(retrieval.ranked(hits, 5), "best")), "id")
         return best.select("qid", F.lpad(F.col("id").cast("string"), 12, "0").alias("chunk_id"), "rank", "document_id", F.lit(None).cast("string").alias("element_id"), "raw_content", F.array().cast("array<string>").alias("cell_ids"))
 
     return run

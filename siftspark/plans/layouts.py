@@ -231,13 +231,12 @@ def export_boxes(spark, d):
     return rounded(table(spark, d, "events").select("event_id", box.alias("b"), F.get(scaled, 0).alias("scaled")).select("event_id", "b.*", "scaled"))
 
 
-@query("select doc_id, case when doc_id % 5 = 0 then 'figure' else case doc_id % 7 when 0 then 'title' when 1 then 'heading' when 2 then 'heading' when 3 then case when doc_id % 3 = 0 then 'header' else 'paragraph' end when 4 then 'footer' when 5 then case when doc_id % 3 = 0 then 'header' else 'list' end else case when doc_id % 3 = 0 then 'header' else 'paragraph' end end end as kind from documents where not (doc_id % 7 in (0, 1, 2) and doc_id % 3 = 0)")
+@query("select doc_id, case when doc_id % 5 = 0 then 'figure' else case doc_id % 7 when 0 then case when doc_id % 3 = 0 then 'header' else 'title' end when 1 then case when doc_id % 3 = 0 then 'header' else 'heading' end when 2 then case when doc_id % 3 = 0 then 'header' else 'heading' end when 3 then case when doc_id % 3 = 0 then 'header' else 'paragraph' end when 4 then 'footer' when 5 then case when doc_id % 3 = 0 then 'header' else 'list' end else case when doc_id % 3 = 0 then 'header' else 'paragraph' end end end as kind from documents")
 def element_kinds(spark, d):
     """Labels of another parser's export; furniture and pictures have kinds of their own."""
     i = F.col("doc_id")
     labels = F.array(*[F.lit(x) for x in ("title", "section_header", "subtitle", "footnote", "page_footer", "list_item", "handwriting")])
-    rows = table(spark, d, "documents").filter(~((i % 7).isin(0, 1, 2) & (i % 3 == 0)))
-    return rows.select("doc_id", layout.element_kind(F.get(labels, (i % 7).cast("int")), i % 3 == 0, i % 5 == 0).alias("kind"))
+    return table(spark, d, "documents").select("doc_id", layout.element_kind(F.get(labels, (i % 7).cast("int")), i % 3 == 0, i % 5 == 0).alias("kind"))
 
 
 @query(f"with {ITEMS} select k as table_id, case when k % 2 = 0 then '0,1' else '0' end as header_rows from it group by 1")

@@ -17,7 +17,20 @@ from siftspark.sources import artifacts, loaders, pdf
 
 LETTERS = "A-Za-z\\x{00c0}-\\x{024f}\\x{0370}-\\x{03ff}"
 EVIDENCE = f"replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '([{LETTERS}])-\\n([{LETTERS}])', '\\1\\2', 'g'), '[−‐‑‒–—―]', '-', 'g'), '\\s+', ' ', 'g'))), 'ß', 'ss')"
-ALIGNED = f"trim(regexp_replace(regexp_replace(regexp_replace({EVIDENCE}, '[|`]+', ' ', 'g'), '\\s*([,.;:()\\[\\]])\\s*', '\\1', 'g'), '\\s+', ' ', 'g'))"
+#: As EVIDENCE, with numbers that a line end parts.
+SAID = EVIDENCE.replace("regexp_replace(regexp_replace(regexp_replace(text,", "regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '([0-9])-\\n([0-9])', '\\1-\\2', 'g'),", 1)
+#: A character of a word; spaces before, then after hyphens go, each twice, as matches share letters.
+IN_WORD = "([\\p{{L}}\\p{{M}}\\p{{N}}_])"
+
+
+def _hyphens(x: str) -> str:
+    for spaces in ("\\s+-\\s*", "\\s*-\\s+") * 2:
+        x = f"regexp_replace({x}, '{IN_WORD}{spaces}{IN_WORD}', '\\1-\\2', 'g')".replace("{{", "{").replace("}}", "}")
+    return x
+
+
+_TIGHT = f"regexp_replace(regexp_replace({SAID}, '[|`]+', ' ', 'g'), '\\s*([,.;:()\\[\\]])\\s*', '\\1', 'g')"
+ALIGNED = f"trim(regexp_replace({_hyphens(_TIGHT)}, '\\s+', ' ', 'g'))"
 
 
 @query(f"select doc_id, md5({EVIDENCE}) as evidence_md5, sha256({EVIDENCE}) as quote_hash from documents")
@@ -27,12 +40,10 @@ def evidence_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.for_evidence(t)).alias("evidence_md5"), T.quote_hash(t).alias("quote_hash"))
 
 
-@query(f"select conv_id, turn, md5({ALIGNED}) as aligned_md5, len(list_distinct(regexp_extract_all({EVIDENCE}, '[\\p{{L}}\\p{{N}}]+(?:[.-][\\p{{L}}\\p{{N}}]+)*|[%±≤≥=+×÷∥εθΣμ]+'))) as n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_.+-]+'))) as n_terms from conversations where not contains(text, '-') and not contains(text, chr(10))")
+@query(f"select conv_id, turn, md5({ALIGNED}) as aligned_md5, len(list_distinct(regexp_extract_all({SAID}, '[\\p{{L}}\\p{{N}}]+(?:[.-][\\p{{L}}\\p{{N}}]+)*|[%±≤≥=+×÷∥εθΣμ]+'))) as n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_.+-]+'))) as n_terms from conversations")
 def aligned_messages(spark, d):
-    """Messages without hyphens and line breaks, whose SQL form needs look-around."""
-    own = table(spark, d, "conversations").filter(~F.contains("text", F.lit("-")) & ~F.contains("text", F.lit("\n")))
     t = F.col("text")
-    return longs(own.select("conv_id", "turn", F.md5(T.for_alignment(t)).alias("aligned_md5"), F.size(T.evidence_tokens(t)).alias("n_tokens"), F.size(T.table_terms(t)).alias("n_terms")))
+    return longs(table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.for_alignment(t)).alias("aligned_md5"), F.size(T.evidence_tokens(t)).alias("n_tokens"), F.size(T.table_terms(t)).alias("n_terms")))
 
 
 @query("select conv_id, turn, turn % 3 = 0 and turn % 2 = 0 as rejected from conversations")
@@ -401,14 +412,14 @@ def documents_as_markdown(spark, d):
     return artifacts.document_markdown(kinds, headings=True).select("document_id", F.md5("markdown").alias("markdown_md5"))
 
 
-@query("select doc_id, case doc_id % 6 when 0 then 'UNSUPPORTED_MEDIA_TYPE' when 1 then 'EMPTY_FILE' when 2 then 'BAD_MAGIC' when 4 then 'BAD_MAGIC' end as problem, doc_id % 2 = 0 as inside from documents")
+@query("select doc_id, case doc_id % 6 when 0 then 'UNSUPPORTED_MEDIA_TYPE' when 1 then 'EMPTY_FILE' when 3 then null else case when text = '' then 'EMPTY_FILE' when doc_id % 6 in (2, 4) then 'BAD_MAGIC' end end as problem, doc_id % 2 = 0 as inside from documents")
 def upload_problems(spark, d):
     """Files by extension and first bytes; paths that leave their folder."""
     key = F.col("doc_id") % 6
     extension = F.when(key == 0, F.lit(".exe")).when(key < 3, F.lit(".pdf")).when(key == 3, F.lit(".pdf")).when(key == 4, F.lit(".docx")).otherwise(F.lit(".md"))
     content = F.when(key == 1, F.lit("")).when(key == 3, F.lit("%PDF-1.7")).otherwise(F.col("text"))
     path = F.when(F.col("doc_id") % 2 == 0, F.lit("/r/a/b.md")).otherwise(F.lit("/r/../b.md"))
-    return table(spark, d, "documents").filter("text <> ''").select("doc_id", loaders.upload_problem(extension, content.cast("binary")).alias("problem"), loaders.is_inside("/r", path).alias("inside"))
+    return table(spark, d, "documents").select("doc_id", loaders.upload_problem(extension, content.cast("binary")).alias("problem"), loaders.is_inside("/r", path).alias("inside"))
 
 
 @query("select l_orderkey as order_id, md5('| line | part |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) order by l_linenumber, l_partkey)) as table_md5 from lineitem group by 1")

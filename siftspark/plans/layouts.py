@@ -269,6 +269,21 @@ def export_orders(spark, d):
     return rounded(longs(order.join(sure, "document_id")))
 
 
+@query("with recursive e as (select d, r, case when r = 1 then 0 when d = 0 then r - 1 else (r + 1) // 3 end as p from (select doc_id % 4 as d, row_number() over (partition by doc_id % 4 order by doc_id) as r from documents)), walk as (select d, r, [r] as path from e where p = 0 union all select e.d, e.r, list_append(w.path, e.r) from e join walk w on e.d = w.d and e.p = w.r) select d as document_id, 'e' || r as ref, row_number() over (partition by d order by path) - 1 as reading_order, case when d = 1 then 0.94 else 1.0 end::double as confidence from walk")
+def deep_orders(spark, d):
+    """Reference graphs over all documents: one chain as deep as they are many, and trees of three; a cycle over the whole depth and two dangling references in one."""
+    n = F.row_number().over(Window.partitionBy(F.col("doc_id") % 4).orderBy("doc_id"))
+    it = table(spark, d, "documents").select((F.col("doc_id") % 4).alias("document_id"), n.alias("r"))
+    ref = lambda x: F.concat(F.lit("e"), x.cast("string"))
+    r = F.col("r")
+    parent = F.when(r == 1, F.lit("#body")).otherwise(ref(F.when(F.col("document_id") == 0, r - 1).otherwise(F.floor((r + 1) / 3))))
+    refs = it.select("document_id", parent.alias("parent"), ref(r).alias("child"), r.alias("place"))
+    last = it.filter("document_id = 1").groupBy("document_id").agg(F.max("r").alias("r"))
+    bad = last.select("document_id", F.inline(F.array(F.struct(ref(r).alias("parent"), F.lit("e1").alias("child"), r.alias("place")), F.struct(ref(r).alias("parent"), F.lit("gone").alias("child"), r.alias("place")), F.struct(F.lit("#body").alias("parent"), F.lit("lost").alias("child"), r.alias("place")))))
+    order, sure = export_graph.export_order(it.select("document_id", ref(r).alias("ref")), refs.unionByName(bad))
+    return rounded(longs(order.join(sure, "document_id")))
+
+
 @query(f"with {ITEMS}, t as (select k, r, r % 2 = 1 as own from it) select k as document_id, r as page, case when own then 'first' else 'other' end as parser, row_number() over (partition by k order by r) - 1 as reading_order from t")
 def fallback_tables(spark, d):
     """The first parser found tables on odd pages; the other's fill the even ones."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -109,26 +110,42 @@ def first_title(blocks: list[dict]) -> str:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def docx_blocks(raw: bytes) -> list[dict]:
-    """Paragraphs and tables of a DOCX file in the body's order; heading styles give levels, Title and Subtitle level 1."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    out: list[dict] = []
-    for node in body if body is not None else ():
-        if node.tag == f"{_W}p":
-            content = "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
-            if not content:
-                continue
+def _docx_body(raw: bytes | None) -> list:
+    """The children of a DOCX file's body; ValueError if there is none to be read."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+            body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, EOFError, OSError, RuntimeError, NotImplementedError, zlib.error) as e:
+        raise ValueError("DOCX_UNREADABLE") from e
+    return list(body) if body is not None else []
+
+
+def docx_blocks(raw: bytes | None) -> list[dict]:
+    """Paragraphs and tables of a DOCX file in the body's order, lines counted from 1 with a blank one between them.
+
+    Heading styles give levels, Title and Subtitle level 1. A file that can't be read gives its code as the one block.
+    """
+    try:
+        body = _docx_body(raw)
+    except ValueError as e:
+        return [{"type": "error", "content": str(e)}]
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
+    found: list[dict] = []
+    for node in body:
+        if node.tag == f"{_W}tbl":
+            found.append({"type": "table", "content": pipe_rows([[text(cell) for cell in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")])})
+        elif node.tag == f"{_W}p":
             style = node.find(f"{_W}pPr/{_W}pStyle")
             name = (style.get(f"{_W}val") if style is not None else "") or ""
             level = 1 if name.lower() in ("title", "subtitle") else int(m[1]) if (m := re.match(r"(?i)heading\s*(\d+)", name)) else None
-            if "code" in name.lower():
-                out.append({"type": "code", "content": content})
-            else:
-                out.append({"type": "text", "content": content, "heading_level": level, "heading": content if level else None, "style": name})
-        elif node.tag == f"{_W}tbl":
-            rows = [["".join(t.text or "" for t in cell.iter(f"{_W}t")).strip() for cell in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]
-            out.append({"type": "table", "content": pipe_rows(rows)})
+            kind = "code" if "code" in name.lower() else "markdown" if level else "text"
+            found.append({"type": kind, "content": text(node), "heading_level": level, "heading": text(node) if level else None, "style": name})
+    out, line = [], 1
+    for block in found:
+        if block["content"]:
+            n = block["content"].count("\n") + 1
+            out.append(block | {"line_start": line, "line_end": line + n - 1})
+            line += n + 1
     return out
 
 
@@ -163,12 +180,12 @@ def load_markdown(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def load_docx(files: DataFrame, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """Paragraphs of DOCX files' bytes. The title is the Title paragraph, else the first of level 1, else the first line."""
+    """Paragraphs of DOCX files' bytes. The title is the Title paragraph, else the first of level 1, else the first line. A file that can't be read has one of type error with the code."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for doc, raw in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
-                if blocks := docx_blocks(raw):
+                if blocks := docx_blocks(None if raw is None else bytes(raw)):
                     named = [b["content"] for b in blocks if b.get("style", "").lower() == "title"]
                     yield _frame(doc, named[0] if named else first_title(blocks), blocks).astype({c: "Int32" for c in ("pos", "page", "line_start", "line_end", "heading_level")})
 

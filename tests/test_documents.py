@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from siftspark import sql_functions
 from siftspark.config import ChunkConfig
 from siftspark.functions import tables as tab
 from siftspark.operators import chunking, indexing, lifecycle, retrieval, validation
@@ -53,6 +54,34 @@ def test_docx():
     got = loaders.docx_blocks(raw.getvalue())
     assert [b.get("heading_level") for b in got] == [1, 2, None, None]
     assert got[3]["content"] == "| Metric | Value |\n| --- | --- |\n| Accuracy | 0.95 |"
+    assert [(b["type"], b["line_start"], b["line_end"]) for b in got] == [("markdown", 1, 1), ("markdown", 3, 3), ("text", 5, 5), ("table", 7, 9)]
+    whole = raw.getvalue()
+    bad = io.BytesIO()
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("word/document.xml", "<w:document>")
+    assert all(loaders.docx_blocks(x) == [{"type": "error", "content": "DOCX_UNREADABLE"}] for x in (None, b"", b"PK\x03\x04", whole[:-30], whole[:200], bad.getvalue()))
+
+
+def test_table_functions(spark):
+    sql_functions.register(spark)
+    docs = spark.createDataFrame([(1, "One. Two.\r\nThree" + "x" * 40), (2, None), (3, "")], "id long, text string")
+    ask = lambda what: [tuple(r) for r in spark.sql(f"select d.id, f.* from {{docs}} d, lateral {what} f", docs=docs).collect()]
+    assert [(r[0], r[3]) for r in ask("sift_chunks(text, 20, 10)")] == [(1, "One. Two."), (1, "Threexxxxxxxxxxxxxxx"), (1, "x" * 20), (1, "x" * 5)]
+    assert [r[1:3] for r in ask("sift_sentences(text, 10)")][:3] == [(0, "One."), (1, "Two."), (2, "Threexxxxx")]
+    assert ask("sift_markdown('# A\n\nb')")[:2] == [(1, 0, "markdown", "A", 1, 1, 1), (1, 1, "markdown", "b", 3, 3, None)]
+    assert spark.sql("select type, content from sift_docx(X'00')").first() == ("error", "DOCX_UNREADABLE")
+    for wrong in ("sift_chunks(text, 0)", "sift_chunks(id)", "sift_sentences(text, 5, 6)", "sift_chunks(text, id)"):
+        with pytest.raises(Exception, match="limit|first argument"):
+            ask(wrong)
+
+
+def test_version_map(spark):
+    rows = spark.createDataFrame([(k, f"d{k % 5}", f"v{k % 5}") for k in range(20)], "index_id long, document_id string, version_id string")
+    made, versions = indexing.manifest(rows, "s", 4), indexing.version_map(rows)
+    ids = rows.select(F.col("index_id").alias("id"))
+    assert made["versions"] == 5 and made == indexing.manifest(rows.repartition(7), "s", 4)
+    assert indexing.manifest_problems(made, rows, ids, versions.repartition(3)).count() == 0
+    assert [r.code for r in indexing.manifest_problems(made, rows, ids, versions.filter("version_id <> 'v1'")).collect()] == ["VERSIONS_MISMATCH"]
 
 
 def test_pdf(spark):

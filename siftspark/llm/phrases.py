@@ -9,9 +9,11 @@ are counted exactly, words compared byte by byte. Only those bits (two a cell) a
 Then each candidate is scored by its weakest cut and dropped if a longer one holds all its
 occurrences.
 
-``cells`` follows the bytes of text, so that some 25 counts at the threshold of 100 fall into
-a cell; MOST_CELLS bounds the memory of a task (two bytes a cell and row). Beyond that more runs
-survive the first pass, which costs a larger exact aggregation and no result.
+A sketch has so many cells that a task's counts leave most of them empty and its compressed
+size follows what the task reads, not their number; above a gigabyte of text they follow the
+bytes, so that 50 counts at most fall into a cell at the threshold of 100. MOST_CELLS bounds the
+memory of a task (two bytes a cell and row). Beyond that more runs survive the first pass,
+which costs a larger exact aggregation and no result.
 
 Defined results: null and empty texts have no words; a null language is ``und``, one with a
 text that says so; rows that repeat count each; a language without candidates gives no rows, an
@@ -35,7 +37,7 @@ from siftspark.llm import storage, textscan
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Rows of a sketch, and the bounds of its cells a row.
-ROWS, LEAST_CELLS, MOST_CELLS = 2, 1 << 16, 1 << 26
+ROWS, LEAST_CELLS, MOST_CELLS = 2, 1 << 24, 1 << 26
 #: Cells that are merged together.
 BLOCK = 1 << 18
 UNKNOWN = "und"
@@ -182,9 +184,9 @@ def frequent_cells(rows: DataFrame, cells: int, longest: int = LONGEST, least: i
 
 
 def cells_for(rows: DataFrame, longest: int = LONGEST, least: int = LEAST) -> int:
-    """A power of two: a run of words takes some 1.6 bytes of text for five lengths, and four times as many cells as runs at the threshold are wanted."""
+    """A power of two: a run of words takes some 1.6 bytes of text for five lengths, and twice as many cells as runs at the threshold are wanted."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = 4 * size * longest // (8 * least)
+    wanted = 2 * size * longest // (8 * least)
     return min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, int(wanted)).bit_length()))
 
 

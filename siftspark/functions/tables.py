@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from siftspark.functions import text as T
+from siftspark.operators import intervals
 
 
 def escaped(text: Column) -> Column:
@@ -66,11 +67,13 @@ def fingerprint(caption: pd.Series, header_rows: pd.Series, row_count: pd.Series
 def header_paths(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """(table_id, col, path): the header texts over a column from the top, neighbours that repeat once; else column_<c>."""
     columns = tables.select("table_id", F.explode(F.sequence(F.lit(0), F.col("column_count") - 1)).alias("c"), F.explode_outer("header_rows").alias("h"))
-    head = cells.filter("is_column_header and trim(text) <> ''")
-    over = (head.table_id == columns.table_id) & (F.col("h") >= F.col("row")) & (F.col("h") < F.col("row") + F.col("row_span")) & (F.col("c") >= F.col("col")) & (F.col("c") < F.col("col") + F.col("col_span"))
-    found = columns.join(head, over, "left").select(columns.table_id, "c", F.when(F.col("text").isNotNull(), F.struct("h", "row", "col", F.trim("text").alias("text"))).alias("x"))
-    listed = found.groupBy("table_id", "c").agg(F.array_sort(F.collect_list("x")).alias("xs")).withColumn("path", without_neighbours(F.transform("xs", lambda x: x["text"])))
-    return listed.select("table_id", F.col("c").alias("col"), F.when(F.size("path") > 0, F.col("path")).otherwise(F.array(F.concat(F.lit("column_"), F.col("c").cast("string")))).alias("path"))
+    head = cells.filter("is_column_header and trim(text) <> '' and col_span > 0").withColumn("last", F.col("col") + F.col("col_span") - 1)
+    # a column and the header cells over it meet by bins of the cells' widths
+    over = intervals.overlapping(columns.filter("h is not null").withColumn("c_end", F.col("c")), head, ["table_id"], ("c", "c_end"), ("col", "last")).filter((F.col("h") >= F.col("row")) & (F.col("h") < F.col("row") + F.col("row_span")))
+    listed = over.groupBy("table_id", "c").agg(F.array_sort(F.collect_list(F.struct("h", "row", "col", F.trim("text").alias("text")))).alias("xs"))
+    named = listed.select("table_id", "c", without_neighbours(F.transform("xs", lambda x: x["text"])).alias("path"))
+    every = columns.select("table_id", "c").distinct().join(named, ["table_id", "c"], "left")
+    return every.select("table_id", F.col("c").alias("col"), F.when(F.size("path") > 0, F.col("path")).otherwise(F.array(F.concat(F.lit("column_"), F.col("c").cast("string")))).alias("path"))
 
 
 def without_neighbours(items: Column) -> Column:

@@ -37,8 +37,8 @@ BUCKETS = 32
 SHARD_DOCS, SHARD_TOKENS = 1 << 14, 1 << 20
 #: Queries that one pass may broadcast.
 QUERY_BLOCK = 4096
-#: Postings of a query's rarest terms that the first pass reads in each shard, in numbers of results.
-LEAD = 4
+#: Postings of a query's rarest terms that the first pass reads, in numbers of results.
+LEAD = 16
 #: Sums of floats in another order differ by less.
 SLACK = 1e-6
 
@@ -302,7 +302,10 @@ class Index:
             counted = counted.join(dead.withColumnRenamed("docs", "gone"), "shard", "left").withColumn("n", F.col("n") - F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.array_intersect("docs", "gone"))))
         df = {r.term: r.df for r in counted.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0").toLocalIterator()}  # a row per asked term
         idf = {t: float(np.log((n_docs - n + 0.5) / (n + 0.5) + 1)) for t, n in df.items()}
-        plan = [(r.qid, [(t, idf[t]) for t in sorted(r.terms, key=lambda t: (-idf.get(t, 0), t)) if t in idf], min(minimum, len(r.terms))) for r in block]
+        plan = []
+        for r in block:
+            own = [(t, idf[t]) for t in sorted(r.terms, key=lambda t: (-idf.get(t, 0), t)) if t in idf]
+            plan.append((r.qid, own, min(minimum, len(r.terms)), _leading([df[t] for t, _ in own], k or 0)))
         column = lambda c: F.lit(None).cast(c)
         rows = self.shards().select("shard", F.lit(_DOCUMENTS).alias("kind"), column("string").alias("term"), "ids", F.col("dls").alias("docs"), column("array<int>").alias("tfs"))
         for kind, marks in ((_DEAD, dead), (_ALLOWED, allowed)):
@@ -312,13 +315,13 @@ class Index:
         least: dict[int, float] = {}
         if k is None:
             return self._pass(rows, posted, plan, {}, avgdl, k, k1, b, allowed is not None)
-        first = shared.stored(self._pass(rows, posted, plan, {}, avgdl, k, k1, b, allowed is not None, LEAD * k), "first")
+        first = shared.stored(self._pass(rows, posted, plan, {}, avgdl, k, k1, b, allowed is not None, True), "first")
         top = retrieval.ranked(first.filter("id is not null").select("qid", "id", "score"), k).filter(F.col("rank") == k)
         least = {r.qid: r.score - SLACK for r in top.select("qid", "score").toLocalIterator()}  # a row per query of the block
         found = self._pass(rows, posted, plan, least, avgdl, k, k1, b, allowed is not None)
         return found.unionByName(first.filter("id is null").withColumn("postings", F.lit(0).cast("long")))
 
-    def _pass(self, rows: DataFrame, posted: DataFrame, plan: list, least: dict[int, float], avgdl: float, k: int | None, k1: float, b: float, limited: bool, lead: int | None = None) -> DataFrame:
+    def _pass(self, rows: DataFrame, posted: DataFrame, plan: list, least: dict[int, float], avgdl: float, k: int | None, k1: float, b: float, limited: bool, lead: bool = False) -> DataFrame:
         """Each task's best of some shards; with ``lead`` only of the documents that the rarest terms name first. A task gets whole shards, one after the other."""
         held = self.spark.sparkContext.broadcast((plan, least))
 
@@ -326,11 +329,11 @@ class Index:
             own, floor = held.value
             found = _Found([q for q, *_ in own], k, floor)
             for shard in _shards(batches, k1, b, avgdl, limited):
-                for place, (_, lists, need) in enumerate(own):
-                    if lead is None:
-                        shard.search(place, lists, need, found)
+                for place, (_, lists, need, leading) in enumerate(own):
+                    if lead:
+                        shard.lead(place, lists, need, found, leading)
                     else:
-                        shard.lead(place, lists, need, found, lead)
+                        shard.search(place, lists, need, found)
                 if k is None:
                     yield from found.taken()
             yield from found.taken()
@@ -349,6 +352,16 @@ def _query_blocks(asked: DataFrame) -> Iterator[list]:
         yield held
 
 
+def _leading(counts: list[int], k: int) -> int:
+    """How many of a query's terms, rarest first, the first pass reads: those with LEAD postings a result together, and so many that there are k."""
+    seen = 0
+    for n, count in enumerate(counts):
+        if seen >= k and seen + count > LEAD * k:
+            return n
+        seen += count
+    return len(counts)
+
+
 class _Found:
     """The best so far of each query in a task (all, without k), and what was read for it."""
 
@@ -402,19 +415,20 @@ class _Shard:
             part = tfs * (self.k1 + 1) / (tfs + self.norm[docs])
             self.lists[term] = docs, part, float(part.max())
 
-    def lead(self, place: int, lists: list[tuple[str, float]], need: int, found: _Found, enough: int) -> None:
-        """Whole scores of the best documents that a query's rarest lists name; lists: rarest first."""
-        own = [(w, *self.lists[t][:2]) for t, w in lists if t in self.lists]
-        score, hits, at, seen = self.score, self.hits, 0, 0
-        while at < len(own) and seen < enough:
-            w, docs, part = own[at]
+    def lead(self, place: int, lists: list[tuple[str, float]], need: int, found: _Found, leading: int) -> None:
+        """Whole scores of the best documents that a query's ``leading`` rarest lists name; lists: rarest first."""
+        own = [(w, *self.lists[t][:2]) for t, w in lists[:leading] if t in self.lists]
+        if not own:
+            return
+        score, hits = self.score, self.hits
+        for w, docs, part in own:
             score[docs] += w * part
             hits[docs] += 1
-            seen, at = seen + len(docs), at + 1
+            found.read[place] += len(docs)
         touched = np.flatnonzero(hits)
         kept = touched[np.argsort(-score[touched], kind="stable")[: 2 * found.k]]
         kept.sort()
-        found.read[place] += seen + sum(self._look_up(kept, *x) for x in own[at:])
+        found.read[place] += sum(self._look_up(kept, w, *self.lists[t][:2]) for t, w in lists[leading:] if t in self.lists)
         self._take(place, kept[hits[kept] >= need], found)
         score[touched] = 0
         hits[touched] = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from siftspark.functions import text as T
 from siftspark.operators import chunking, indexing, lifecycle, retrieval
 from siftspark.plans.queries import MEMBERS, POSTINGS, SQL, STORE, docs, members, query, store, table
 from siftspark.plans.structure import longs
-from siftspark.sources import artifacts, loaders, pdf
+from siftspark.sources import artifacts, datasource, loaders, pdf
 
 # texts
 
@@ -450,6 +451,25 @@ def plain_paragraphs(spark, d):
 SHOWN = "list_filter(string_split(regexp_replace(text, '[^\\x20-\\x7e\\n\\x{a1}-\\x{ac}\\x{ae}-\\x{ff}]', '?', 'g'), chr(10)), lambda x: trim(x) <> '')"
 
 
+@query("select doc_id, md5(text) as body_md5, sha256(text) as sha256, doc_id % 2 = 0 as first from documents")
+def stored_documents(spark, d):
+    """Documents written in two batches through the data source, after one that failed, and read back."""
+    datasource.register(spark)
+    root = f"{shared.shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("body"), (F.col("doc_id") % 2).alias("half"))
+    put = lambda df: df.select("document_id", "body").write.format("siftspark").mode("append").save(root)
+    put(rows.filter("half = 0"))
+    try:
+        put(rows.withColumn("body", F.when(F.col("half") == 1, F.raise_error(F.lit("half-way"))).otherwise(F.col("body"))))
+    except Exception as e:
+        if "half-way" not in str(e):
+            raise
+    put(rows.filter("half = 1"))
+    back = spark.read.format("siftspark").option("kind", "artefacts").load(root)
+    i = F.col("document_id").cast("long")
+    return back.select(i.alias("doc_id"), F.md5("body").alias("body_md5"), "sha256", (i % 2 == 0).alias("first"))
+
+
 @query(f"with s as (select doc_id, {SHOWN} as xs from documents) select doc_id, i - 1 as pos, case when i % 3 = 1 then 'markdown' else 'text' end as type, 2 * i - 1 as line_start, md5(trim(xs[i])) as content_md5 from (select *, unnest(range(1, len(xs) + 1)) as i from s where doc_id % 7 not in (3, 5)) union all select doc_id, 0, 'error', null, md5('DOCX_UNREADABLE') from documents where doc_id % 7 in (3, 5)")
 def docx_paragraphs(spark, d):
     """Documents written as DOCX files and loaded again; of some the end is missing, some are null."""

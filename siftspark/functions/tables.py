@@ -14,27 +14,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from siftspark.functions import text as T
-from siftspark.operators import intervals
 
 
 def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.trim(text), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
-def covered(cells: DataFrame) -> DataFrame:
-    """A row for each place that a cell covers: adds r and c; of several cells the first by (row, col) owns a place."""
-    spread = cells.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)))
-    own = Window.partitionBy("table_id", "r", "c").orderBy("row", "col", "cell_id")
-    return spread.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+def upto(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def grid(cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """(table_id, r, c, text): the dense grid. Headers repeat over their span, empty ones are column_<c>; data stands at its origin only."""
-    places = tables.select("table_id", F.explode(F.sequence(F.lit(0), F.col("row_count") - 1)).alias("r"), "column_count").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("column_count") - 1)))
+def grid_rows(cells: DataFrame, tables: DataFrame, rows: Column | None = None) -> DataFrame:
+    """(table_id, r, texts): the rows of the dense grid, all or those named by an array of the tables.
+
+    Of several cells on a place the first by (row, col) owns it. Cells meet as rows, and a table's cells
+    that are in one partition already stay there up to the join.
+    """
+    own = cells
+    if rows is not None:
+        own = cells.join(tables.select("table_id", rows.alias("_rows")), "table_id").filter(F.exists("_rows", lambda h: (h >= F.col("row")) & (h < F.col("row") + F.col("row_span"))))
+    spread = own.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)))
     header = F.when(F.trim("text") == "", F.concat(F.lit("column_"), F.col("c").cast("string"))).otherwise(escaped(F.col("text")))
     data = F.when((F.col("r") == F.col("row")) & (F.col("c") == F.col("col")), escaped(F.col("text")))
-    shown = covered(cells).select("table_id", "r", "c", F.when(F.col("is_header"), header).otherwise(data).alias("text"))
-    return places.join(shown, ["table_id", "r", "c"], "left").select("table_id", "r", "c", F.coalesce("text", F.lit("")).alias("text"))
+    place = F.struct("c", "row", "col", "cell_id", F.when(F.col("is_header"), header).otherwise(data).alias("text"))
+    held = spread.groupBy("table_id", "r").agg(F.array_sort(F.collect_list(place)).alias("xs"))
+    first = F.filter("xs", lambda x, k: (k == 0) | (x["c"] != F.get("xs", k - 1)["c"]))
+    shown = held.select("table_id", "r", F.map_from_entries(F.transform(first, lambda x: F.struct(x["c"], x["text"]))).alias("by_col"))
+    every = upto(F.col("row_count")) if rows is None else F.array_distinct(F.filter(rows, lambda h: (h >= 0) & (h < F.col("row_count"))))
+    places = tables.select("table_id", F.explode(every).alias("r"), "column_count")
+    text = F.transform(upto(F.col("column_count")), lambda c: F.coalesce(F.element_at("by_col", c), F.lit("")))
+    return places.join(shown, ["table_id", "r"], "left").select("table_id", "r", text.alias("texts"))
+
+
+def grid(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """(table_id, r, c, text): the dense grid. Headers repeat over their span, empty ones are column_<c>; data stands at its origin only."""
+    return grid_rows(cells, tables).select("table_id", "r", F.posexplode("texts").alias("c", "text"))
 
 
 def empty_headers(cells: DataFrame) -> DataFrame:
@@ -43,9 +58,8 @@ def empty_headers(cells: DataFrame) -> DataFrame:
 
 def markdown(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """(table_id, markdown): pipe rows with a rule after the last header row, or after row 0."""
-    ordered = lambda value, key: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x["text"])
-    rows = grid(cells, tables).groupBy("table_id", "r").agg(F.array_join(ordered("text", "c"), " | ").alias("text")).withColumn("text", F.concat(F.lit("| "), "text", F.lit(" |")))
-    lines = rows.groupBy("table_id").agg(ordered("text", "r").alias("lines")).join(tables, "table_id")
+    rows = grid_rows(cells, tables).select("table_id", "r", F.concat(F.lit("| "), F.array_join("texts", " | "), F.lit(" |")).alias("text"))
+    lines = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("lines")).join(tables, "table_id")
     after = F.coalesce(F.array_max("header_rows"), F.lit(0)) + 1
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("column_count")), " | "), F.lit(" |"))
     return lines.select("table_id", F.array_join(F.concat(F.slice("lines", F.lit(1), after), F.array(rule), F.slice("lines", after + 1, F.greatest(F.size("lines") - after, F.lit(0)))), "\n").alias("markdown"))
@@ -66,14 +80,21 @@ def fingerprint(caption: pd.Series, header_rows: pd.Series, row_count: pd.Series
 
 def header_paths(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """(table_id, col, path): the header texts over a column from the top, neighbours that repeat once; else column_<c>."""
-    columns = tables.select("table_id", F.explode(F.sequence(F.lit(0), F.col("column_count") - 1)).alias("c"), F.explode_outer("header_rows").alias("h"))
-    head = cells.filter("is_column_header and trim(text) <> '' and col_span > 0").withColumn("last", F.col("col") + F.col("col_span") - 1)
-    # a column and the header cells over it meet by bins of the cells' widths
-    over = intervals.overlapping(columns.filter("h is not null").withColumn("c_end", F.col("c")), head, ["table_id"], ("c", "c_end"), ("col", "last")).filter((F.col("h") >= F.col("row")) & (F.col("h") < F.col("row") + F.col("row_span")))
-    listed = over.groupBy("table_id", "c").agg(F.array_sort(F.collect_list(F.struct("h", "row", "col", F.trim("text").alias("text")))).alias("xs"))
-    named = listed.select("table_id", "c", without_neighbours(F.transform("xs", lambda x: x["text"])).alias("path"))
-    every = columns.select("table_id", "c").distinct().join(named, ["table_id", "c"], "left")
-    return every.select("table_id", F.col("c").alias("col"), F.when(F.size("path") > 0, F.col("path")).otherwise(F.array(F.concat(F.lit("column_"), F.col("c").cast("string")))).alias("path"))
+    return table_paths(cells, tables).select("table_id", F.posexplode("paths").alias("col", "path"))
+
+
+def table_paths(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """(table_id, paths): the header paths of a table's columns, of which there are as many as a row has places."""
+    head = cells.filter("is_column_header and trim(text) <> '' and col_span > 0").select("table_id", "row", "col", "row_span", "col_span", F.trim("text").alias("text"))
+    over = head.join(tables.select("table_id", "column_count", "header_rows"), "table_id")
+    over = over.withColumn("h", F.explode(F.filter("header_rows", lambda h: (h >= F.col("row")) & (h < F.col("row") + F.col("row_span")))))
+    low, high = F.greatest("col", F.lit(0)), F.least(F.col("col") + F.col("col_span"), F.col("column_count")) - 1
+    over = over.filter(low <= high).withColumn("c", F.explode(F.sequence(low, high)))
+    listed = over.groupBy("table_id", "c").agg(F.array_sort(F.collect_list(F.struct("h", "row", "col", "text"))).alias("xs"))
+    named = listed.select("table_id", F.struct("c", without_neighbours(F.transform("xs", lambda x: x["text"])).alias("path")).alias("p"))
+    by_col = named.groupBy("table_id").agg(F.map_from_entries(F.collect_list("p")).alias("by_col"))
+    path = lambda c: F.coalesce(F.element_at("by_col", c), F.array(F.concat(F.lit("column_"), c.cast("string"))))
+    return tables.select("table_id", "column_count").join(by_col, "table_id", "left").select("table_id", F.transform(upto(F.col("column_count")), path).alias("paths"))
 
 
 def without_neighbours(items: Column) -> Column:
@@ -94,36 +115,40 @@ def row_chunks(cells: DataFrame, tables: DataFrame, max_chunk_chars: int = 800)
     values gives a row chunk; also one chunk per top header if the table has several header
     rows, the text is too long, a group repeats, or several cells head the row.
     """
-    data = cells.join(tables.select("table_id", "header_rows"), "table_id").filter(~F.array_contains("header_rows", F.col("row"))).drop("header_rows")
-    heads = row_headers(data)
-    label = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("col", "text", "cell_id"))), lambda x: F.trim(x["text"])), lambda x: x != ""), " > ")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("col", "cell_id"))), lambda x: x["cell_id"])
-    labels = heads.groupBy("table_id", "row").agg(label.alias("row_label"), ids.alias("head_ids"), F.count("*").alias("n_heads"))
-    values = data.join(heads.select("table_id", "cell_id"), ["table_id", "cell_id"], "left_anti").filter("trim(text) <> ''").join(header_paths(cells, tables), ["table_id", "col"])
-    info = tables.select("table_id", "document_title", "section", "label", F.size("header_rows").alias("n_header_rows"))
-    value = F.struct("col", F.array_join("path", " > ").alias("head"), F.trim("text").alias("text"), "cell_id")
-    rows = _row_texts(values.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(value)).alias("values"), F.count_distinct(F.get("path", 0)).alias("n_groups")), labels, info)
-    rows = rows.withColumn("needs_groups", (F.col("n_header_rows") > 1) | (F.length("retrieval_content") > max_chunk_chars) | (F.col("n_groups") < F.size("values")) | (F.col("n_heads") > 1))
-    groups = _row_texts(values.withColumn("header_group", F.get("path", 0)).groupBy("table_id", "row", "header_group").agg(F.array_sort(F.collect_list(value)).alias("values")), labels, info)
-    groups = groups.join(rows.filter("needs_groups").select("table_id", "row"), ["table_id", "row"], "left_semi")
-    names = ["table_id", "row", "subtype", "header_group", "raw_content", "retrieval_content", "cell_ids"]
-    return rows.withColumn("subtype", F.lit("table_row")).withColumn("header_group", F.lit(None).cast("string")).select(names).unionByName(groups.withColumn("subtype", F.lit("table_group")).select(names))
-
-
-def _row_texts(grouped: DataFrame, labels: DataFrame, info: DataFrame) -> DataFrame:
-    own = grouped.join(labels, ["table_id", "row"]).join(info, "table_id")
-    name = F.when(F.col("row_label") != "", F.col("row_label")).otherwise(F.concat(F.lit("row_"), F.col("row").cast("string")))
+    # a row's cells are one row from here; what is the table's own joins them by table_id alone
+    cell = F.struct("col", "text", "cell_id", "is_row_header")
+    held = cells.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.coalesce(F.bool_or("is_row_header"), F.lit(False)).alias("declared"))
+    names = F.transform("paths", lambda p: F.struct(F.array_join(p, " > ").alias("head"), F.get(p, 0).alias("top")))
+    info = tables.select("table_id", "document_title", "section", "label", "header_rows", "column_count").join(table_paths(cells, tables).select("table_id", names.alias("names")), "table_id")
+    rows = held.join(info, "table_id").filter(~F.array_contains("header_rows", F.col("row")))
+    heads = lambda x, k: F.when(F.col("declared"), F.coalesce(x["is_row_header"], F.lit(False))).otherwise(k == 0)
+    valued = F.filter("cells", lambda x, k: ~heads(x, k) & (F.trim(x["text"]) != "") & (x["col"] >= 0) & (x["col"] < F.col("column_count")))
+    value = lambda x: F.struct(x["col"].alias("col"), F.get("names", x["col"])["head"].alias("head"), F.trim(x["text"]).alias("text"), x["cell_id"].alias("cell_id"), F.get("names", x["col"])["top"].alias("top"))
+    rows = rows.select("table_id", "row", "document_title", "section", "label", F.size("header_rows").alias("n_header_rows"), F.filter("cells", heads).alias("heads"), F.array_sort(F.transform(valued, value)).alias("values"))
+    tops = F.array_distinct(F.transform("values", lambda v: v["top"]))
+    head_ids = F.transform(F.array_sort(F.transform("heads", lambda x: F.struct(x["col"], x["cell_id"]))), lambda x: x["cell_id"])
+    label = F.array_join(F.filter(F.transform("heads", lambda x: F.trim(x["text"])), lambda x: x != ""), " > ")
+    name = F.when(label != "", label).otherwise(F.concat(F.lit("row_"), F.col("row").cast("string")))
+    rows = rows.select("table_id", "row", "document_title", "section", "label", "n_header_rows", "values", tops.alias("tops"), head_ids.alias("head_ids"), name.alias("name"))
+    needs_groups = (F.col("n_header_rows") > 1) | (F.size("tops") < F.size("values")) | (F.size("head_ids") > 1) | (F.length(_said()) > max_chunk_chars)
+    whole = F.array(F.struct(F.lit("table_row").alias("subtype"), F.lit(None).cast("string").alias("header_group"), F.col("values").alias("values")))
+    parts = F.transform("tops", lambda t: F.struct(F.lit("table_group").alias("subtype"), t.alias("header_group"), F.filter("values", lambda v: v["top"] == t).alias("values")))
+    chunks = F.when(F.size("values") > 0, F.when(needs_groups, F.concat(whole, parts)).otherwise(whole))
+    listed = rows.select("table_id", "row", "document_title", "section", "label", "head_ids", "name", F.inline(chunks))
     line = lambda first, name_of: F.concat(F.lit("| "), F.array_join(F.concat(F.array(first), F.transform("values", name_of)), " | "), F.lit(" |"))
-    raw = F.concat_ws("\n", line(F.lit("Row"), lambda v: v["head"]), line(F.lit("---"), lambda _: F.lit("---")), line(name, lambda v: v["text"]))
-    said = [F.concat(F.lit(f"{k}: "), F.coalesce(c, F.lit(""))) for k, c in (("Document", F.col("document_title")), ("Section", F.col("section")), ("Table", F.col("label")), ("Row", name))]
-    text = F.array_join(F.concat(F.array(*said), F.transform("values", lambda v: F.concat(v["head"], F.lit(": "), v["text"]))), "\n")
-    return own.withColumn("raw_content", raw).withColumn("retrieval_content", text).withColumn("cell_ids", F.concat("head_ids", F.transform("values", lambda v: v["cell_id"])))
+    raw = F.concat_ws("\n", line(F.lit("Row"), lambda v: v["head"]), line(F.lit("---"), lambda _: F.lit("---")), line(F.col("name"), lambda v: v["text"]))
+    return listed.select("table_id", "row", "subtype", "header_group", raw.alias("raw_content"), _said().alias("retrieval_content"), F.concat("head_ids", F.transform("values", lambda v: v["cell_id"])).alias("cell_ids"))
+
+
+def _said() -> Column:
+    """What is indexed of a chunk of values: the table's labels, the row's name and each value under its header."""
+    said = [F.concat(F.lit(f"{k}: "), F.coalesce(F.col(c), F.lit(""))) for k, c in (("Document", "document_title"), ("Section", "section"), ("Table", "label"), ("Row", "name"))]
+    return F.array_join(F.concat(F.array(*said), F.transform("values", lambda v: F.concat(v["head"], F.lit(": "), v["text"]))), "\n")
 
 
 def parent_chunks(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """The chunk of each table that isn't indexed: its labels and header lines."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"])
-    lines = grid(cells, tables).join(tables.select("table_id", F.explode("header_rows").alias("r")), ["table_id", "r"]).groupBy("table_id", "r").agg(F.array_join(ordered, " | ").alias("line"))
+    lines = grid_rows(cells, tables, F.col("header_rows")).select("table_id", "r", F.array_join("texts", " | ").alias("line"))
     heads = lines.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]).alias("lines"))
     said = [F.concat(F.lit(f"{k}: "), F.coalesce(F.col(c), F.lit(""))) for k, c in (("Document", "document_title"), ("Section", "section"), ("Table", "label"))]
     raw = F.array_join(F.concat(F.array(*said, F.lit("Headers:")), F.coalesce("lines", F.array().cast("array<string>"))), "\n")

@@ -159,6 +159,10 @@ def term_overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(T.table_terms(query), T.table_terms(text)))
 
 
+#: Chunks of a parent that meet a hit as one row.
+SIBLINGS = 64
+
+
 def expand_context(hits: DataFrame, chunks: DataFrame, max_adjacent_rows: int = 2) -> DataFrame:
     """Parent, hit and at most two related rows of each row or group hit: (qid, hit_id, content, chunk_ids).
 
@@ -167,18 +171,29 @@ def expand_context(hits: DataFrame, chunks: DataFrame, max_adjacent_rows: int =
     more of them, then nearer ones, come first. Repeated chunks and repeated contents appear once.
     Other hits give their own text.
     """
-    own = chunks.select(*[F.col(c).alias(f"h_{c}") for c in ("chunk_id", "chunk_index", "parent_chunk_id", "subtype", "raw_content", "content_hash")])
-    base = hits.join(own, F.col("hit_id") == F.col("h_chunk_id"))
-    expands = F.col("h_subtype").isin("table_row", "table_group") & F.col("h_parent_chunk_id").isNotNull()
-    near = base.filter(expands).join(chunks, F.col("h_parent_chunk_id") == F.col("parent_chunk_id")).filter((F.col("chunk_id") != F.col("hit_id")) & F.col("subtype").isin("table_row", "table_group"))
-    near = near.withColumn("overlap", term_overlap(F.col("query"), F.concat_ws(" ", "headers", "retrieval_content"))).filter("overlap > 0")
-    w = Window.partitionBy("qid", "hit_id").orderBy(F.col("overlap").desc(), F.abs(F.col("chunk_index") - F.col("h_chunk_index")), "chunk_index")
-    near = near.withColumn("place", F.row_number().over(w) + 2).filter(F.col("place") <= 2 + min(max_adjacent_rows, 2))
-    parts = ["qid", "hit_id", "place", "chunk_id", "raw_content", "content_hash"]
-    parent = base.filter(expands).join(chunks, F.col("h_parent_chunk_id") == F.col("chunk_id")).withColumn("place", F.lit(1)).select(parts)
-    hit = base.select("qid", "hit_id", F.lit(2).alias("place"), F.col("h_chunk_id").alias("chunk_id"), F.col("h_raw_content").alias("raw_content"), F.col("h_content_hash").alias("content_hash"))
-    every = parent.unionByName(hit).unionByName(near.select(parts))
+    # terms are taken once from each text; siblings meet a hit in blocks, of which each leaves its best
+    most = min(max_adjacent_rows, 2)
+    part = ("chunk_id", "raw_content", "content_hash")
+    own = chunks.select("chunk_id", F.struct(*part).alias("own"), "chunk_index", "subtype", "parent_chunk_id")
+    asked = hits.select("qid", "hit_id", T.table_terms(F.col("query")).alias("asked"))
+    rows = F.col("subtype").isin("table_row", "table_group")
+    base = asked.join(own.withColumnRenamed("chunk_id", "hit_id"), "hit_id").withColumn("parent_id", F.when(rows, F.col("parent_chunk_id"))).drop("parent_chunk_id", "subtype")
+    terms = T.table_terms(F.concat_ws(" ", "headers", "retrieval_content")).alias("terms")
+    held = chunks.filter(rows & F.col("parent_chunk_id").isNotNull()).select(F.col("parent_chunk_id").alias("parent_id"), "chunk_index", F.struct(*part).alias("own"), terms)
+    block = F.floor(F.col("chunk_index") / SIBLINGS)
+    blocks = held.repartition("parent_id").groupBy("parent_id", block.alias("block")).agg(F.collect_list(F.struct("chunk_index", "own", "terms")).alias("siblings"))
+    overlap = lambda x: F.size(F.array_intersect("asked", x["terms"]))
+    ranked = F.transform(F.filter("siblings", lambda x: x["own"]["chunk_id"] != F.col("hit_id")), lambda x: F.struct((-overlap(x)).alias("less"), F.abs(x["chunk_index"] - F.col("chunk_index")).alias("away"), x["chunk_index"].alias("at"), x["own"].alias("own")))
+    best = F.slice(F.array_sort(F.filter(ranked, lambda x: x["less"] < 0)), 1, most)
+    family = chunks.select(F.col("chunk_id").alias("parent_id"), F.struct(*part).alias("parent"))
+    met = base.join(family, "parent_id", "left").join(blocks, "parent_id", "left").select("parent_id", "qid", "hit_id", "own", "parent", F.coalesce(best, F.array().cast("array<struct<less:int,away:int,at:int,own:struct<chunk_id:string,raw_content:string,content_hash:string>>>")).alias("best"))
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, most)
+    every = met.groupBy("parent_id", "qid", "hit_id").agg(F.first("own").alias("own"), F.first("parent").alias("parent"), near.alias("near"))
+    parts = every.select("qid", "hit_id", F.array_compact(F.concat(F.array("parent", "own"), F.transform("near", lambda x: x["own"]))).alias("xs"))
     for key in ("chunk_id", "content_hash"):
-        every = every.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "hit_id", key).orderBy("place"))).filter("_n = 1").drop("_n")
-    listed = every.groupBy("qid", "hit_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "raw_content"))).alias("xs"))
-    return listed.select("qid", "hit_id", F.array_join(F.transform("xs", lambda x: x["raw_content"]), "\n\n").alias("content"), F.transform("xs", lambda x: x["chunk_id"]).alias("chunk_ids"))
+        parts = parts.withColumn("xs", F.filter("xs", _first_of(key)))
+    return parts.select("qid", "hit_id", F.array_join(F.transform("xs", lambda x: x["raw_content"]), "\n\n").alias("content"), F.transform("xs", lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
+def _first_of(key: str):
+    return lambda x, k: ~F.exists(F.slice("xs", F.lit(1), k), lambda y: y[key].eqNullSafe(x[key]))

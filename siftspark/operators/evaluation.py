@@ -249,7 +249,8 @@ def order_confidence(paragraphs_per_page: DataFrame) -> DataFrame:
 
 def anchor_check(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """(case_id, found, wanted): how many expected anchors a case's text holds, in any case of letters."""
-    held = F.contains(F.lower("text"), F.lower(F.col("anchor")))
+    # some letters agree in one case only: ß has no capital of its own, and its pair SS is no ß when lowered
+    held = F.contains(F.lower("text"), F.lower(F.col("anchor"))) | F.contains(F.upper("text"), F.upper(F.col("anchor")))
     return anchors.join(texts, "case_id", "left").groupBy("case_id").agg(F.count_if(held).alias("found"), F.count("*").alias("wanted"))
 
 

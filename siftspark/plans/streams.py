@@ -43,11 +43,12 @@ def in_files(rows: DataFrame, place: Column, n: int) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
-@query("select start, event_type, n, total from (select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2), (select max(ts) - interval 10 minute as seen from events) where start + interval 1 hour <= seen")
+@query("select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def streamed_event_counts(spark, d):
-    """Counts per hour and type. A window is given out once, when the watermark has passed it, and its state goes."""
-    rows = written(ingest.event_counts(stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "append")
-    return rounded(rows.drop("batch")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Counts per hour and type, every window as it stands after the last batch, those that are still open too."""
+    rows = written(ingest.event_counts(stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
+    last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("s")).select("start", "event_type", "s.*")
+    return rounded(last).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("select user_id || '-' || event_id % 5 as job_id, max(least(greatest(floor(value)::bigint, 0), 100)) as progress, case when max(ts) + interval 2 day < (select max(ts) - interval 1 day from events) then 'failed' else arg_max(event_type, event_id) end as stage, count(*) as events from events group by 1")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from siftspark import shared
 from siftspark.functions import text as T
@@ -24,23 +26,25 @@ def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def written(out: DataFrame, mode: str) -> DataFrame:
-    """All rows that a stream gave out for what there is, with the number of their batch."""
+def written(out: DataFrame, mode: str, root: str | None = None) -> DataFrame:
+    """All rows that a stream gave out for what there is, with the number of their batch; under the same root it goes on where it was."""
     spark = out.sparkSession
-    root = f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     put = lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/rows/part={n}")
     out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/rows").drop("part")
 
 
-def in_files(rows: DataFrame, place: Column, n: int) -> DataFrame:
-    """A stream that reads rows in n files, one a batch, in order of their place from 0."""
+def arriving(rows: DataFrame, place: Column, n: int, run: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a stream gives out for rows that arrive in n parts, in order of their place from 0. It is stopped and started again between them; each part is as many files as tasks write."""
     spark = rows.sparkSession
     root = f"{shared.shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
-    held = shared.stored(rows.withColumn("place", place), "arriving")
+    rows.withColumn("place", place).write.partitionBy("place").parquet(f"{root}/held")
+    held = spark.read.schema(S.StructType([*rows.schema, S.StructField("place", S.IntegerType())])).parquet(f"{root}/held")
     for k in range(n):
-        held.filter(F.col("place") == k).drop("place").coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        held.filter(F.col("place") == k).drop("place").write.mode("append").parquet(f"{root}/came")
+        out = written(run(spark.readStream.schema(rows.schema).parquet(f"{root}/came")), mode, root)
+    return out
 
 
 @query("select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
@@ -53,25 +57,25 @@ def streamed_event_counts(spark, d):
 
 @query("select user_id || '-' || event_id % 5 as job_id, max(least(greatest(floor(value)::bigint, 0), 100)) as progress, case when max(ts) + interval 2 day < (select max(ts) - interval 1 day from events) then 'failed' else arg_max(event_type, event_id) end as stage, count(*) as events from events group by 1")
 def streamed_job_progress(spark, d):
-    """Jobs' states, kept over five files with events up to twelve hours out of order; jobs for which nothing came for two days have failed."""
+    """Jobs' states, kept over five arrivals with events up to twelve hours out of order; jobs for which nothing came for two days have failed."""
     e = table(spark, d, "events").select(F.concat_ws("-", "user_id", F.col("event_id") % 5).alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.floor("value").cast("int").alias("progress"))
     span = e.agg(F.min("ts").cast("long").alias("first"), F.max("ts").cast("long").alias("last")).first()
     # seconds from the start, moved to and fro by up to six hours
     moved = F.col("ts").cast("long") - span.first + F.pmod(F.xxhash64("event_id"), F.lit(43_200)) - 21_600
     place = F.greatest(F.lit(0), F.least(F.lit(4), F.floor(5 * moved / (span.last - span.first + 1)))).cast("int")
-    rows = written(ingest.job_progress(in_files(e, place, 5)), "update")
+    rows = arriving(shared.spread(e), place, 5, ingest.job_progress, "update")
     return longs(rows.groupBy("job_id").agg(F.max_by(F.struct("progress", "stage", "events"), "version").alias("s")).select("job_id", "s.*"))
 
 
 @query(f"select conv_id, turn, md5(case when turn % 3 = 0 then '{T.REFUSAL}' when turn % 3 = 1 then 'Insufficient evidence in the sourc' || text else text end) as shown_md5 from conversations where length(text) > 0")
 def streamed_answers(spark, d):
-    """Answers in parts of eleven characters that come in four files in any order: refusals are shown alone, others whole."""
-    t = table(spark, d, "conversations").filter("length(text) > 0")
+    """Answers in parts of eleven characters that come in four arrivals in any order: refusals are shown alone, others whole."""
+    t = shared.spread(table(spark, d, "conversations")).filter("length(text) > 0")
     text = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(f"\n {T.REFUSAL.upper()} But "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Insufficient evidence in the sourc"), "text")).otherwise(F.col("text"))
     cut = F.regexp_extract_all(text, F.lit("(?s).{1,11}"), F.lit(0))
     parts = t.select(F.concat_ws("/", "conv_id", "turn").alias("answer_id"), F.size(cut).alias("n"), F.posexplode(cut).alias("seq", "part"))
     deltas = parts.select("answer_id", "seq", "part", (F.col("seq") == F.col("n") - 1).alias("last"))
-    rows = written(answers.shown(in_files(deltas, F.pmod(F.xxhash64("answer_id", "seq"), F.lit(4)).cast("int"), 4)), "append")
+    rows = arriving(deltas, F.pmod(F.xxhash64("answer_id", "seq"), F.lit(4)).cast("int"), 4, answers.shown, "append")
     whole = rows.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"]), "").alias("text"))
     at = F.split("answer_id", "/")
     return whole.select(F.get(at, 0).cast("long").alias("conv_id"), F.get(at, 1).cast("long").alias("turn"), F.md5("text").alias("shown_md5"))

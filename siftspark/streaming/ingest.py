@@ -7,7 +7,7 @@ nothing half or twice. Statistics are those of all published parts, as after a r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
 import pandas as pd
@@ -20,7 +20,7 @@ from siftspark.config import ChunkConfig
 from siftspark.operators import indexing
 from siftspark.operators.chunking import chunk_texts
 from siftspark.operators.segments import Index
-from siftspark.streaming.answers import ROCKSDB
+from siftspark.streaming.answers import BUCKETS, ROCKSDB
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,63 +65,92 @@ def read_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 
 SHOWN = "job_id string, progress int, stage string, events long, version long"
+_SHOWN = [x.split()[0] for x in SHOWN.split(", ")]
 FAILED = "failed"
 
 
-class Job(StatefulProcessor):
-    """A job's state: its largest progress, the stage of its latest event by id, and a timer that fails it when nothing comes."""
+class Jobs(StatefulProcessor):
+    """The jobs of a bucket, whose states are one row of arrays: each one's largest progress and the stage of its latest event by id.
+
+    A timer, for the first that can be stale, fails the jobs for which nothing comes.
+    """
 
     def __init__(self, stale_ms: int):
         self.stale_ms = stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", "progress int, stage string, latest long, events long, version long, due long")
+        self.state = handle.getValueState("jobs", "job_id array<string>, progress array<int>, stage array<string>, latest array<long>, events array<long>, version array<long>, last array<long>, failed array<boolean>, timer long")
+
+    def _held(self) -> tuple[dict[str, list], int | None]:
+        if not self.state.exists():
+            return {}, None
+        *own, timer = self.state.get()
+        return {job: list(x) for job, *x in zip(*own, strict=True)}, timer
+
+    def _keep(self, jobs: dict[str, list], timer: int | None) -> None:
+        self.state.update((list(jobs), *(list(x) for x in zip(*jobs.values(), strict=True)), timer))
 
-    def _show(self, key: tuple, state: tuple, stage: str) -> pd.DataFrame:
-        progress, _, _, events, version, _ = state
-        return pd.DataFrame({"job_id": [key[0]], "progress": [progress], "stage": [stage], "events": [events], "version": [version]})
+    def _shown(self, jobs: dict[str, list], changed: Iterable[str]) -> pd.DataFrame:
+        rows = ((job, *jobs[job]) for job in changed)
+        return pd.DataFrame([(job, progress, FAILED if failed else stage, events, version) for job, progress, stage, _, events, version, _, failed in rows], columns=_SHOWN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        progress, stage, latest, events, version, due = self.state.get() if self.state.exists() else (0, "queued", -1, 0, 0, 0)
-        last = due - self.stale_ms if due else 0
+        (jobs, timer), changed = self._held(), {}
         for pdf in rows:
-            at = pdf["event_id"].idxmax()
-            if pdf["event_id"][at] > latest:
-                latest, stage = int(pdf["event_id"][at]), str(pdf["stage"][at])
-            progress = max(progress, int(pdf["progress"].clip(0, 100).max()))
-            events += len(pdf)
-            last = max(last, int(pdf["ts_ms"].max()))
-        if last + self.stale_ms != due:  # an event that comes late moves nothing
-            if due:
-                self.handle.deleteTimer(due)
-            due = last + self.stale_ms
-            self.handle.registerTimer(due)
-        state = (progress, stage, latest, events, version + 1, due)
-        self.state.update(state)
-        yield self._show(key, state, stage)
+            for job, event, stage, progress, ts in zip(*(pdf[c].tolist() for c in ("job_id", "event_id", "stage", "progress", "ts_ms")), strict=True):
+                own = jobs.setdefault(job, [0, "queued", -1, 0, 0, 0, False])
+                changed[job] = True
+                own[0] = max(own[0], min(int(progress), 100))
+                if event > own[2]:
+                    own[2], own[1] = event, str(stage)
+                own[3] += 1
+                own[5] = max(own[5], ts)  # an event that comes late moves nothing
+        for job in changed:
+            jobs[job][4] += 1
+            jobs[job][6] = False
+        due = min(jobs[job][5] for job in changed) + self.stale_ms
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = due
+            self.handle.registerTimer(timer)
+        self._keep(jobs, timer)
+        yield self._shown(jobs, changed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        progress, stage, latest, events, version, due = self.state.get()
-        if expiredTimerInfo.getExpiryTimeInMs() == due:
-            state = (progress, stage, latest, events, version + 1, due)
-            self.state.update(state)
-            yield self._show(key, state, FAILED)
+        expired, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        (jobs, _), failed, timer = self._held(), [], None
+        for job, own in jobs.items():
+            due = own[5] + self.stale_ms
+            if own[6]:
+                continue
+            if due <= expired or due < watermark:
+                own[4], own[6] = own[4] + 1, True
+                failed.append(job)
+            else:
+                timer = due if timer is None else min(due, timer)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self._keep(jobs, timer)
+        yield self._shown(jobs, failed)
 
     def close(self) -> None:
         pass
 
 
-def job_progress(events: DataFrame, delay: str = "1 day", stale: timedelta = timedelta(days=2)) -> DataFrame:
+def job_progress(events: DataFrame, delay: str = "1 day", stale: timedelta = timedelta(days=2), buckets: int = BUCKETS) -> DataFrame:
     """A stream of job events (job_id, event_id, ts, stage, progress) to the jobs' states, each with a version that grows.
 
     Progress never falls, and the stage is that of the largest event id, in whatever batch it
     came. A job for which nothing has come until ``stale`` after its last event is shown as
-    failed; an event after that shows it again. Events later than ``delay`` are dropped.
+    failed; an event after that shows it again. Events later than ``delay`` are dropped. Python is
+    called for a bucket of jobs, not for each, and reads and writes their states together, so the buckets should
+    be so many that some thousand jobs fall in each.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = events.withWatermark("ts", delay).withColumn("ts_ms", F.unix_millis("ts"))
-    return rows.groupBy("job_id").transformWithStateInPandas(Job(int(stale.total_seconds() * 1000)), outputStructType=SHOWN, outputMode="update", timeMode="eventTime")
+    rows = events.withWatermark("ts", delay).withColumn("ts_ms", F.unix_millis("ts")).withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(Jobs(int(stale.total_seconds() * 1000)), outputStructType=SHOWN, outputMode="update", timeMode="eventTime")
 
 
 def event_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark import shared
 from siftspark.functions import tables as tab
 from siftspark.operators.indexing import parser_signature
 
@@ -56,15 +57,17 @@ def parents(elements: DataFrame, depth: int = 64) -> DataFrame:
     """Parents that don't exist, and cycles: chains that are still going on after ``depth`` doublings would be.
 
     Each round looks twice as far up, so a chain of 2**k elements takes k joins; an element on a
-    cycle never reaches a root.
+    cycle never reaches a root. Rounds are stored, so a task holds one join, and end when all have reached one.
     """
-    links = elements.select("document_id", "element_id", "parent_id")
+    links = shared.stored(elements.select("document_id", "element_id", "parent_id"), "links")
     have = links.select("document_id", F.col("element_id").alias("parent_id"))
     missing = _found(links.filter("parent_id is not null").join(have, ["document_id", "parent_id"], "left_anti"), F.col("element_id"), "PARENT_MISSING")
-    up = links.filter("parent_id is not null").join(have, ["document_id", "parent_id"], "left_semi").select("document_id", "element_id", F.col("parent_id").alias("far"))
+    up = shared.stored(links.filter("parent_id is not null").join(have, ["document_id", "parent_id"], "left_semi").select("document_id", "element_id", F.col("parent_id").alias("far")), "up")
     for _ in range(max(1, depth.bit_length())):
+        if not up.head(1):
+            break
         again = up.select("document_id", F.col("element_id").alias("far"), F.col("far").alias("further"))
-        up = up.join(again, ["document_id", "far"]).select("document_id", "element_id", F.col("further").alias("far"))
+        up = shared.stored(up.join(again, ["document_id", "far"]).select("document_id", "element_id", F.col("further").alias("far")), "up")
     return missing.unionByName(_found(up, F.col("element_id"), "PARENT_CYCLE"))
 
 
@@ -85,9 +88,12 @@ def tables(cells: DataFrame, shapes: DataFrame) -> DataFrame:
     return _union([_found(*p) for p in parts])
 
 
+def _nul() -> Column:
+    return F.contains(F.coalesce("text", F.lit("")), F.lit("\x00")) | F.contains(F.coalesce("normalized_text", F.lit("")), F.lit("\x00"))
+
+
 def nul_characters(elements: DataFrame) -> DataFrame:
-    nul = F.contains(F.coalesce("text", F.lit("")), F.lit("\x00")) | F.contains(F.coalesce("normalized_text", F.lit("")), F.lit("\x00"))
-    return _found(elements.filter(nul), F.col("element_id"), "TEXT_NUL")
+    return _found(elements.filter(_nul()), F.col("element_id"), "TEXT_NUL")
 
 
 def manifest_problems(manifest: dict) -> list[str]:
@@ -120,7 +126,11 @@ def hard_failures(quality: DataFrame) -> DataFrame:
 
 
 def all_problems(pages: DataFrame, elements: DataFrame) -> DataFrame:
-    return _union([page_sequence(pages), reading_order(elements), element_ids(elements), page_references(elements, pages), provenance(elements), boxes(elements, pages), parents(elements), nul_characters(elements)])
+    """Every check. Elements are made once and stored without their texts, which only the check for NUL reads."""
+    slim = shared.stored(elements.select("document_id", "element_id", "reading_order", "parent_id", "provenance", _nul().alias("nul")), "elements")
+    pages = shared.stored(pages, "pages")
+    nul = _found(slim.filter("nul"), F.col("element_id"), "TEXT_NUL")
+    return _union([page_sequence(pages), reading_order(slim), element_ids(slim), page_references(slim, pages), provenance(slim), boxes(slim, pages), parents(slim), nul])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

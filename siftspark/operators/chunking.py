@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,10 @@ from siftspark.functions import text as T
 
 CHUNK = "chunk_index int, kind string, section_path array<string>, raw_content string, page_start int, page_end int, line_start int, line_end int, parent_chunk_index int, hard_split boolean, fragment boolean, code_not_add_index boolean"
 _NAMES = [x.split()[0] for x in CHUNK.split(", ")]
+_TYPES = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_CHUNKS = pa.schema([("doc_id", pa.int64()), ("title", pa.string()), *((n, _TYPES[t]) for n, t in (x.split() for x in CHUNK.split(", ")))])
+#: Characters of a batch of chunks, and what a chunk counts beside its text.
+_BATCH, _ROW = 1 << 20, 500
 
 
 def merge_sentences(text: str, cfg: ChunkConfig) -> list[tuple[str, bool]]:
@@ -130,12 +134,20 @@ def _finished(chunks: DataFrame, cfg: ChunkConfig) -> DataFrame:
     )
 
 
-def _run(batches: Iterator[pd.DataFrame], parse, cfg: ChunkConfig) -> Iterator[pd.DataFrame]:
-    whole = ["chunk_index", "page_start", "page_end", "line_start", "line_end", "parent_chunk_index"]
-    for pdf in batches:
-        rows = [{"doc_id": doc, "title": title} | c for doc, title, body in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], pdf.iloc[:, 2], strict=True) for c in chunk(parse(body), cfg)]
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "title", *_NAMES]).astype({c: "Int32" for c in whole})
+def _run(batches: Iterator[pa.RecordBatch], parse, cfg: ChunkConfig) -> Iterator[pa.RecordBatch]:
+    """One document at a time; what is given out is some MB of chunks."""
+    rows, size = [], 0
+    for b in batches:
+        for doc, title, body in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            own = {"doc_id": doc.as_py(), "title": title.as_py()}
+            for c in chunk(parse(body.as_py()), cfg):
+                rows.append(own | c)
+                size += _ROW + len(c["raw_content"]) + sum(map(len, c["section_path"]))
+                if size > _BATCH:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_CHUNKS)
+                    rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_CHUNKS)
 
 
 def chunk_texts(documents: DataFrame, cfg: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None) -> DataFrame:
@@ -146,7 +158,7 @@ def chunk_texts(documents: DataFrame, cfg: ChunkConfig | None = None, id_col: st
         return [{"type": "text", "content": line, "line_start": k + 1, "line_end": k + 1} for k, line in enumerate(text.split("\n")) if line]
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), (title if title is not None else F.lit("")).alias("title"), T.line_feeds(F.col(text_col)).alias("text"))
-    return _finished(rows.mapInPandas(lambda b: _run(b, parse, cfg), f"doc_id long, title string, {CHUNK}"), cfg)
+    return _finished(rows.mapInArrow(lambda b: _run(b, parse, cfg), f"doc_id long, title string, {CHUNK}"), cfg)
 
 
 def chunk_paragraphs(paragraphs: DataFrame, cfg: ChunkConfig | None = None) -> DataFrame:
@@ -154,8 +166,7 @@ def chunk_paragraphs(paragraphs: DataFrame, cfg: ChunkConfig | None = None) -> D
     cfg = cfg or ChunkConfig()
     fields = ["pos", "type", "content", "page", "line_start", "line_end", "heading_level", "heading"]
     docs = paragraphs.groupBy("doc_id").agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct(*fields))).alias("body"))
-    plain = lambda body: [{k: (None if v != v else v) for k, v in dict(p).items()} for p in body]
-    return _finished(docs.mapInPandas(lambda b: _run(b, plain, cfg), f"doc_id long, title string, {CHUNK}"), cfg)
+    return _finished(docs.mapInArrow(lambda b: _run(b, list, cfg), f"doc_id long, title string, {CHUNK}"), cfg)
 
 
 def small_documents(documents: DataFrame, cfg: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

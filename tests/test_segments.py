@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftspark.operators import indexing, retrieval
 from siftspark.operators.commits import Conflict, Log, State
 from siftspark.operators.segments import Index
-from siftspark.sources.export_graph import export_order
+from siftspark.sources.export_graph import export_order, vertices
 
 
 def corpus(n, seed=2):
@@ -197,3 +197,30 @@ def test_export_order_of_a_chain_of_5000(spark):
     refs = spark.range(n).select(F.lit(1).alias("document_id"), F.when(k == 0, F.lit("#body")).otherwise(ref(k - 1)).alias("parent"), ref(k).alias("child"), F.lit(0).alias("place"))
     order, sure = export_order(nodes, refs)
     assert order.filter(ref(F.col("reading_order")) == F.col("ref")).count() == n and sure.first().confidence == 1.0
+
+
+def test_export_order_of_large_documents_is_the_same(spark):
+    """Ranked lists and walks in a task, and both beside one another, give what a plain walk gives."""
+    made = list(graphs())
+    nodes = spark.createDataFrame([(d, r) for d, (ns, _) in enumerate(made) for r in ns], "document_id long, ref string")
+    refs = spark.createDataFrame([(d, *r) for d, (_, rs) in enumerate(made) for r in rs], "document_id long, parent string, child string, place int")
+    for small in (0, 25):
+        order, sure = export_order(nodes, refs, small)
+        got = {}
+        for r in order.orderBy("document_id", "reading_order").collect():
+            got.setdefault(r.document_id, []).append(r.ref)
+        confidence = {r.document_id: r.confidence for r in sure.collect()}
+        for d, (ns, rs) in enumerate(made):
+            want, c = walk(set(ns), rs)
+            assert got.get(d, []) == want and abs(confidence[d] - c) < 1e-9, (small, d)
+
+
+def test_ranking_sends_no_table_through_the_driver(spark):
+    """Joins of large documents' rounds are shuffles, whatever their size; small documents need no rounds at all (there was a broadcast a join)."""
+    sent = lambda df: df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    events = spark.range(10).select(F.lit(1).alias("document_id"), F.col("id").cast("string").alias("event"), F.when(F.col("id") < 9, (F.col("id") + 1).cast("string")).alias("next"), F.lit(1).alias("weight"))
+    tree = vertices(events.select("document_id", F.col("event").alias("ref")), events.select("document_id", F.lit("#body").alias("parent"), F.col("event").alias("child"), F.lit(0).alias("place")))
+    tree.collect()
+    assert sent(tree) == 0
+    order, sure = export_order(events.select("document_id", F.col("event").alias("ref")), events.select("document_id", F.lit("#body").alias("parent"), F.col("event").alias("child"), F.col("weight").alias("place")))
+    assert [x.rsplit("/", 1)[1].split("-")[0] for x in order.inputFiles()[:1]] == ["part"] and "/orders-" in order.inputFiles()[0] and sure.count() == 1

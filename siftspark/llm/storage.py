@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from siftspark import shared
 
-shared_dir = shared.shared_dir
-
-
-#: Bytes of rows that one Arrow batch holds at most; a longer row stands alone.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Sees to it that Arrow batches are bounded by bytes, as 10,000 long texts would not fit a worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    # a plain number of bytes, or with a unit
-    number, unit = re.fullmatch(r"(-?\d+)([bkmgt]?)b?", (spark.conf.get(key, None) or "-1").strip().lower()).groups()
-    if not 0 < int(number) << 10 * " kmgt".find(unit.replace("b", " ") or " ") <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+shared_dir, bounded_batches, BATCH_BYTES = shared.shared_dir, shared.bounded_batches, shared.BATCH_BYTES
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -107,10 +107,24 @@ def zero_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int | No
     return vectors.select(F.col(id_col).alias("id"), code.alias("code")).filter("code is not null")
 
 
-def _buckets(text: Column, dim: int) -> Column:
-    """The bucket of each white-space token: md5(token) mod dim, which the last two hex digits tell."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.conv(F.right(F.md5(w), F.lit(2)), 16, 10).cast("int").bitwiseAND(dim - 1))
+def spaced_words(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, words): the lower-case white-space tokens of texts, an empty one too where a text starts or ends with space."""
+    shared.bounded_batches(texts.sparkSession)
+    return texts.select(F.col(id_col).alias("id"), F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+").alias("words"))
+
+
+def unit_counts(batches: Iterator[pa.RecordBatch], dim: int = 64) -> Iterator[pa.RecordBatch]:
+    """(id, vector) of batches of spaced_words. A token's bucket is md5(token) mod dim, which the last byte tells, found once a batch for each token."""
+    for b in batches:
+        found = b.column("words")
+        coded = found.flatten().dictionary_encode()
+        tokens = coded.dictionary.cast(pa.binary()).to_pylist()
+        bucket = np.array([hashlib.md5(w, usedforsecurity=False).digest()[-1] & (dim - 1) if w else -1 for w in tokens], np.int64)[coded.indices.to_numpy()]
+        rows = np.repeat(np.arange(b.num_rows), np.diff(found.offsets.to_numpy()))
+        counts = np.bincount((rows * dim + bucket)[bucket >= 0], minlength=b.num_rows * dim).reshape(b.num_rows, dim).astype(float)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = counts / np.where(length > 0, length, 1)
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(unit.ravel()))], names=["id", "vector"])
 
 
 def hashed_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64) -> DataFrame:
@@ -120,19 +134,8 @@ def hashed_vectors(texts: DataFrame, id_col: str = "id", text_col: str = "text",
     """
     if dim & (dim - 1) or not 0 < dim <= 256:
         raise ValueError("dim is a power of two up to 256")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = b.column("buckets")
-            sizes = np.diff(found.offsets.to_numpy())
-            place = np.repeat(np.arange(b.num_rows), sizes) * dim + found.flatten().to_numpy()
-            counts = np.bincount(place, minlength=b.num_rows * dim).reshape(b.num_rows, dim).astype(float)
-            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-            unit = counts / np.where(length > 0, length, 1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * dim, pa.int32()), pa.array(unit.ravel()))], names=["id", "vector"])
-
-    rows = texts.select(F.col(id_col).alias("id"), _buckets(F.col(text_col), dim).alias("buckets"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
+    rows = spaced_words(texts, id_col, text_col)
+    return rows.mapInArrow(lambda batches: unit_counts(batches, dim), f"id {rows.schema['id'].dataType.simpleString()}, vector array<double>")
 
 
 def hashed_embeddings(texts: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64) -> DataFrame:

@@ -6,7 +6,7 @@ the id, so the order of floating-point sums can't flip ties.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,20 +101,22 @@ def bm25(queries: DataFrame, index: SparseIndex, k: int | None = 30, k1: float =
 # dense search
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 30, scope: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 30, scope: DataFrame | None = None, block: int = QUERY_BLOCK, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """Exact inner-product neighbours of unit vectors: queries (qid, vector) against vectors (id, vector).
 
     Queries go in blocks of bounded size to every task; a task multiplies its rows with a block
-    and keeps its own k best per query, so k rows per query and task are shuffled.
+    and keeps its own k best per query, so k rows per query and task are shuffled. With ``made``,
+    vectors are what it makes of batches of rows, in the task that multiplies them.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    shared.bounded_batches(spark)
+    rows = vectors if made else vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
     if scope is not None:
         rows = rows.join(scope.select("id"), "id", "left_semi")
     out = None
     for ids, matrix in _query_blocks(queries, block):
         held = spark.sparkContext.broadcast((ids, matrix))
-        part = rows.mapInArrow(lambda batches, held=held: _best(batches, *held.value, k), "qid long, id long, score double")
+        part = rows.mapInArrow(lambda batches, held=held: _best(made(batches) if made else batches, *held.value, k), "qid long, id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "qid long, id long, score double, rank int")
@@ -134,20 +136,30 @@ def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray,
 
 
 def _best(batches: Iterator[pa.RecordBatch], qids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    ids = np.zeros((len(qids), 0), np.int64)
-    scores = np.zeros((len(qids), 0))
+    """The k best of each query in a task. Only scores that reach a query's k-th so far are put in order."""
+    places, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    bar = np.full((len(qids), 1), -np.inf)
     for b in batches:
         for at in range(0, b.num_rows, 1024):
             part = b.slice(at, 1024)
             x = part.column("vector").flatten().to_numpy().reshape(part.num_rows, -1)
-            own = part.column("id").to_numpy()
-            ids = np.concatenate((ids, np.broadcast_to(own, (len(qids), len(own)))), axis=1)
-            scores = np.concatenate((scores, matrix @ x.T), axis=1)
-            if ids.shape[1] > k:
-                order = np.lexsort((ids, -np.round(scores, 9)), axis=1)[:, :k]
-                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-    if ids.shape[1]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["qid", "id", "score"])
+            own = matrix @ x.T
+            # what is no number is ordered last, as it was
+            place, row = np.nonzero(~(np.round(own, 9) < bar))
+            if not len(place):
+                continue
+            places = np.concatenate((places, place))
+            ids = np.concatenate((ids, part.column("id").to_numpy()[row]))
+            scores = np.concatenate((scores, own[place, row]))
+            order = np.lexsort((ids, -np.round(scores, 9), places))
+            starts = np.searchsorted(places[order], np.arange(len(qids)))
+            rank = np.arange(len(order)) - starts[places[order]]
+            kept = order[rank < k]
+            places, ids, scores = places[kept], ids[kept], scores[kept]
+            full = np.bincount(places, minlength=len(qids)) >= k
+            bar[full, 0] = np.round(scores[np.searchsorted(places, np.flatnonzero(full), "right") - 1], 9)
+    if len(places):
+        yield pa.RecordBatch.from_arrays([pa.array(qids[places]), pa.array(ids), pa.array(scores)], names=["qid", "id", "score"])
 
 
 def inner_product(a: Column, b: Column) -> Column:

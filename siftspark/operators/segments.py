@@ -35,6 +35,8 @@ from siftspark.operators.commits import Log, State
 BUCKETS = 32
 #: Documents and tokens of a shard.
 SHARD_DOCS, SHARD_TOKENS = 1 << 14, 1 << 20
+#: Tokens that are put into a shard at a time.
+PART_TOKENS = 1 << 16
 #: Queries that one pass may broadcast.
 QUERY_BLOCK = 4096
 #: Postings of a query's rarest terms that the first pass reads, in numbers of results.
@@ -60,12 +62,11 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
 
-def _shard(name: str, ids: np.ndarray, sizes: np.ndarray, terms: pa.Array) -> pa.RecordBatch:
+def _shard(name: str, ids: np.ndarray, sizes: np.ndarray, coded: pa.DictionaryArray) -> pa.RecordBatch:
     """The blocks of some documents by term, and one row without a term that has their ids and lengths."""
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-    coded = terms.dictionary_encode()
     keys, tfs = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(ids) + np.repeat(place, sizes), return_counts=True)
     own, docs, dls = keys // len(ids), keys % len(ids), sizes[order]
     starts = np.flatnonzero(np.diff(own, prepend=-1))
@@ -81,6 +82,16 @@ def _shard(name: str, ids: np.ndarray, sizes: np.ndarray, terms: pa.Array) -> pa
     return pa.concat_batches([whole, blocks])
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some thousand tokens, so that a shard ends near its size; a longer document stands alone."""
+    ends = b.column("terms").offsets.to_numpy()
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + PART_TOKENS, "right")) - 1)
+        yield b.slice(at, end - at)
+        at = end
+
+
 def built(tokens: DataFrame, segment: str, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Blocks and shards of (id, terms). Postings are counted where the documents are; nothing is shuffled."""
 
@@ -89,23 +100,26 @@ def built(tokens: DataFrame, segment: str, shard_docs: int = SHARD_DOCS, shard_t
         ids, sizes, terms, docs, count = [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
-            return _shard(f"{segment}-{task}-{number}", np.concatenate(ids), np.concatenate(sizes), pa.concat_arrays(terms))
+            coded = pa.chunked_array(terms).unify_dictionaries().combine_chunks()
+            terms.clear()
+            return _shard(f"{segment}-{task}-{number}", np.concatenate(ids), np.concatenate(sizes), coded)
 
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for part in _parts(b):
                 own = part.column("terms")
                 ids.append(part.column("id").to_numpy().astype(np.int64))
                 sizes.append(np.diff(own.offsets.to_numpy()).astype(np.int64))
-                terms.append(own.flatten())
+                terms.append(own.flatten().dictionary_encode())  # each term of a part once, not its words
                 docs, count = docs + part.num_rows, count + int(sizes[-1].sum())
                 if docs >= shard_docs or count >= shard_tokens:
                     yield out()
                     number += 1
+                    pa.default_memory_pool().release_unused()
                     ids, sizes, terms, docs, count = [], [], [], 0, 0
         if docs:
             yield out()
 
+    shared.bounded_batches(tokens.sparkSession)
     return tokens.select(F.col("id").cast("long").alias("id"), "terms").filter("id is not null").mapInArrow(run, _BUILT)
 
 
@@ -246,8 +260,9 @@ class Index:
     def _write_blocks(self, made: DataFrame, part: str) -> None:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         placed = made.withColumn("bucket", bucket(F.col("term"), self.buckets))
-        # a frequent term's blocks go to several tasks
-        placed.repartitionByRange(n, "bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{self.root}/{part}")
+        # a frequent term's blocks go to several tasks, by shard, and so many that no bucket is much to one of them
+        spread = F.pmod(F.xxhash64("shard"), F.lit(max(4, -(-4 * n // self.buckets))))
+        placed.repartition(n, "bucket", spread).sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{self.root}/{part}")
 
     def _write(self, made: DataFrame, parts: dict[str, str]) -> None:
         self._write_blocks(made.filter("term is not null").drop("ids"), parts["blocks"])
@@ -284,16 +299,17 @@ class Index:
         none = self.spark.createDataFrame([], _HITS)
         if not n_docs or not n_tokens:
             return none
+        out = None
         allowed = None if scope is None else shared.stored(self.documents().join(scope.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi").groupBy("shard").agg(F.collect_list("doc").alias("docs")), "allowed")
         asked = queries.select("qid", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("terms")).filter("size(terms) > 0")
-        out = none
         for block in _query_blocks(asked):
-            out = out.unionByName(self._block_hits(block, n_docs, n_tokens / n_docs, k, k1, b, minimum, allowed))
-        return out
+            part = self._block_hits(block, n_docs, n_tokens / n_docs, k, k1, b, minimum, allowed)
+            out = part if out is None else out.unionByName(part)
+        return none if out is None else out
 
     def _block_hits(self, block: list, n_docs: int, avgdl: float, k: int | None, k1: float, b: float, minimum: int, allowed: DataFrame | None) -> DataFrame:
         terms = sorted({t for r in block for t in r.terms})
-        wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        wanted = self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
         folders = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
         blocks = shared.stored(self.blocks(folders).join(F.broadcast(wanted), "term").drop("bucket"), "asked")
         dead = self.dead() if self.state.tables.get("dead") else None
@@ -338,6 +354,7 @@ class Index:
                     yield from found.taken()
             yield from found.taken()
 
+        shared.bounded_batches(self.spark)
         return rows.unionByName(posted).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, _HITS)
 
 

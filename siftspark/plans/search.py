@@ -37,7 +37,7 @@ def corpus_index(spark: SparkSession, d: str, name: str = "documents", id_col: s
 def hashed_dense(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """The best k inner products of hashed bag-of-words vectors, of those above zero: (qid, id, score, rank)."""
     asked = indexing.hashed_vectors(queries, "qid", "text").withColumnRenamed("id", "qid")
-    return retrieval.dense(asked, indexing.hashed_vectors(documents, "id", "text"), k).filter("score > 0")
+    return retrieval.dense(asked, indexing.spaced_words(documents, "id", "text"), k, made=indexing.unit_counts).filter("score > 0")
 
 
 def stages(queries: DataFrame, documents: DataFrame, index: Index, cfg: RetrievalConfig | None = None, scope: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -39,9 +39,12 @@ BANDS, BAND_ROWS = 21, 6
 BLOCK = 1024
 #: A line that stands more often than this posts its bands once for all; others once for each slice of texts.
 HOT_LINE = 64
-_LONG_RUN = 1 << 20
+#: Posts of a bucket of keys, on average, and those beyond which it goes out in parts.
+_BUCKET, _LONG_RUN = 1 << 19, 1 << 21
 #: Cells of at most so many lines are compared many at a time.
-_TOGETHER = 24
+_TOGETHER = 48
+#: Shingles whose minima are taken at a time; a longer line stands alone.
+_AT_ONCE = 1 << 17
 _ODD = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 30, 128, dtype=np.uint32) * np.uint32(4) + np.uint32(3)
 
 
@@ -64,14 +67,20 @@ def bands(lines: list[str], count: int = BANDS, rows: int = BAND_ROWS) -> np.nda
     h = _rolled(code, np.uint32(0x2C1B3C6D))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x297A2D39)
     h ^= h >> np.uint32(14)
-    cut = np.stack((ends - np.diff(ends, prepend=0), ends - SHINGLE + 1), 1).ravel()[:-1]
-    least = np.zeros((len(lines), count * rows), np.uint64)
-    for j in range(count * rows):
-        least[:, j] = np.minimum.reduceat(h * _ODD[j], cut)[::2]
-    key = least[:, ::rows].copy()
+    sizes = np.diff(ends, prepend=0) - SHINGLE + 1
+    h = h[textscan.ranges(ends - sizes - SHINGLE + 1, sizes)]
+    first = np.cumsum(sizes) - sizes
+    least = np.empty((count * rows, len(lines)), np.uint32)
+    for i, j in textscan.slices(np.append(first, len(h)), _AT_ONCE):
+        own, cut = h[first[i] : first[j] if j < len(lines) else len(h)], first[i:j] - first[i]
+        product = np.empty_like(own)
+        for k in range(count * rows):
+            np.multiply(own, _ODD[k], out=product)
+            np.minimum.reduceat(product, cut, out=least[k, i:j])
+    key = least[::rows].astype(np.uint64)
     for r in range(1, rows):
-        key = textscan.mix(key + np.uint64(0x9E3779B97F4A7C15)) + least[:, r::rows]
-    return textscan.mix(key * np.uint64(64) + np.arange(count, dtype=np.uint64)).view(np.int64)
+        key = textscan.mix(key + np.uint64(0x9E3779B97F4A7C15)) + least[r::rows]
+    return np.ascontiguousarray(textscan.mix(key * np.uint64(64) + np.arange(count, dtype=np.uint64)[:, None]).T).view(np.int64)
 
 
 def shingles(line: str) -> np.ndarray:
@@ -120,58 +129,95 @@ def _signed(rows: DataFrame, count: int, band_rows: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, line_no int, line long, bands binary")
 
 
-def _posts(lines: DataFrame, hot: DataFrame, count: int) -> DataFrame:
-    """(key, line) for each band. hot: lines that post once only."""
+def _posts(lines: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, line) of each line with bands, whose keys stand in key as bytes. hot: lines that post once only."""
+    signed = lines.filter("bands is not null").select(F.col("bands").alias("key"), "line")
+    once = signed.join(hot, "line", "left_semi").groupBy("line").agg(F.min("key").alias("key"))
+    return signed.join(hot, "line", "left_anti").unionByName(once)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(b.column("line").to_numpy(), count))], names=["key", "line"])
 
-    signed = lines.filter("bands is not null").select("line", "bands")
-    once = signed.join(hot, "line", "left_semi").groupBy("line").agg(F.min("bands").alias("bands"))
-    return signed.join(hot, "line", "left_anti").unionByName(once).mapInArrow(run, "key long, line long")
+def _shared(posts: DataFrame, most: int = 0) -> DataFrame:
+    """The posts (key, line) of keys with more than one line. key is one key, or the bytes of several.
 
+    Tasks deal their posts out to buckets of keys, so what Spark moves and sorts are pieces of buckets, not posts. ``most``
+    posts make as many buckets as hold _BUCKET each; one that is much larger goes out in parts.
+    """
+    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = n * max(1, -(-most // (n * _BUCKET)))
 
-def _shared(posts: DataFrame) -> DataFrame:
-    """The posts (key, line) of keys with more than one line. They are dealt out by key once, and a run of one key streams through."""
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, line = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        given: int | None = None  # the last key, if lines of it were given out before
+        def out() -> pa.RecordBatch:
+            key, line = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (((textscan.mix(key.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            pairs = np.stack((key[order], line[order]), 1)
+            own, first = np.unique(bucket[order], return_index=True)
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(np.append(first, len(order)) * 16), pa.py_buffer(pairs)])
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), raw.cast(pa.binary())], names=["bucket", "posts"])
 
-        def chosen(end: int) -> pa.RecordBatch:
-            """Of the first ``end`` posts, in order of key and line, those of shared keys, each once."""
-            order = np.lexsort((line[:end], key[:end]))
-            k, x = key[order], line[order]
+        for b in batches:
+            key, line = b.column("key"), b.column("line").to_numpy()
+            if pa.types.is_integer(key.type):
+                key = key.to_numpy()
+            else:
+                data, offsets = textscan.spans(key)
+                key, line = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.int64), np.repeat(line, np.diff(offsets) // 8)
+            held.append((key, line))
+            many += len(key)
+            if many >= 1 << 20:
+                yield out()
+                held, many = [], 0
+        if many:
+            yield out()
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # posts of a bucket, which may still be alone with their keys
+        size, room, last = 0, _LONG_RUN, None
+        given = np.zeros(0, np.int64)  # keys of the bucket of which lines were given out before
+
+        def chosen() -> pa.RecordBatch:
+            """Of the posts held those of shared keys, each once; the others are held on."""
+            nonlocal held, size, room, given
+            key, line = np.concatenate(held).T
+            ordered = np.sort(key)
+            often = np.zeros(1 << 22, bool)  # by a hash, which leaves little to look at
+            slot = (textscan.mix(key.view(np.uint64)) >> np.uint64(42)).astype(np.int32)
+            often[(textscan.mix(np.concatenate((ordered[1:][ordered[1:] == ordered[:-1]], given)).view(np.uint64)) >> np.uint64(42)).astype(np.int32)] = True
+            at = np.flatnonzero(often[slot])
+            at = at[np.lexsort((line[at], key[at]))]
+            k, x = key[at], line[at]
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
-            k, x = k[new], x[new]
+            at, k, x = at[new], k[new], x[new]
             same = k[1:] == k[:-1]
-            keep = np.append(same, False) | np.insert(same, 0, False)
-            if given is not None:
-                keep |= k == given
+            keep = (np.append(same, False) | np.insert(same, 0, False))[: len(k)] | np.isin(k, given)
+            alone = ~often[slot]
+            alone[at[~keep]] = True
+            given = np.union1d(given, k[keep])
+            held = [np.stack((key[alone], line[alone]), 1)]
+            size = len(held[0])
+            room = _LONG_RUN + 2 * size
             return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(x[keep])], names=["key", "line"])
 
         for b in batches:
-            key, line = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((line, b.column(1).to_numpy()))
-            if not len(key):
-                continue
-            end = int(np.searchsorted(key, key[-1]))  # the last run may go on
-            if len(key) - end > _LONG_RUN and line[end:].min() < line[end:].max():
-                end, last = len(key), int(key[-1])
-                out = chosen(end)
-                given = last
-            else:
-                out = chosen(end)
-                given = given if given == key[-1] else None
-            key, line = key[end:], line[end:]
-            if out.num_rows:
-                yield out
-        if len(key):
-            yield chosen(len(key))
+            for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("posts"), strict=True):
+                if bucket != last:
+                    if size:
+                        yield chosen()
+                    held, size, room, last, given = [], 0, _LONG_RUN, bucket, given[:0]
+                held.append(np.frombuffer(raw.as_py(), np.int64).reshape(-1, 2))
+                size += len(held[-1])
+                if size > room:
+                    yield chosen()
+        if size:
+            yield chosen()
+        textscan.release()
 
-    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, line long")
+    moved = posts.mapInArrow(dealt, "bucket int, posts binary").repartitionById(n, F.col("bucket"))
+    return moved.sortWithinPartitions("bucket").mapInArrow(gathered, "key long, line long")
 
 
 def _line_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,12 +262,24 @@ class Sets:
         self.members = own & ((np.uint64(1) << self.top) - np.uint64(1))
         self.counts = np.diff(self.offsets)
 
+    def _may(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Pairs that aren't ruled out: no two sets share more members than the smaller counts of their members by some bits sum to."""
+        place = np.repeat(np.arange(len(self.counts)), self.counts) << 8 | (self.members >> (self.top - np.uint64(8))).astype(np.int64)
+        tally = np.bincount(place, minlength=len(self.counts) << 8).astype(np.int32).reshape(-1, 256)
+        most = np.concatenate([np.minimum(tally[a[k : k + 4096]], tally[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)])
+        return 100 * most >= percent * (self.counts[a] + self.counts[b] - most)
+
     def similar(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs of sets are at the threshold: equal members of a pair stand side by side."""
+        out = np.zeros(len(a), bool)
+        near = np.flatnonzero(self._may(a, b, percent)) if len(a) else np.zeros(0, np.int64)
+        a, b = a[near], b[near]
         pair = np.arange(len(a), dtype=np.uint64) << self.top
-        both = np.sort(np.concatenate([np.repeat(pair, self.counts[x]) | self.members[textscan.ranges(self.offsets[x], self.counts[x])] for x in (a, b)]))
+        runs = [np.repeat(pair, self.counts[x]) | self.members[textscan.ranges(self.offsets[x], self.counts[x])] for x in (a, b)]
+        both = np.sort(np.concatenate(runs), kind="stable")  # merges the two
         common = np.bincount((both[1:][both[1:] == both[:-1]] >> self.top).astype(np.int64), minlength=len(a))
-        return (common > 0) & (100 * common >= percent * (self.counts[a] + self.counts[b] - common))
+        out[near] = (common > 0) & (100 * common >= percent * (self.counts[a] + self.counts[b] - common))
+        return out
 
 
 def similar(left: list[str], right: list[str], percent: int) -> np.ndarray:
@@ -317,7 +375,7 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT, id_col: str = "d
     # each line once, with the first place at which it stands
     distinct = storage.stored(own.groupBy("line").agg(F.count("*").alias("n"), F.min(at).alias("at")), "distinct")
     hot = storage.small(distinct.filter(F.col("n") > hot_line).select("line"))
-    members = storage.stored(_shared(_posts(lines, hot, count)), "members")
+    members = storage.stored(_shared(_posts(lines, hot), count * lines.count()), "members")
     lists = members.groupBy("key").agg(F.count("*").alias("size"), F.min("line").alias("hub"), F.sum(F.xxhash64("line").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("b"))
     lists = lists.groupBy("size", "a", "b").agg(F.min("key").alias("key"), F.min("hub").alias("hub")).select("key", "size", "hub")
     listed = storage.stored(members.join(lists, "key"), "listed")

@@ -41,16 +41,15 @@ END_ID = 1
 WORDS = 400_000
 #: Rules that a round adds at most. Rounds end when no pair stands LEAST_COUNT times (a rule takes 12 bytes and saves two at each) or symbols of two bytes run out.
 RULES_PER_ROUND, LEAST_COUNT = 8192, 7
-_TABLE_BITS = 22
-_ODD = [np.uint32(0x9E3779B1 + 2 * k * 0x01000193) for k in range(24)]
 _MAGIC = b"RPS1"
-_SLICE = 3 << 20
+_SLICE = 5 << 20
 #: Lower-case letters a-z and those of Latin-1, in UTF-8: no normalizer of lower case and composed forms changes them.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 _TAIL = np.isin(np.arange(256), [*range(0x9F, 0xB7), *range(0xB8, 0xC0)])
 #: Words that go through the tokenizer as one text, and what stands between those that aren't plain: a piece of its own for any pre-tokenizer by white space.
 _TOGETHER, _BETWEEN = 1000, "\x01"
-_MARK = np.isin(np.arange(256), list(b".,!?;:"))
+#: Signs that are no letters to any pre-tokenizer by letters, but for those of contractions and special tokens.
+_MARK = np.isin(np.arange(256), list(b'.,!?;:*#$%&"()[]{}+-=/@^_~`'))
 
 #: How byte-level tokenizers write bytes: those that aren't printable in Latin-1 have letters from 256 on. Spaces stay, to part words.
 _LETTERS = np.arange(256, dtype="<u4")
@@ -110,8 +109,9 @@ class WordStore:
             self.old, self.new = self.new, {w: x for w, x in zip(words, ids, strict=True) if x is not None}
         self.new.update((w, x) for w, x in zip(missing, map(self.old.get, missing), strict=True) if x is not None)
         fresh = list(dict.fromkeys(w for w in missing if w not in self.new))
-        plain = [w for w in fresh if _PLAIN(w)]
-        rest = [w for w in fresh if not _PLAIN(w)]
+        plain, rest = [], []
+        for w in fresh:
+            (plain if _PLAIN(w) else rest).append(w)
         for k in range(0, len(plain), _TOGETHER):
             self._learn_plain(plain[k : k + _TOGETHER])
         for k in range(0, len(rest), _TOGETHER):
@@ -160,8 +160,11 @@ class WordStore:
                 yield ids + end
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
-        if b"<|" not in data.tobytes():  # a special token's string has a case of its own
+        if not any(x in data.tobytes() for x in (b"<|", b"\xcc", b"\xcd")):  # special tokens have a case of their own, and marks may join lower-case letters alone
             data = textscan.lowered(data)
+            latin = np.flatnonzero(data == 0xC3) + 1
+            latin = latin[(data[latin] <= 0x9E) & (data[latin] != 0x97)]
+            data[latin] += np.uint8(32)
         start, end = _words(data, offsets)
         first, which = _distinct(textscan.hashes(data, start, end), end - start)
         raw = data.tobytes()
@@ -212,29 +215,34 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int, per_round: int = RU
     n_rules, room = 0, (1 << 16) - base if base < 1 << 16 else (1 << 31) - base
     while len(symbols) > 1 and n_rules < room:
         key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:] if base + n_rules > 1 << 16 else symbols[:-1] * np.uint32(1 << 16) + symbols[1:]
-        free = ~last[:-1]
-        ordered = np.sort(key[free])
+        free = np.flatnonzero(~last[:-1])
+        key = key[free]
+        if key.dtype == np.uint32:  # pair and place as one number: a sort gives where each pair stands
+            ordered = np.sort(key.astype(np.uint64) << np.uint64(32) | free.astype(np.uint64))
+            place, ordered = (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64), (ordered >> np.uint64(32)).astype(np.uint32)
+        else:
+            order = np.argsort(key, kind="stable")
+            place, ordered = free[order], key[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(ordered)))
-        pairs = ordered[first]
         often = np.flatnonzero(counts >= least)
-        often = often[np.argsort(-counts[often], kind="stable")[: min(per_round, room - n_rules)]]
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")[: min(per_round, room - n_rules)]])
         if not len(often):
             break
-        chosen = np.sort(pairs[often])
-        near = _places(chosen, key)
-        at = np.flatnonzero((chosen[near] == key) & free)
+        chosen = ordered[first[often]]
+        rule = np.full(len(symbols), -1, np.int32)
+        rule[place[textscan.ranges(first[often], counts[often])]] = np.repeat(np.arange(len(often), dtype=np.int32), counts[often])
+        at = np.flatnonzero(rule >= 0)
         # of each run of neighbouring occurrences every second one
         begins = np.concatenate(([True], np.diff(at) != 1))
         run = np.flatnonzero(begins)
-        place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        at = at[place % 2 == 0]
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
         shift = np.uint64(32) if chosen.dtype == np.uint64 else np.uint32(16)
         left, right = chosen >> shift, chosen & ((type(shift)(1) << shift) - type(shift)(1))
         rules.append(np.stack((left, right), 1).astype(np.uint32))
         symbols = symbols.copy()
         last = last.copy()
-        symbols[at] = near[at].astype(np.uint32) + np.uint32(base + n_rules)
+        symbols[at] = rule[at].astype(np.uint32) + np.uint32(base + n_rules)
         last[at] = last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -243,18 +251,6 @@ def repair(symbols: np.ndarray, last: np.ndarray, base: int, per_round: int = RU
     return symbols, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
-def _places(chosen: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each key the place at which chosen holds it, or else any place: by a small hash table if no two collide there."""
-    if len(key) > 1 << 14 and chosen.dtype == np.uint32:
-        for odd in _ODD:
-            slot = (chosen * odd) >> np.uint32(32 - _TABLE_BITS)
-            if len(np.unique(slot)) == len(slot):
-                table = np.zeros(1 << _TABLE_BITS, np.int16)
-                table[slot] = np.arange(len(chosen))
-                return table[(key * odd) >> np.uint32(32 - _TABLE_BITS)]
-    return np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-
-
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
     """The bytes of a shard."""
     counts = np.array([len(x) for x in ids], np.uint32)
@@ -262,8 +258,8 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], base: int) -> bytes:
     last[np.cumsum(counts.astype(np.int64)) - 1] = True
     symbols, last, rules = repair(np.concatenate(ids).astype(np.uint32), last, base)
     lengths: list[int] = []
-    for pair in rules.tolist():
-        lengths.append(sum(1 if x < base else lengths[x - base] for x in pair))
+    for x, y in rules.tolist():
+        lengths.append((1 if x < base else lengths[x - base]) + (1 if y < base else lengths[y - base]))
     width = 2 if base + len(rules) <= 1 << 16 else 4
     ends = np.flatnonzero(last)
     head = _MAGIC + struct.pack("<5I", base, width, len(rules), len(ids), len(symbols))
@@ -339,12 +335,10 @@ def write(documents: DataFrame, tokenizer_path: str, path: str, id_col: str = "d
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, pack_ids = word_store(tokenizer_path), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                own = part.column("doc_id").to_numpy(zero_copy_only=False)
-                where = np.searchsorted(np.array(bounds), np.nan_to_num(own.astype(float), nan=-np.inf), "right")
-                packed = [pack_ids.compress(x) for x in store.encode_column(part.column("text"), end_id)]
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), part.column("doc_id"), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
+            own = b.column("doc_id").to_numpy(zero_copy_only=False)
+            where = np.searchsorted(np.array(bounds), np.nan_to_num(own.astype(float), nan=-np.inf), "right")
+            packed = [pack_ids.compress(x) for x in store.encode_column(b.column("text"), end_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b.column("doc_id"), pa.array(packed, pa.binary())], names=["part", "doc_id", "ids"])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, kind = zstandard.ZstdDecompressor(), np.dtype("<u2" if base <= 1 << 16 else "<u4")

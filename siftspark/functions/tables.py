@@ -9,10 +9,12 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
+from siftspark import shared
 from siftspark.functions import text as T
 
 
@@ -161,6 +163,31 @@ def term_overlap(query: Column, text: Column) -> Column:
 
 #: Chunks of a parent that meet a hit as one row.
 SIBLINGS = 64
+PART = ("chunk_id", "raw_content", "content_hash")
+NO_SIBLINGS = "array<struct<less:int,away:int,at:int,own:struct<chunk_id:string,raw_content:string,content_hash:string>>>"
+
+
+def _nearest(siblings: Column, hit_id: Column, at: Column, asked: Column, most: int) -> Column:
+    """The best of an array of siblings (chunk_index, own, terms) for a hit: those with most words of its query, then the nearer ones."""
+    overlap = lambda x: F.size(F.array_intersect(asked, x["terms"]))
+    ranked = F.transform(F.filter(siblings, lambda x: x["own"]["chunk_id"] != hit_id), lambda x: F.struct((-overlap(x)).alias("less"), F.abs(x["chunk_index"] - at).alias("away"), x["chunk_index"].alias("at"), x["own"].alias("own")))
+    return F.slice(F.array_sort(F.filter(ranked, lambda x: x["less"] < 0)), 1, most)
+
+
+def _over_blocks(base: DataFrame, blocks: DataFrame, most: int) -> DataFrame:
+    """Hits (parent_id, qid, hit_id, own, parent, chunk_index, asked) with the best of all blocks of their parent's siblings."""
+    best = _nearest(F.col("siblings"), F.col("hit_id"), F.col("chunk_index"), F.col("asked"), most)
+    met = base.join(blocks, "parent_id", "left").select("parent_id", "qid", "hit_id", "own", "parent", F.coalesce(best, F.array().cast(NO_SIBLINGS)).alias("best"))
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, most)
+    return met.groupBy("parent_id", "qid", "hit_id").agg(F.first("own").alias("own"), F.first("parent").alias("parent"), near.alias("near"))
+
+
+def _said_once(found: DataFrame) -> DataFrame:
+    """(qid, hit_id, content, chunk_ids) of hits with own, parent and near."""
+    parts = found.select("qid", "hit_id", F.array_compact(F.concat(F.array("parent", "own"), F.transform("near", lambda x: x["own"]))).alias("xs"))
+    for key in ("chunk_id", "content_hash"):
+        parts = parts.withColumn("xs", F.filter("xs", _first_of(key)))
+    return parts.select("qid", "hit_id", F.array_join(F.transform("xs", lambda x: x["raw_content"]), "\n\n").alias("content"), F.transform("xs", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
 def expand_context(hits: DataFrame, chunks: DataFrame, max_adjacent_rows: int = 2) -> DataFrame:
@@ -173,26 +200,48 @@ def expand_context(hits: DataFrame, chunks: DataFrame, max_adjacent_rows: int =
     """
     # terms are taken once from each text; siblings meet a hit in blocks, of which each leaves its best
     most = min(max_adjacent_rows, 2)
-    part = ("chunk_id", "raw_content", "content_hash")
-    own = chunks.select("chunk_id", F.struct(*part).alias("own"), "chunk_index", "subtype", "parent_chunk_id")
+    own = chunks.select("chunk_id", F.struct(*PART).alias("own"), "chunk_index", "subtype", "parent_chunk_id")
     asked = hits.select("qid", "hit_id", T.table_terms(F.col("query")).alias("asked"))
     rows = F.col("subtype").isin("table_row", "table_group")
     base = asked.join(own.withColumnRenamed("chunk_id", "hit_id"), "hit_id").withColumn("parent_id", F.when(rows, F.col("parent_chunk_id"))).drop("parent_chunk_id", "subtype")
     terms = T.table_terms(F.concat_ws(" ", "headers", "retrieval_content")).alias("terms")
-    held = chunks.filter(rows & F.col("parent_chunk_id").isNotNull()).select(F.col("parent_chunk_id").alias("parent_id"), "chunk_index", F.struct(*part).alias("own"), terms)
+    held = chunks.filter(rows & F.col("parent_chunk_id").isNotNull()).select(F.col("parent_chunk_id").alias("parent_id"), "chunk_index", F.struct(*PART).alias("own"), terms)
     block = F.floor(F.col("chunk_index") / SIBLINGS)
     blocks = held.repartition("parent_id").groupBy("parent_id", block.alias("block")).agg(F.collect_list(F.struct("chunk_index", "own", "terms")).alias("siblings"))
-    overlap = lambda x: F.size(F.array_intersect("asked", x["terms"]))
-    ranked = F.transform(F.filter("siblings", lambda x: x["own"]["chunk_id"] != F.col("hit_id")), lambda x: F.struct((-overlap(x)).alias("less"), F.abs(x["chunk_index"] - F.col("chunk_index")).alias("away"), x["chunk_index"].alias("at"), x["own"].alias("own")))
-    best = F.slice(F.array_sort(F.filter(ranked, lambda x: x["less"] < 0)), 1, most)
-    family = chunks.select(F.col("chunk_id").alias("parent_id"), F.struct(*part).alias("parent"))
-    met = base.join(family, "parent_id", "left").join(blocks, "parent_id", "left").select("parent_id", "qid", "hit_id", "own", "parent", F.coalesce(best, F.array().cast("array<struct<less:int,away:int,at:int,own:struct<chunk_id:string,raw_content:string,content_hash:string>>>")).alias("best"))
-    near = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, most)
-    every = met.groupBy("parent_id", "qid", "hit_id").agg(F.first("own").alias("own"), F.first("parent").alias("parent"), near.alias("near"))
-    parts = every.select("qid", "hit_id", F.array_compact(F.concat(F.array("parent", "own"), F.transform("near", lambda x: x["own"]))).alias("xs"))
-    for key in ("chunk_id", "content_hash"):
-        parts = parts.withColumn("xs", F.filter("xs", _first_of(key)))
-    return parts.select("qid", "hit_id", F.array_join(F.transform("xs", lambda x: x["raw_content"]), "\n\n").alias("content"), F.transform("xs", lambda x: x["chunk_id"]).alias("chunk_ids"))
+    family = chunks.select(F.col("chunk_id").alias("parent_id"), F.struct(*PART).alias("parent"))
+    return _said_once(_over_blocks(base.join(family, "parent_id", "left"), blocks, most))
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _folded(texts: pa.Array) -> pa.Array:
+    return pa.array([[(s or "").casefold() for s in x] for x in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def row_contexts(rows: DataFrame, parents: DataFrame, max_adjacent_rows: int = 2) -> DataFrame:
+    """What ``expand_context`` gives where each row of each table is a hit: (hit_id, content, chunk_ids).
+
+    rows: (parent_id, chunk_id, chunk_index, raw_content, said, query), said being the text with headers and indexes
+    running from 0. parents: (parent_id, last, chunk_id, raw_content), last being a table's largest index.
+    A table's block of rows is one row, stored with its parent's text: rows that are dealt by parent_id are
+    grouped where they are, and nothing is dealt again but the blocks of tables that have several.
+    """
+    shared.bounded_batches(rows.sparkSession)
+    most = min(max_adjacent_rows, 2)
+    held = rows.groupBy("parent_id", F.floor(F.col("chunk_index") / SIBLINGS).alias("block")).agg(F.collect_list(F.struct("chunk_index", "chunk_id", "raw_content", "said", "query")).alias("held"))
+    family = parents.select("parent_id", (F.col("last") >= SIBLINGS).alias("several"), F.struct("chunk_id", "raw_content", F.md5("raw_content").alias("content_hash")).alias("parent"))
+    blocks = shared.stored(held.join(family, "parent_id", "left"), "blocks", "zstd")
+    # Python sees a block's texts at once; before the blocks are made it would part the rows from how they are dealt
+    folded = blocks.withColumn("texts", _folded(F.col("held.said"))).withColumn("queries", _folded(F.col("held.query")))
+    distinct = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(T.TABLE_TERM), F.lit(0)))
+    own = lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["raw_content"].alias("raw_content"), F.md5(x["raw_content"]).alias("content_hash"))
+    siblings = F.transform("held", lambda x, k: F.struct(x["chunk_index"].alias("chunk_index"), own(x).alias("own"), distinct(F.get("texts", k)).alias("terms"), distinct(F.get("queries", k)).alias("asked")))
+    blocks = folded.select("parent_id", "parent", F.coalesce("several", F.lit(True)).alias("several"), siblings.alias("siblings"))
+    hit = lambda x: F.struct(x["own"]["chunk_id"].alias("hit_id"), x["own"].alias("own"), _nearest(F.col("siblings"), x["own"]["chunk_id"], x["chunk_index"], x["asked"], most).alias("near"))
+    one = blocks.filter("not several").select(F.lit(0).alias("qid"), "parent", F.inline(F.transform("siblings", hit)))
+    more = blocks.filter("several")
+    base = more.select("parent_id", "parent", F.explode("siblings").alias("x")).select("parent_id", F.lit(0).alias("qid"), F.col("x.own.chunk_id").alias("hit_id"), "x.own", "parent", "x.chunk_index", "x.asked")
+    found = _over_blocks(base, more.select("parent_id", "siblings"), most).select("qid", "parent", "hit_id", "own", "near")
+    return _said_once(one.unionByName(found)).drop("qid")
 
 
 def _first_of(key: str):

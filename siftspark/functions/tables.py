@@ -27,6 +27,18 @@ def upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _spread(cells: DataFrame) -> DataFrame:
+    """Cells at each place (r, c) that they cover."""
+    return cells.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)))
+
+
+def _place() -> Column:
+    """A spread cell in the order in which cells own a place, with what it shows there."""
+    header = F.when(F.trim("text") == "", F.concat(F.lit("column_"), F.col("c").cast("string"))).otherwise(escaped(F.col("text")))
+    data = F.when((F.col("r") == F.col("row")) & (F.col("c") == F.col("col")), escaped(F.col("text")))
+    return F.struct("c", "row", "col", "cell_id", F.when(F.col("is_header"), header).otherwise(data).alias("text"))
+
+
 def grid_rows(cells: DataFrame, tables: DataFrame, rows: Column | None = None) -> DataFrame:
     """(table_id, r, texts): the rows of the dense grid, all or those named by an array of the tables.
 
@@ -36,11 +48,8 @@ def grid_rows(cells: DataFrame, tables: DataFrame, rows: Column | None = None) -
     own = cells
     if rows is not None:
         own = cells.join(tables.select("table_id", rows.alias("_rows")), "table_id").filter(F.exists("_rows", lambda h: (h >= F.col("row")) & (h < F.col("row") + F.col("row_span"))))
-    spread = own.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)))
-    header = F.when(F.trim("text") == "", F.concat(F.lit("column_"), F.col("c").cast("string"))).otherwise(escaped(F.col("text")))
-    data = F.when((F.col("r") == F.col("row")) & (F.col("c") == F.col("col")), escaped(F.col("text")))
-    place = F.struct("c", "row", "col", "cell_id", F.when(F.col("is_header"), header).otherwise(data).alias("text"))
-    held = spread.groupBy("table_id", "r").agg(F.array_sort(F.collect_list(place)).alias("xs"))
+    spread = _spread(own)
+    held = spread.groupBy("table_id", "r").agg(F.array_sort(F.collect_list(_place())).alias("xs"))
     first = F.filter("xs", lambda x, k: (k == 0) | (x["c"] != F.get("xs", k - 1)["c"]))
     shown = held.select("table_id", "r", F.map_from_entries(F.transform(first, lambda x: F.struct(x["c"], x["text"]))).alias("by_col"))
     every = upto(F.col("row_count")) if rows is None else F.array_distinct(F.filter(rows, lambda h: (h >= 0) & (h < F.col("row_count"))))
@@ -58,13 +67,41 @@ def empty_headers(cells: DataFrame) -> DataFrame:
     return cells.filter(F.col("is_header") & (F.trim("text") == "")).select("table_id", "cell_id")
 
 
+def table_rows(cells: DataFrame) -> DataFrame:
+    """(table_id, rows, overlap): a table's rows of the grid (r, cs, texts), and whether cells of several ids share a place.
+
+    As in ``grid_rows``, the first of several cells on a place owns it. Only the table's id groups here.
+    """
+    spread = _spread(cells)
+    held = spread.groupBy("table_id", "r").agg(F.sort_array(F.collect_list(_place())).alias("xs"))
+    named = F.filter("xs", lambda x: x["cell_id"].isNotNull())
+    pairs = lambda f: F.size(F.array_distinct(F.transform(named, f)))
+    shared_place = pairs(lambda x: F.struct(x["c"], x["cell_id"])) > pairs(lambda x: x["c"])
+    first = F.filter("xs", lambda x, k: (k == 0) | (x["c"] != F.get("xs", k - 1)["c"]))
+    held = held.select("table_id", "r", first.alias("first"), F.when(F.size("xs") > F.size(first), shared_place).otherwise(F.lit(False)).alias("overlap"))
+    row = F.struct("r", F.transform("first", lambda x: x["c"]).alias("cs"), F.transform("first", lambda x: F.coalesce(x["text"], F.lit(""))).alias("texts"))
+    return held.groupBy("table_id").agg(F.collect_list(row).alias("rows"), F.bool_or("overlap").alias("overlap"))
+
+
+def markdown_of() -> Column:
+    """The Markdown of a table (rows, row_count, column_count, header_rows), null without rows: see ``markdown``."""
+    every = upto(F.col("column_count"))
+    line = lambda texts: F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |"))
+    whole = lambda x: F.when(x["cs"] == every, x["texts"]).otherwise(F.transform(every, lambda c: F.coalesce(F.get(x["texts"], F.array_position(x["cs"], c).cast("int") - 1), F.lit(""))))
+    own = F.filter(F.coalesce("rows", F.array().cast("array<struct<r:int,cs:array<int>,texts:array<string>>>")), lambda x: (x["r"] >= 0) & (x["r"] < F.col("row_count")))
+    missing = F.array_except(upto(F.col("row_count")), F.transform(own, lambda x: x["r"]))
+    blank = line(F.transform(every, lambda _: F.lit("")))
+    lines = F.concat(F.transform(own, lambda x: F.struct(x["r"].alias("r"), line(whole(x)).alias("text"))), F.transform(missing, lambda r: F.struct(r.alias("r"), blank.alias("text"))))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("column_count")), " | "), F.lit(" |"))
+    after = F.coalesce(F.array_max("header_rows"), F.lit(0)) + 1
+    ruled = lambda xs: F.array_join(F.concat(F.slice(xs, F.lit(1), after), F.array(rule), F.slice(xs, after + 1, F.greatest(F.size(xs) - after, F.lit(0)))), "\n")
+    return F.when(F.col("row_count") > 0, T.bound(F.transform(F.sort_array(lines), lambda x: x["text"]), ruled))
+
+
 def markdown(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """(table_id, markdown): pipe rows with a rule after the last header row, or after row 0."""
-    rows = grid_rows(cells, tables).select("table_id", "r", F.concat(F.lit("| "), F.array_join("texts", " | "), F.lit(" |")).alias("text"))
-    lines = rows.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("lines")).join(tables, "table_id")
-    after = F.coalesce(F.array_max("header_rows"), F.lit(0)) + 1
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("column_count")), " | "), F.lit(" |"))
-    return lines.select("table_id", F.array_join(F.concat(F.slice("lines", F.lit(1), after), F.array(rule), F.slice("lines", after + 1, F.greatest(F.size("lines") - after, F.lit(0)))), "\n").alias("markdown"))
+    both = tables.join(table_rows(cells).select("table_id", "rows"), "table_id", "left")
+    return both.filter("row_count > 0").select("table_id", markdown_of().alias("markdown"))
 
 
 @F.pandas_udf(StringType())

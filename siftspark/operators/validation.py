@@ -76,16 +76,18 @@ def tables(cells: DataFrame, shapes: DataFrame) -> DataFrame:
 
     shapes: (document_id, table_id, row_count, column_count, header_rows, markdown).
     """
-    of = shapes.select("document_id", "table_id")
-    heads = shapes.filter(F.exists("header_rows", lambda h: (h < 0) | (h >= F.col("row_count"))))
-    own = cells.join(shapes.select("document_id", "table_id", "row_count", "column_count"), "table_id")
-    out = own.filter("row < 0 or col < 0 or row + row_span > row_count or col + col_span > column_count")
-    twice = own.groupBy("document_id", "table_id", "cell_id").agg(F.count("*").alias("n")).filter("n > 1")
-    spread = cells.withColumn("r", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)))
-    overlap = spread.groupBy("table_id", "r", "c").agg(F.count_distinct("cell_id").alias("n")).filter("n > 1").select("table_id").distinct().join(of, "table_id")
-    wrong = shapes.join(tab.markdown(cells, shapes).withColumnRenamed("markdown", "canonical"), "table_id").filter("markdown <> canonical")
-    parts = [(heads, F.col("table_id"), "TABLE_HEADER_ROW_INVALID"), (twice, F.col("cell_id"), "TABLE_CELL_ID_DUPLICATE"), (out, F.col("cell_id"), "TABLE_CELL_OUT_OF_BOUNDS"), (overlap, F.col("table_id"), "TABLE_OVERLAP"), (wrong, F.col("table_id"), "TABLE_MARKDOWN_MISMATCH")]
-    return _union([_found(*p) for p in parts])
+    # a table's rows are made once and meet its shape by its id alone, as its cells do; each row gives its codes
+    said = lambda flag, code: F.when(flag, F.lit(code))
+    both = shapes.join(tab.table_rows(cells), "table_id", "left")
+    heads = F.exists("header_rows", lambda h: (h < 0) | (h >= F.col("row_count")))
+    wrong = F.col("markdown") != tab.markdown_of()
+    codes = F.array_compact(F.array(said(heads, "TABLE_HEADER_ROW_INVALID"), said(F.col("overlap"), "TABLE_OVERLAP"), said(wrong, "TABLE_MARKDOWN_MISMATCH")))
+    of_tables = both.select("document_id", F.col("table_id").cast("string").alias("ref"), F.explode(codes).alias("code"))
+    own = cells.select("table_id", "cell_id", "row", "col", "row_span", "col_span").join(shapes.select("document_id", "table_id", "row_count", "column_count"), "table_id")
+    out = F.expr("row < 0 or col < 0 or row + row_span > row_count or col + col_span > column_count")
+    counted = own.groupBy("document_id", "table_id", "cell_id").agg(F.count("*").alias("n"), F.count_if(out).alias("out")).filter("n > 1 or out > 0")
+    codes = F.array_compact(F.concat(F.array(said(F.col("n") > 1, "TABLE_CELL_ID_DUPLICATE")), F.array_repeat(F.lit("TABLE_CELL_OUT_OF_BOUNDS"), F.col("out").cast("int"))))
+    return of_tables.unionByName(counted.select("document_id", F.col("cell_id").cast("string").alias("ref"), F.explode(codes).alias("code")))
 
 
 def _nul() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from siftspark import shared
 
-shared_dir, bounded_batches, BATCH_BYTES = shared.shared_dir, shared.bounded_batches, shared.BATCH_BYTES
+shared_dir, bounded_batches, drop, BATCH_BYTES = shared.shared_dir, shared.bounded_batches, shared.drop, shared.BATCH_BYTES
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -21,13 +21,3 @@ def small(ids: DataFrame, most: int = 200_000) -> DataFrame:
 
     kept = stored(ids, "small")
     return F.broadcast(kept) if kept.count() <= most else kept
-
-
-def drop(*tables: DataFrame) -> None:
-    """Removes tables made by stored() that no later result reads."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(conf).delete(path, True)
